@@ -151,19 +151,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     top = spark.sparkContext.broadcast(_head(words, head, HEAD_BYTES))
     id_type = docs.schema[id_col].dataType.simpleString()
     name = _held(texts, spec, top, id_type)
-    rare = spark.table(name).where(F.size("words") > 0).select(F.col("block").alias("of"), F.col("place").alias("at"), F.posexplode("words").alias("k", "word"))
-    back = rare.join(words.select("word", "ids").hint("shuffle_merge"), "word").select("of", F.col("at").alias("place"), "k", "ids")
+    # A rare word's place is (document in the block, number in the document), packed in one long.
+    slot = F.shiftleft(F.col("place").cast("long"), 32) + F.col("k")
+    rare = spark.table(name).where(F.size("words") > 0).select("block", "place", F.posexplode("words").alias("k", "word")).select(F.col("block").alias("of"), slot.alias("slot"), "word")
+    back = written(rare.join(words.select("word", "ids").hint("shuffle_merge"), "word").select("of", "slot", "ids"), "rare-ids")
     held = spark.table(name).select("doc_id", "block", "place", "done", "pos")
     finish = finish or (lambda bpe, packed: {"ids": np.frombuffer(packed, bpe.dtype).astype(np.int32)})
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
         bpe = loaded(spec.value)
-        fills = {(p, k): i for p, k, i in zip(*(right.column(c).to_pylist() for c in ("place", "k", "ids")), strict=True)}
+        fills = dict(zip(right.column("slot").to_pylist(), right.column("ids").to_pylist(), strict=True))
         rows = []
         for place, done, pos in zip(*(left.column(c).to_pylist() for c in ("place", "done", "pos")), strict=True):
             pieces, at = [], 0
             for k, p in enumerate(pos):
-                pieces += [done[at:p], fills[place, k]]
+                pieces += [done[at:p], fills[place << 32 | k]]
                 at = p
             rows.append(finish(bpe, b"".join([*pieces, done[at:]])))
         cols = {f.split()[0]: [r[f.split()[0]] for r in rows] for f in finish_fields.split(", ")}
