@@ -3,8 +3,9 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
 and Beyond"): each step rewires edges to the smallest neighbour, so that every component ends
 as a star around its smallest node.  The smallest neighbour comes from a grouped minimum
-(combined before the shuffle) and is joined back to the edges on their node; that join has a
-row a node on the other side, so adaptive execution can split a hot node's edges.
+(combined before the shuffle), written, and joined back to the edges on their node: both sides
+of that join are plain shuffles with a row a node on one of them, so adaptive execution can split
+a hot node's edges.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from stratalens.llm.common import written
 
 def _star(edges: DataFrame, node: str) -> DataFrame:
     """Large star (node "u", with both directions given): v > u gets u's least neighbour; small star: the same over v < u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     joined = edges.join(least.hint("shuffle_merge"), "u")
     if node == "large":
         m = F.least("m", "u")

@@ -221,9 +221,11 @@ def groups(docs: DataFrame, radius: int = RADIUS, small: int = SMALL, **how) ->
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     member = components(links(distinct.select("fp"), radius, small))
     named = distinct.join(member, distinct.fp == member.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    # Every member of a component with its least doc_id: the minimum is combined before the shuffle.
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    lookup = written(named.join(ids, "root").select("fp", "component_id"), "components")
+    # Every member of a component with its least doc_id: the minimum is combined before the shuffle,
+    # and written, so that the join back can split a component with very many members.
+    named = written(named, "members")
+    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    lookup = written(named.join(ids.hint("shuffle_merge"), "root").select("fp", "component_id"), "components")
     return fps.join(lookup.hint("shuffle_merge"), "fp").select("doc_id", "fp", "component_id")
 
 
