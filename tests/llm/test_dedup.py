@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest import ODD
+from cases import ODD
 from pyspark.sql import functions as F
 
 from stratalens.llm import components, exact_dedup, simhash

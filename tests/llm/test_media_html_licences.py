@@ -6,7 +6,7 @@ from io import BytesIO
 
 import numpy as np
 import pytest
-from conftest import ODD
+from cases import ODD
 
 from stratalens.llm import html_model, licences, media
 

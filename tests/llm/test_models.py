@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ODD
+from cases import ODD
 from pyspark.sql import functions as F
 
 import corpus_pipeline
