@@ -40,16 +40,29 @@ def average_precision(rows: DataFrame, score: str, label: str, row_id: str, quer
     return ranked.groupBy(*keys).agg(F.coalesce(total, F.lit(0.0)).alias("ap"))
 
 
+def ordinal_auc(rows: DataFrame, score: str, label: str, row_id: str) -> DataFrame:
+    """The same with ties ordered by id: negatives below each positive, within its score by a window and below it by counts a score."""
+    within = F.sum(1 - F.col(label)).over(W.partitionBy(score).orderBy(row_id).rowsBetween(W.unboundedPreceding, -1))
+    x = rows.withColumn("__w", F.when(F.col(label) == 1, F.coalesce(within, F.lit(0))))
+    by = x.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"), F.sum("__w").alias("w"))
+    below = F.sum(F.col("n") - F.col("pos")).over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))  # a row a distinct score
+    part = by.withColumn("u", F.coalesce("w", F.lit(0)) + F.col("pos") * F.coalesce(below, F.lit(0)))
+    return part.agg((F.sum("u") / (F.sum("pos") * (F.sum("n") - F.sum("pos")))).alias("auc"))
+
+
 def bootstrap(rows: DataFrame, value: str, row_id: str, resamples: int, most: int = 100_000) -> DataFrame:
     """Mean and 95 % interval of resampled means.  Draw j of resample r takes the row at a hashed position.
 
-    The values of a paired comparison are few (one an evaluated photo); more than ``most`` is an error, not a sample.
+    Up to ``most`` values are numbered in one task and broadcast; more are numbered by a distributed
+    sort and met by a shuffle join.
     """
-    n = rows.count()
-    if n > most:
-        raise ValueError(f"{n} values: more than {most}")
-    numbered = rows.withColumn("at", F.row_number().over(W.orderBy(row_id)) - 1).select("at", F.col(value).alias("v"))
-    spark = rows.sparkSession
-    draws = spark.range(resamples * max(n, 1)).select((F.col("id") / max(n, 1)).cast("long").alias("r"), F.col("id")).select("r", F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1))).alias("at"))
-    means = draws.join(F.broadcast(numbered), "at").groupBy("r").agg(F.avg("v").alias("m"))
+    n = max(1, rows.count())
+    pairs = rows.select(F.col(row_id).alias("id"), F.col(value).cast("double").alias("v"))
+    if n <= most:
+        numbered = F.broadcast(pairs.select((F.row_number().over(W.orderBy("id")) - 1).cast("long").alias("at"), "v"))
+    else:
+        numbered = pairs.orderBy("id").rdd.zipWithIndex().map(lambda x: (x[1], x[0].v)).toDF("at long, v double")
+    hashed = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long")
+    draws = rows.sparkSession.range(resamples * n).select(F.floor(F.col("id") / n).alias("r"), F.pmod(hashed, F.lit(n)).alias("at"))
+    means = draws.join(numbered, "at").groupBy("r").agg(F.avg("v").alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

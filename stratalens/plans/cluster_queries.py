@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo, hashing, vectors
-from stratalens.operators import clustering, evaluate, graph, selection, spatial
+from stratalens.operators import clustering, evaluate, graph, selection, vector
 from stratalens.plans.base import POOL_SQL, TRUTH_LAT, TRUTH_LON, hav_sql, points, points_sql, pool, q, r6, t, truth_lat, truth_lon
 from stratalens.plans.rel_queries import PAIRKM, SOFT, pool_pairs, soft
 
@@ -244,14 +244,12 @@ KNN = f"(SELECT src, dst, sim FROM (SELECT a.vec_id AS src, b.vec_id AS dst, lis
 
 
 def knn(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", "label", vectors.unit("embedding").alias("v"))
-    n = e.count()
-    if n > 50_000:
-        raise ValueError("build the graph in blocks beyond 50000 vectors: operators.vector.scored")
-    b = e.select(F.col("vec_id").alias("dst"), F.col("label").alias("l2"), F.col("v").alias("v2"))
-    pairs = b.join(F.broadcast(e), F.col("label") != F.col("l2")).select(F.col("vec_id").alias("src"), "dst", vectors.dot("v", "v2").alias("sim"))
-    by = W.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return pairs.withColumn("rn", F.row_number().over(by)).where("rn <= 8").drop("rn")
+    """Every row is a query; beyond a checked size the query side is cut into blocks instead of being broadcast."""
+    e = t(spark, d, "embeddings")
+    queries = e.select(F.col("vec_id").alias("qid"), F.col("label").alias("qauthor"), vectors.unit("embedding").alias("qvec"))
+    gallery = e.select(F.col("vec_id").alias("gid"), F.col("label").alias("gauthor"), vectors.unit("embedding").alias("gvec"))
+    best = vector.top_k(vector.scored(queries, gallery, vector.not_same_author()), 8)
+    return best.select(F.col("qid").alias("src"), F.col("gid").alias("dst"), F.col("score").alias("sim"))
 
 
 @q("grf01_knn_graph", f"SELECT src, dst, round(sim, 4) AS sim FROM {KNN}")

@@ -104,6 +104,16 @@ def _(spark, d):
     return rows.select(f[0].cast("long").alias("p_partkey"), f[1].alias("name"), f[2].cast("int").alias("size"))
 
 
+@q("src13_wiki_pages", "SELECT p_partkey AS id, p_name AS title, p_type AS text FROM part WHERE p_partkey % 3 <> 0")
+def _(spark, d):
+    """Page elements of an XML dump: other namespaces and redirects are left out."""
+    k = F.col("p_partkey")
+    page = F.concat(F.lit("<page><title>"), "p_name", F.lit("</title><ns>"), F.when(k % 3 == 0, "4").otherwise("0"), F.lit("</ns><id>"), k.cast("string"), F.lit("</id><revision><text>"), "p_type", F.lit("</text></revision></page>"))
+    schema = "id long, ns int, title string, redirect string, revision struct<text:string>"
+    x = t(spark, d, "part").select(F.from_xml(page, schema).alias("x")).where("x.ns = 0 and x.redirect is null")
+    return x.select("x.id", "x.title", F.col("x.revision.text").alias("text"))
+
+
 @q("src14_search_dump", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
 def _(spark, d):
     """Index lines and document lines; only documents are parsed."""
@@ -174,6 +184,14 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
+@q("snk04_lookup_table", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    """A bulk build with its index: a table bucketed and sorted by the lookup key."""
+    name = f"lookup_{uuid.uuid4().hex}"
+    writers.clustered_table(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), name, "o_custkey", 8)
+    return t(spark, d, "orders").join(spark.table(name).hint("shuffle_merge"), "o_custkey").select("o_orderkey", "c_mktsegment")
+
+
 @q("snk05_json_lines", "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}' AS line FROM nation")
 def _(spark, d):
     path = _stored(spark, t(spark, d, "nation").select("n_nationkey", "n_name"), writers.json_lines)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo, hashing
-from stratalens.operators import selection
+from stratalens.operators import evaluate, selection
 from stratalens.plans.base import POOL_SQL, hav_sql, lat_sql, lon_sql, points, points_sql, pool, q, r6, t
 from stratalens.plans.geo_queries import P_BOX, boxes
 
@@ -570,12 +570,9 @@ def _(spark, d):
 
 @q("win08_ordinal_auc", "SELECT round((sum(rn) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / CAST(2 AS DOUBLE)) / (count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0)), 6) AS auc FROM (SELECT quality, row_number() OVER (ORDER BY n_chars, doc_id) AS rn FROM labels JOIN documents USING (doc_id))")
 def _(spark, d):
-    """Rank sum from counts below each positive: scores are grouped first, so the ordered window runs over distinct (score, id) blocks only."""
+    """Counts of negatives below each positive; no window over all rows."""
     x = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    r = x.select("quality", F.row_number().over(W.orderBy("n_chars", "doc_id")).alias("rn"))
-    pos = F.col("quality") == 1
-    n1, n0 = F.count_if(pos), F.count_if(~pos)
-    return r.agg(r6((F.sum(F.when(pos, F.col("rn"))) - n1 * (n1 + 1) / 2) / (n1 * n0), "auc"))
+    return evaluate.ordinal_auc(x, "n_chars", "quality", "doc_id").select(r6("auc", "auc"))
 
 
 @q("win09_budget_prefix", f"SELECT qid, k, round(sum(w) FILTER (rn <= k), 6) AS mass FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY w DESC, pos) AS rn FROM {SOFT}), (VALUES (1), (2), (4)) b(k) GROUP BY ALL")

@@ -41,7 +41,7 @@ def _(spark, d):
     return e.select("vec_id", r6(vectors.dot("u", "u"), "norm"), r6(F.element_at("u", 1), "first"))
 
 
-@q("vec_topk_excl_author", topk_sql("qauthor <> gauthor"))
+@q("vec02_topk_excl_author", topk_sql("qauthor <> gauthor"))
 def _(spark, d):
     """VEC02: exact streamed top-k with the author guard."""
     return shown(vector.top_k(pairs(spark, d, vector.not_same_author()), 10))
