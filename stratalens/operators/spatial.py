@@ -18,18 +18,18 @@ from stratalens.functions import geo
 
 
 def cell_size(radius_km: float) -> float:
-    """Degrees, so that a radius spans about one cell."""
-    return min(30.0, max(0.05, radius_km / geo.KM_PER_DEGREE))
+    """Degrees, so that a radius spans about one cell and whole cells go round the globe (columns wrap exactly)."""
+    return 360.0 / math.floor(360 / min(30.0, max(0.05, radius_km / geo.KM_PER_DEGREE)))
 
 
 def with_cell(points: DataFrame, size: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    columns = math.ceil(360 / size)
+    columns = round(360 / size)
     return points.withColumn("__row", F.floor((F.col(lat) + 90) / size).cast("int")).withColumn("__col", F.pmod(F.floor((F.col(lon) + 180) / size), F.lit(columns)).cast("int"))
 
 
 def with_reach(points: DataFrame, radius_km: float, size: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """One row for each cell within reach.  ``reach`` is a little wide (by 0.5 %), never narrow."""
-    columns = math.ceil(360 / size)
+    columns = round(360 / size)
     reach = radius_km / geo.EARTH_KM * 180 / math.pi * 1.005 + 1e-9
     rows = F.sequence(F.floor((F.col(lat) - reach + 90) / size).cast("int"), F.floor((F.col(lat) + reach + 90) / size).cast("int"))
     far = F.abs(F.col(lat)) + reach
