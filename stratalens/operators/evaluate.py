@@ -18,7 +18,7 @@ def clustered(rows: DataFrame, y: str, stratum: str, group: str) -> DataFrame:
     """Mean with equal weight for strata, and its error clustered by group: residuals from the stratum's mean, weighted, summed a group, root of squares."""
     strata = rows.agg(F.count_distinct(stratum).alias("k"))
     per = rows.groupBy(stratum).agg(F.count("*").alias("n"), F.avg(y).alias("m"))
-    weighted = rows.join(F.broadcast(per), stratum).join(F.broadcast(strata)).withColumn("w", 1 / (F.col("k") * F.col("n")))
+    weighted = rows.join(per, stratum).join(F.broadcast(strata)).withColumn("w", 1 / (F.col("k") * F.col("n")))
     by_group = weighted.groupBy(group).agg(F.sum(F.col("w") * F.col(y)).alias("mean"), F.sum(F.col("w") * (F.col(y) - F.col("m"))).alias("r"))
     return by_group.agg(F.sum("mean").alias("mean"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("se"))
 

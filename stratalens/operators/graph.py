@@ -33,7 +33,7 @@ def diffuse(seeds: DataFrame, edges: DataFrame, steps: int, alpha: float, top: i
         spread = now.join(edges, now.node == edges.src).select("q", F.col("dst").alias("node"), (F.col("p") * F.col("w") * alpha).alias("p"))
         mixed = spread.unionByName(seeds.select("q", "node", (F.col("p") * (1 - alpha)).alias("p"))).groupBy("q", "node").agg(F.sum("p").alias("p"))
         if owner is not None:
-            mixed = mixed.join(F.broadcast(owner), "q").withColumn("p", F.when(F.col("node") == F.col(own), 0.0).otherwise(F.col("p"))).drop(own)
+            mixed = mixed.join(owner, "q").withColumn("p", F.when(F.col("node") == F.col(own), 0.0).otherwise(F.col("p"))).drop(own)
         by = W.partitionBy("q").orderBy(F.desc("p"), "node")
         cut = mixed.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= top)
         now = cut.withColumn("p", F.col("p") / F.sum("p").over(W.partitionBy("q"))).select("q", "node", "p")

@@ -94,9 +94,10 @@ def _(spark, d):
     p = p.withColumn("key", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " "))
     words = text.words_of(F.col("norm"))
     pairs = F.array_distinct(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    docs = ndocs(spark, d).where(F.col("norm") != "").select("doc_id", "norm").withColumn("key", F.explode(pairs))
-    hit = docs.join(F.broadcast(p), "key").where(F.concat(F.lit(" "), "norm", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" "))))
-    return hit.select("pid", "doc_id").distinct().groupBy("pid").agg(F.count("*").alias("n"))
+    docs = ndocs(spark, d).where(F.col("norm") != "").select("doc_id", "norm")
+    candidates = docs.select("doc_id", F.explode(pairs).alias("key")).join(p, "key").select("doc_id", "pid", "phrase")
+    hit = docs.join(candidates, "doc_id").where(F.concat(F.lit(" "), "norm", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    return hit.groupBy("pid").agg(F.count("*").alias("n"))
 
 
 @q("str10_passages")
