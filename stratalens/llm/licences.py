@@ -8,6 +8,11 @@ earlier rule on ties), matches do not overlap, and a later rule cannot take an i
 an earlier match used.
 
 Sentences end at a line break or at ``.``, ``!``, ``?``, ``;`` or ``:`` followed by white space.
+A known sentence may also be wrapped: lines of one paragraph are joined as long as they go on
+with it.  Known texts are cut in the same way, so one with an end inside (``software: you``,
+``v. 2.0``) stands for several sentences in a row.  Lines without letters or digits and the marks
+of list items (``1.``) are no sentences and may stand between those of a rule.
+
 Known sentences are looked for in whole texts; a text without any of the trigger words that
 every known sentence has one of is passed over unsplit, which changes nothing.
 
@@ -17,6 +22,7 @@ scanned each; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
@@ -50,6 +56,33 @@ SENTENCES = {
     "cc0": "Licensed under CC0 1.0",
     "all-rights": "All rights reserved",
 }
+#: Further wordings of known sentences, and further sentences, as the licences publish them.
+WORDINGS = {
+    "mit-grant": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',),
+    "mit-notice": ("The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software",),
+    "as-is": ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',),
+    "apache2-licensed": ('Licensed under the Apache License, Version 2.0 (the "License")',),
+    "apache2-copy": (
+        "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0",
+        "You may obtain a copy of the License at\n\nhttps://www.apache.org/licenses/LICENSE-2.0",
+        "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    "apache2-warranty": ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',),
+    "apache2-see": ("See the License for the specific language governing permissions and limitations under the License",),
+    "gpl3-notice": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "gpl2-notice": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",),
+    "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",),
+    "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",),
+    "bsd-advertising": ("All advertising materials mentioning features or use of this software must display the following acknowledgement",),
+    "bsd-product": ("This product includes software developed by",),
+    "bsd-endorse": ("Neither the name of", "The name of the author may not be used to endorse or promote products"),
+    "mpl2-copy": (
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    ),
+}
+#: These go on with a name that differs from notice to notice: their beginning is enough.
+OPEN = ("bsd-product", "bsd-endorse")
 #: Ordered rules: licence, sequence of sentence identifiers.
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
@@ -73,8 +106,19 @@ RULES = [
     ("CC0-1.0", ("cc0",)),
     ("all-rights-reserved", ("all-rights",)),
 ]
+#: Rules over WORDINGS, after RULES in order.
+MORE_RULES = [
+    ("Apache-2.0", ("apache2-licensed", "apache2-comply", "apache2-copy", "apache2-warranty", "apache2-see")),
+    ("GPL-3.0-or-later", ("gpl3-notice",)),
+    ("GPL-2.0-or-later", ("gpl2-notice",)),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-product", "bsd-endorse")),
+    ("MPL-2.0", ("mpl2-form", "mpl2-copy")),
+]
 TRIGGERS = ("licen", "permission", "notice", "warrant", "redistribut", "version", "rights reserved")
 _END = re.compile(r"[\n\r]+|[.!?;:]+(?=\s)|[.!?;:]+\Z")
+_LINE = re.compile(r"\r\n|\n|\r")
+_MARK = re.compile(r"[0-9]{1,2}|[a-z]")
 _OTHER = re.compile(r"[^0-9a-z]+")
 
 
@@ -82,33 +126,84 @@ def normalise(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
+def pieces(text: str) -> list[list]:
+    """[number, start, end, normalised text, whether the next piece is the next line of the same paragraph]."""
+    out, start, ended, lines = [], 0, True, 1
+    for m in [*_END.finditer(text), None]:
+        end = m.start() if m else len(text)
+        raw = text[start:end]
+        norm = normalise(raw) if end - start < 4096 else "long"
+        if norm or any(c.isalnum() for c in raw):
+            sign = m is None or m.group()[0] not in "\n\r"
+            if m and sign and lines and _MARK.fullmatch(norm):
+                ended = True
+            else:
+                if out:
+                    out[-1][4] = bool(not ended and lines == 1 and norm and out[-1][3])
+                out.append([len(out), start + len(raw) - len(raw.lstrip()), end, norm, False])
+                ended = sign
+            lines = 0
+        if m:
+            lines += len(_LINE.findall(m.group()))
+            start = m.end()
+    return out
+
+
+def known_parts(text: str) -> tuple[str, ...]:
+    """Normalised sentences of a known text."""
+    out, goes_on = [], False
+    for *_, norm, more in pieces(text):
+        if goes_on:
+            out[-1] += f" {norm}"
+        else:
+            out.append(norm)
+        goes_on = more
+    return tuple(out)
+
+
 class Recogniser:
-    def __init__(self, sentences: dict[str, str] = SENTENCES, rules=RULES):
-        self.known = {}
-        for name, text in sentences.items():
-            self.known.setdefault(normalise(text), name)
-            if not any(t in text.lower() for t in TRIGGERS) and sentences is SENTENCES:
-                self.known[normalise(text)] = name
-        self.triggers = TRIGGERS if all(any(t in s.lower() for t in TRIGGERS) for s in sentences.values()) else ()
+    def __init__(self, sentences: dict[str, str] = SENTENCES, rules=None, wordings: dict[str, tuple[str, ...]] | None = None):
+        if rules is None:
+            rules = RULES + MORE_RULES if sentences is SENTENCES else RULES
+        if wordings is None:
+            wordings = WORDINGS if sentences is SENTENCES else {}
+        forms: dict[str, list[tuple[str, ...]]] = {}
+        for name in {**sentences, **wordings}:
+            texts = [sentences[name]] if name in sentences else []
+            forms[name] = [known_parts(x) for x in (*texts, *wordings.get(name, ()))]
+        self.open = tuple(x[0] for name in OPEN if name in wordings for x in forms[name])
+        self.known = {part for found in forms.values() for form in found for part in form}
+        self.beginnings = {" ".join(words[:n]) for words in map(str.split, self.known) for n in range(1, len(words) + 1)}
         self.by_first: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
-        for licence, sequence in rules:
-            self.by_first.setdefault(sequence[0], []).append((licence, tuple(sequence)))
+        for licence, names in rules:
+            for chosen in itertools.product(*(forms[x] for x in names)):
+                sequence = tuple(part for form in chosen for part in form)
+                self.by_first.setdefault(sequence[0], []).append((licence, sequence))
+        every = [r for found in self.by_first.values() for r in found]
+        self.triggers = TRIGGERS if all(any(t in part for t in TRIGGERS for part in sequence) for _, sequence in every) else ()
         for found in self.by_first.values():
             found.sort(key=lambda r: -len(r[1]))  # stable: the earlier rule first among equals
 
-    def sentences(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(number, start, end, identifier) of known sentences; empty sentences have no number."""
-        out, number, start = [], 0, 0
-        for m in [*_END.finditer(text), None]:
-            end = m.start() if m else len(text)
-            if norm := normalise(text[start:end]) if end - start < 4096 else "long":
-                if name := self.known.get(norm):
-                    lead = len(text[start:end]) - len(text[start:end].lstrip())
-                    out.append((number, start + lead, end, name))
-                number += 1
-            elif text[start:end].strip():
-                number += 1
-            start = m.end() if m else end
+    def sentences(self, text: str) -> list[tuple[int, int, int, int, str]]:
+        """(first number, last number, start, end, known sentence) of known sentences, the longest at each place."""
+        out, found, i = [], pieces(text), 0
+        while i < len(found):
+            joined, j, best = found[i][3], i, None
+            while True:
+                if joined in self.known:
+                    best = (j, joined)
+                if joined.startswith(self.open):
+                    while found[j][4]:
+                        j += 1
+                    best = (j, next(h for h in self.open if joined.startswith(h)))
+                    break
+                if joined not in self.beginnings or not found[j][4]:
+                    break
+                j += 1
+                joined = f"{joined} {found[j][3]}"
+            if best:
+                out.append((found[i][0], found[best[0]][0], found[i][1], found[best[0]][2], best[1]))
+            i = best[0] + 1 if best else i + 1
         return out
 
     def matches(self, text: str) -> list[tuple[str, int, int]]:
@@ -118,10 +213,10 @@ class Recogniser:
             return []
         found, out, i = self.sentences(text), [], 0
         while i < len(found):
-            for licence, sequence in self.by_first.get(found[i][3], ()):
+            for licence, sequence in self.by_first.get(found[i][4], ()):
                 run = found[i : i + len(sequence)]
-                if tuple(x[3] for x in run) == sequence and run[-1][0] - run[0][0] == len(sequence) - 1:
-                    out.append((licence, run[0][1], run[-1][2]))
+                if tuple(x[4] for x in run) == sequence and all(b[0] == a[1] + 1 for a, b in itertools.pairwise(run)):
+                    out.append((licence, run[0][2], run[-1][3]))
                     i += len(sequence)
                     break
             else:

@@ -89,6 +89,111 @@ def test_licence_scan(odd, odd_extra, none):
     assert licences.scan(none).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """   Copyright 2020 A Person
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+"""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+BSD2 = BSD3[: BSD3.index("3. Neither")]
+BSD4 = BSD2 + """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the University.
+4. """ + BSD3[BSD3.index("Neither") :]
+MPL = """  This Source Code Form is subject to the terms of the Mozilla Public
+  License, v. 2.0. If a copy of the MPL was not distributed with this
+  file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+NOTICES = [("MIT", MIT), ("Apache-2.0", APACHE), ("GPL-3.0-or-later", GPL3), ("GPL-2.0-or-later", GPL2), ("BSD-2-Clause", BSD2), ("BSD-3-Clause", BSD3), ("BSD-4-Clause", BSD4), ("MPL-2.0", MPL)]
+
+
+@pytest.mark.parametrize("licence, text", NOTICES, ids=[x for x, _ in NOTICES])
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", ";; "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_published_notices(licence, text, mark, end):
+    """Verbatim, wrapped, as a comment, after and before other text; the span holds the notice."""
+    one = licences.Recogniser()
+    text = end.join(mark + line for line in f"Some title\n\n{text}\nMore text.".split("\n"))
+    ((found, a, b),) = one.matches(text)
+    assert found == licence
+    assert text[a:b].lstrip(mark).startswith(("Permission", "Licensed", "This", "Redistribution"))
+    assert one.matches(text.replace("edistribut", "ebuild").replace("icense", "icence").replace("ermission", "ermit")) == []
+
+
+def test_wrapped_lines_stay_in_a_paragraph():
+    one = licences.Recogniser()
+    names = lambda t: [x for x, _, _ in one.matches(t)]
+    assert names("Released under\nthe MIT License") == ["MIT"]
+    assert names("Released under\n\nthe MIT License") == names("Released under. the MIT License") == []
+    assert names("Released under the MIT License\nand more") == ["MIT"]
+    assert names(f"{licences.SENTENCES['gpl-redistribute']}; {licences.SENTENCES['gpl-later']}.") == ["GPL-3.0-or-later"]
+    assert names(licences.SENTENCES["mpl2-form"] + ".") == ["MPL-2.0"]
+
+
+def test_licence_sql_is_as_before():
+    assert hashlib.sha256(licences.OP8_SQL.encode()).hexdigest() == "56ae7c5d41f25afc817d50875ee956be2011e134b1a7dffe32cd1c1ea95c9eff"
+
+
 def test_triggers_lose_nothing():
     """Passing over texts without trigger words equals scanning all."""
     one, plain = licences.Recogniser(), licences.Recogniser()
