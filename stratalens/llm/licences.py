@@ -115,7 +115,8 @@ MORE_RULES = [
     ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-product", "bsd-endorse")),
     ("MPL-2.0", ("mpl2-form", "mpl2-copy")),
 ]
-TRIGGERS = ("licen", "permission", "notice", "warrant", "redistribut", "version", "rights reserved")
+#: Single words: as they hold no separator, normalising cannot make one that the raw text lacks.
+TRIGGERS = ("licen", "permission", "notice", "warrant", "redistribut", "version", "reserved")
 _END = re.compile(r"[\n\r]+|[.!?;:]+(?=\s)|[.!?;:]+\Z")
 _LINE = re.compile(r"\r\n|\n|\r")
 _MARK = re.compile(r"[0-9]{1,2}|[a-z]")
@@ -132,7 +133,7 @@ def pieces(text: str) -> list[list]:
     for m in [*_END.finditer(text), None]:
         end = m.start() if m else len(text)
         raw = text[start:end]
-        norm = normalise(raw) if end - start < 4096 else "long"
+        norm = normalise(raw)
         if norm or any(c.isalnum() for c in raw):
             sign = m is None or m.group()[0] not in "\n\r"
             if m and sign and lines and _MARK.fullmatch(norm):

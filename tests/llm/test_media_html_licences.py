@@ -202,6 +202,25 @@ def test_triggers_lose_nothing():
         assert one.matches(text) == plain.matches(text)
 
 
+@pytest.mark.parametrize("gap", ["  ", "\t", "\u00a0", "-", " * "])
+def test_triggers_see_through_separators(gap):
+    one = licences.Recogniser()
+    assert all(t.isalnum() for t in licences.TRIGGERS)
+    assert [x for x, _, _ in one.matches(f"All rights{gap}reserved.")] == ["all-rights-reserved"]
+
+
+@pytest.mark.parametrize("run", [" ", "-", "*", "\u00a0"])
+def test_long_sentences_are_normalised(run):
+    """Known sentences behind, within and around runs of 4096 characters and more."""
+    one, run = licences.Recogniser(), run * 5000
+    names = lambda t: [x for x, _, _ in one.matches(t)]
+    assert names(f"{run}Released under the MIT License") == ["MIT"]
+    assert names(f"Released under {run} the MIT License.") == ["MIT"]
+    grant, notice = licences.SENTENCES["mit-grant"], licences.SENTENCES["mit-notice"]
+    ((_, a, b),) = one.matches(f"{grant}.\n{run}\n{notice}.")
+    assert b - a == len(grant) + len(run) + len(notice) + 3
+
+
 # -- html ----------------------------------------------------------------------------------------
 
 
