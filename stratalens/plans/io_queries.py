@@ -114,15 +114,25 @@ def _(spark, d):
     return x.select("x.id", "x.title", F.col("x.revision.text").alias("text"))
 
 
-@q("src14_search_dump", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
-def _(spark, d):
+def search_dump(docs):
     """Index lines and document lines; only documents are parsed."""
     doc = F.to_json(F.struct("doc_id", "lang"))
-    lines = t(spark, d, "documents").where("doc_id % 2 = 0").select(F.explode(F.array(F.concat(F.lit('{"index":{"_id":'), F.col("doc_id").cast("string"), F.lit("}}")), doc)).alias("value"))
+    lines = docs.select(F.explode(F.array(F.concat(F.lit('{"index":{"_id":'), F.col("doc_id").cast("string"), F.lit("}}")), doc)).alias("value"))
     x = lines.where(~F.col("value").startswith('{"index"')).select(F.from_json("value", "doc_id long, lang string").alias("x"))
     return x.select("x.*")
 
 
+@q("src14_search_dump", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
+def _(spark, d):
+    """Over even documents only, as its SQL says; ``src14_search_dump_whole`` takes all."""
+    return search_dump(t(spark, d, "documents").where("doc_id % 2 = 0"))
+
+
+@q("src14_search_dump_whole", "SELECT doc_id, lang FROM documents")
+def _(spark, d):
+    return search_dump(t(spark, d, "documents"))
+
+
 @q("src17_json_lines", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, d):
     line = F.to_json(F.struct("event_id", "event_type", "props"))

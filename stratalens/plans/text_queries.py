@@ -369,11 +369,22 @@ def _(spark, d):
     return t(spark, d, "events").select("event_id", F.coalesce(F.from_json(F.when(mixed.startswith("{"), mixed), "k long").k, mixed.try_cast("long")).alias("k"))
 
 
+def merge_documents(docs, labels):
+    """All documents and all labels, met by doc_id; what one side lacks is null."""
+    a = docs.select("doc_id", "source")
+    b = labels.select("doc_id", "quality", F.lit(True).alias("judged"))
+    return a.join(b, "doc_id", "full").select("doc_id", "source", "quality", F.coalesce("judged", F.lit(False)).alias("judged"))
+
+
 @q("jsn05_merge_documents", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.source, b.quality, b.doc_id IS NOT NULL AS judged FROM (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) a FULL JOIN labels b ON a.doc_id = b.doc_id")
 def _(spark, d):
-    a = t(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "source")
-    b = t(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("judged"))
-    return a.join(b, "doc_id", "full").select("doc_id", "source", "quality", F.coalesce("judged", F.lit(False)).alias("judged"))
+    """Over even documents only, as its SQL says; ``jsn05_merge_documents_whole`` takes all."""
+    return merge_documents(t(spark, d, "documents").where("doc_id % 2 = 0"), t(spark, d, "labels"))
+
+
+@q("jsn05_merge_documents_whole", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.source, b.quality, b.doc_id IS NOT NULL AS judged FROM documents a FULL JOIN labels b ON a.doc_id = b.doc_id")
+def _(spark, d):
+    return merge_documents(t(spark, d, "documents"), t(spark, d, "labels"))
 
 
 @q("jsn06_trace_document", "SELECT conv_id, count(*) AS steps, string_agg(role || ':' || length(text), ' ' ORDER BY turn) AS trace FROM conversations GROUP BY 1")

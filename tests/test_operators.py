@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators import clustering, evaluate, graph, postings, selection, spatial, vector
 from stratalens.operators.clustering import Row, km
+from stratalens.plans import base, io_queries, text_queries
 from stratalens.streaming import incremental
 
 
@@ -159,3 +160,14 @@ def test_evenly(spark):
     df = spark.createDataFrame([(list(range(100)),), ([1, 2],)], "a array<int>")
     got = [r.x for r in df.select(selection.evenly(F.col("a"), 5).alias("x")).collect()]
     assert got[0][0] == 0 and got[0][-1] == 99 and len(got[0]) == 5 and got[1] == [1, 2]
+
+
+def test_search_dump_and_merge_take_odd_ids(spark):
+    """Odd ids, null fields, documents without a label and labels without a document."""
+    docs = spark.createDataFrame([(1, "en", "a"), (2, None, "b"), (3, "de", None), (4, "fr", "c")], "doc_id long, lang string, source string")
+    labels = spark.createDataFrame([(1, 1), (4, None), (7, 0)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in io_queries.search_dump(docs).collect()) == [(1, "en"), (2, None), (3, "de"), (4, "fr")]
+    got = sorted((tuple(r) for r in text_queries.merge_documents(docs, labels).collect()), key=repr)
+    assert got == [(1, "a", 1, True), (2, "b", None, False), (3, None, None, False), (4, "c", None, True), (7, None, 0, True)]
+    for name in ("src14_search_dump_whole", "jsn05_merge_documents_whole"):
+        assert base.QUERIES[name](spark, "/root/testdata/sf0.001").where("doc_id % 2 = 1").count() > 0
