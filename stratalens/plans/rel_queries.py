@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo, hashing
-from stratalens.operators import evaluate, selection
+from stratalens.operators import evaluate, ordering, selection
 from stratalens.plans.base import POOL_SQL, hav_sql, lat_sql, lon_sql, points, points_sql, pool, q, r6, t
 from stratalens.plans.geo_queries import P_BOX, boxes
 
@@ -623,11 +623,24 @@ def _(spark, d):
     return t(spark, d, "part").orderBy(F.desc(F.col("p_type") == "PROMO"), "p_size", F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey")
 
 
+@q("srt01_multi_key_sort_whole", "SELECT p_partkey, row_number() OVER (ORDER BY p_type = 'PROMO' DESC, p_size, p_retailprice DESC, p_partkey) AS place FROM part")
+def _(spark, d):
+    """Every row with its place; ``srt01_multi_key_sort`` stops at 50, as its SQL says."""
+    p = t(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    return ordering.placed(p, F.desc(F.col("p_type") == "PROMO"), "p_size", F.desc("p_retailprice"), "p_partkey").select("p_partkey", "place")
+
+
 @q("srt02_stable_sort", "SELECT doc_id FROM documents ORDER BY lang, doc_id LIMIT 100")
 def _(spark, d):
     return t(spark, d, "documents").orderBy("lang", "doc_id").limit(100).select("doc_id")
 
 
+@q("srt02_stable_sort_whole", "SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) AS place FROM documents")
+def _(spark, d):
+    """Every row with its place; ``srt02_stable_sort`` stops at 100, as its SQL says."""
+    return ordering.placed(t(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "place")
+
+
 @q("srt03_spatial_order", f"SELECT c_custkey, CAST(floor((lat + 90) / 2) * 180 + floor((lon + 180) / 2) AS BIGINT) AS cell FROM {points_sql('customer', 'c_custkey')}")
 def _(spark, d):
     """Rows clustered by cell: ranges of cells to partitions, sorted within."""
@@ -642,6 +655,14 @@ def _(spark, d):
     return top.select("doc_id", F.row_number().over(W.orderBy(F.desc_nulls_last("best"), "doc_id")).cast("long").alias("place"))
 
 
+@q("srt04_retrieval_order_whole", "SELECT doc_id, row_number() OVER (ORDER BY greatest(a, b) DESC NULLS LAST, doc_id) AS place FROM (SELECT doc_id, CASE WHEN quality = 1 THEN doc_id % 97 END AS a, CASE WHEN toxic = 1 THEN doc_id % 89 END AS b FROM labels)")
+def _(spark, d):
+    """Every row with its place, those that no modality found last; ``srt04_retrieval_order`` stops at 200, as its SQL says."""
+    a, b = F.when(F.col("quality") == 1, F.col("doc_id") % 97), F.when(F.col("toxic") == 1, F.col("doc_id") % 89)
+    rows = t(spark, d, "labels").select("doc_id", F.greatest(a, b).alias("best"))
+    return ordering.placed(rows, F.desc_nulls_last("best"), "doc_id").select("doc_id", "place")
+
+
 @q("lim01_cap_per_source", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 20")
 def _(spark, d):
     return t(spark, d, "documents").withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("rn <= 20").select("doc_id")

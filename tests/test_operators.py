@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratalens.operators import clustering, evaluate, graph, postings, selection, spatial, vector
+from stratalens.operators import clustering, evaluate, graph, ordering, postings, selection, spatial, vector
 from stratalens.operators.clustering import Row, km
 from stratalens.plans import base, io_queries, text_queries
 from stratalens.streaming import incremental
@@ -171,3 +171,24 @@ def test_search_dump_and_merge_take_odd_ids(spark):
     assert got == [(1, "a", 1, True), (2, "b", None, False), (3, None, None, False), (4, "c", None, True), (7, None, 0, True)]
     for name in ("src14_search_dump_whole", "jsn05_merge_documents_whole"):
         assert base.QUERIES[name](spark, "/root/testdata/sf0.001").where("doc_id % 2 = 1").count() > 0
+
+
+def test_places_of_all_rows(spark):
+    """Ties in the first key, nulls last, several ranges, and a table without rows."""
+    r = random.Random(3)
+    rows = [(i, r.choice([None, 1, 1, 2, 3])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(ordering.placed(df, F.desc_nulls_last("v"), "id").collect(), key=lambda x: x.place)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(x) for x in got] == [(*x, k) for k, x in enumerate(want, 1)]
+    assert ordering.placed(df.limit(0), "id").collect() == []
+
+
+def test_whole_sorts_keep_every_row(spark):
+    for name, table in (("srt01_multi_key_sort_whole", "part"), ("srt02_stable_sort_whole", "documents"), ("srt04_retrieval_order_whole", "labels")):
+        n = base.t(spark, "/root/testdata/sf0.01", table).count()
+        assert n > 200 and sorted(x.place for x in base.QUERIES[name](spark, "/root/testdata/sf0.01").collect()) == list(range(1, n + 1))
