@@ -81,8 +81,8 @@ def strip_wikitext(column) -> Column:
     return F.trim(F.regexp_replace(x, r"\n{2,}", "\n"))
 
 
-def passages(text: str | None, size: int = 700, most: int = 6000) -> list[str]:
-    """Paragraphs (or sentences of one long paragraph) joined up to ``size`` characters."""
+def passages(text: str | None, size: int = 700, most: int | None = 6000) -> list[str]:
+    """Paragraphs (or sentences of one long paragraph) joined up to ``size`` characters; of the first ``most`` characters, or of all with None."""
     text = (text or "")[:most]
     units = re.split(r"\n+", text)
     if len(units) == 1 and len(units[0]) > size:
@@ -98,8 +98,8 @@ def passages(text: str | None, size: int = 700, most: int = 6000) -> list[str]:
     return ["\n".join(p) for p in out if p]
 
 
-def passages_of(column) -> Column:
-    return F.pandas_udf(lambda s: s.map(passages), "array<string>")(column)
+def passages_of(column, most: int | None = 6000) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda x: passages(x, most=most)), "array<string>")(column)
 
 
 def snippet(body, words, width: int = 200) -> Column:

@@ -102,7 +102,7 @@ def _(spark, d):
 
 @q("str10_passages")
 def _(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(text.passages_of(F.col("text"))).alias("n", "passage")).select("doc_id", "n", F.length("passage").alias("chars"), F.md5("passage").alias("digest"))
+    return t(spark, d, "documents").select("doc_id", F.posexplode(text.passages_of(F.col("text"), most=None)).alias("n", "passage")).select("doc_id", "n", F.length("passage").alias("chars"), F.md5("passage").alias("digest"))
 
 
 @q("str11_snippet", "SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, s + 1, 200), '\\s+', ' ', 'g')) || CASE WHEN s + 200 < length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, greatest(0, CASE WHEN instr(lower(text), 'the') > 0 THEN instr(lower(text), 'the') ELSE 1 END - 1 - 66) AS s FROM documents)")

@@ -192,3 +192,11 @@ def test_whole_sorts_keep_every_row(spark):
     for name, table in (("srt01_multi_key_sort_whole", "part"), ("srt02_stable_sort_whole", "documents"), ("srt04_retrieval_order_whole", "labels")):
         n = base.t(spark, "/root/testdata/sf0.01", table).count()
         assert n > 200 and sorted(x.place for x in base.QUERIES[name](spark, "/root/testdata/sf0.01").collect()) == list(range(1, n + 1))
+
+
+def test_str10_splits_whole_texts(spark, tmp_path):
+    """All characters but the line breaks between passages are in a passage, in texts far beyond 6000 characters."""
+    texts = [(1, "\n".join(f"Line {i} of a long text." for i in range(2000))), (2, "One sentence more. " * 3000), (3, "short"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = base.QUERIES["str10_passages"](spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("chars"), F.count("*")).collect()
+    assert {r[0]: r[1] + r[2] - 1 for r in got} == {i: len(x.strip()) for i, x in texts if x}
