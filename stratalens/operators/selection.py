@@ -73,7 +73,18 @@ def in_one_group(df: DataFrame, fn, fields: str, **how) -> DataFrame:
     return apply(df.withColumn("__all", F.lit(0)), "__all", "int", fn, fields, **how).drop("__all")
 
 
-def cap_per_key(df: DataFrame, key: str, most: int, salt: str, row_id: str) -> DataFrame:
+def hash_cohort(df: DataFrame, size: int, country_cap: int, salt: str = "cohort") -> DataFrame:
+    """``cohort`` over a table, reduced first without loss.
+
+    Rows of one region, country and sequence pass or fail the same tests in hash order: the first is
+    taken, and then its sequence is, or it is refused, and so are the others from then on.  Only the
+    first can ever be taken.
+    """
+    firsts = cap_per_key(df, ["region", "country", "sequence"], 1, salt, "id").drop("rn")
+    return in_one_group(firsts, cohort, "position int, id long", size=size, country_cap=country_cap, salt=salt)
+
+
+def cap_per_key(df: DataFrame, key: str | list[str], most: int, salt: str, row_id: str) -> DataFrame:
     """At most ``most`` rows a key, in hash order."""
     by = W.partitionBy(key).orderBy(hashing.order(salt, row_id), row_id)
     return df.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most)

@@ -156,9 +156,7 @@ def people(spark, d):
 
 @q("sel01_hash_cohort")
 def _(spark, d):
-    """Reduced first: a region can give no more rows than the cohort and its sequences allow."""
-    p = selection.cap_per_key(people(spark, d).withColumn("region", F.col("c_mktsegment")), "sequence", 25, "cohort", "id").drop("rn")
-    return selection.in_one_group(p, selection.cohort, "position int, id long", size=60, country_cap=5)
+    return selection.hash_cohort(people(spark, d).withColumn("region", F.col("c_mktsegment")), size=60, country_cap=5)
 
 
 @q("sel02_balanced_pick")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -200,3 +201,20 @@ def test_str10_splits_whole_texts(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = base.QUERIES["str10_passages"](spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("chars"), F.count("*")).collect()
     assert {r[0]: r[1] + r[2] - 1 for r in got} == {i: len(x.strip()) for i, x in texts if x}
+
+
+def test_hash_cohort_loses_no_rare_region(spark):
+    """A region whose rows lie behind many others of their sequences, and countries that fill up."""
+    r = random.Random(5)
+    rows = [(i, f"c{r.randrange(6)}", f"s{r.randrange(4)}", "common") for i in range(1500)]
+    last = sorted(range(2000, 6000), key=lambda i: hashlib.sha256(f"cohort:{i}".encode()).hexdigest())[-3:]
+    rows += [(i, "far", f"s{k}", "rare") for k, i in enumerate(last)]
+    rows += [(i, f"c{r.randrange(6)}", f"t{r.randrange(40)}", "common") for i in range(7000, 7400)]
+    df = spark.createDataFrame(rows, "id long, country string, sequence string, region string")
+    every = [Row(zip(df.columns, x, strict=True)) for x in rows]
+    for size, cap in ((4, 2), (10, 3), (60, 5)):
+        want = selection.cohort(every, size, cap)
+        assert sorted((x.position, x.id) for x in selection.hash_cohort(df, size, cap).collect()) == want
+        assert any(i in last for _, i in want)
+        capped = selection.cap_per_key(df, "sequence", 25, "cohort", "id").drop("rn")
+        assert not any(x.id in last for x in capped.collect())
