@@ -2,7 +2,7 @@
 
 Every element and text run is a variable with two states, boilerplate and content.  A node's
 observed features depend on its state; its state depends on its parent's through a 2 x 2 table
-that differs by kind of node.  Sum-product messages go up the tree once and down once, which on
+that differs by kind of node and by what the parent is called.  Sum-product messages go up the tree once and down once, which on
 a tree gives exact marginals; text whose content marginal is at least ``CONTENT`` is kept.
 
 The tables are counts (with add-one smoothing) from labelled pages.  The labelled pages come
@@ -14,12 +14,13 @@ empty blocks dropped, blocks joined in page order by one line feed.  Nothing els
 
 Defined cases: null or empty html gives empty text; text outside any element is scored like any
 other; unclosed elements end with their parents; null or repeated ids are extracted each; other
-columns are ignored; an empty table gives an empty result.  Pages of any length are read whole;
-nesting beyond ``DEEPEST`` levels is flattened onto that level.
+columns are ignored; an empty table gives an empty result.  Pages of any length and any depth of
+nesting are read whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import random
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm.common import arrow_batch, parts, table
 
-CONTENT, DEEPEST, PAGES, SEED = 0.5, 400, 600, 11
+CONTENT, PAGES, SEED = 0.5, 600, 11
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -79,40 +80,63 @@ class Dom:
         return len(self.parent) - 1
 
 
+class _Open:
+    """The open elements, the root first, with where each name and each scope stands: finding one is no walk, however deep."""
+
+    def __init__(self, root: int):
+        self.nodes, self.names, self.where, self.scopes = [root], ["#root"], {}, []
+
+    def push(self, node: int, name: str) -> None:
+        self.where.setdefault(name, []).append(len(self.nodes))
+        if name in SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node), self.names.append(name)
+
+    def cut(self, at: int) -> None:
+        """Close the element at depth ``at`` and all within it."""
+        while len(self.nodes) > at:
+            self.nodes.pop()
+            self.where[self.names.pop()].pop()
+        while self.scopes and self.scopes[-1] >= at:
+            self.scopes.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag closes the innermost element of its name; that of an inline one does not reach out of a scope."""
+        at = self.where.get(name)
+        if at and (name not in INLINE or not self.scopes or at[-1] > self.scopes[-1]):
+            self.cut(at[-1])
+
+    def over(self, names: set[str]) -> None:
+        """Close what a start tag implies is over: the outermost of ``names`` within the innermost other scope."""
+        edge = next((x for x in reversed(self.scopes) if self.names[x] not in names), 0)
+        inside = [at[bisect.bisect(at, edge)] for x in names if (at := self.where.get(x)) and at[-1] > edge]
+        if inside:
+            self.cut(min(inside))
+
+
 def parse(page: str) -> Dom:
     """A forgiving parser: never fails, ignores stray end tags, closes what a start tag implies is over."""
     dom = Dom()
-    stack = [dom.add(-1, "#root")]
+    stack = _Open(dom.add(-1, "#root"))
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
         token, at = m[0], m.end()
         if token[0] != "<" or len(token) == 1:
-            dom.add(stack[-1], "#text", text=token)
+            dom.add(stack.nodes[-1], "#text", text=token)
         elif token[1] == "/":
-            name = re.match(r"</([^\s/>]*)", token)[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if dom.tag[stack[i]] == name:
-                    del stack[i:]
-                    break
-                if name in INLINE and dom.tag[stack[i]] in SCOPE:
-                    break
+            stack.end(re.match(r"</([^\s/>]*)", token)[1].lower())
         elif token[1].isalpha():
             name = re.match(r"<([^\s/>]*)", token)[1].lower()
             if over := ENDS.get(name):
-                for i in range(len(stack) - 1, 0, -1):
-                    t = dom.tag[stack[i]]
-                    if t in over:
-                        del stack[i:]
-                    elif t in SCOPE:
-                        break
-            node = dom.add(stack[-1], name, token[len(name) + 1 : -1])
+                stack.over(over)
+            node = dom.add(stack.nodes[-1], name, token[len(name) + 1 : -1])
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                 at = end.start() if end else n
-                stack.append(node)
-            elif name not in VOID and not token.endswith("/>") and len(stack) < DEEPEST:
-                stack.append(node)
+                stack.push(node, name)
+            elif name not in VOID and not token.endswith("/>"):
+                stack.push(node, name)
     return dom
 
 
@@ -120,6 +144,12 @@ def kind(tag: str) -> str:
     return "text" if tag == "#text" else "raw" if tag in RAW else KINDS.get(tag, "inline" if tag in INLINE else "other")
 
 
+def relation(dom: Dom, i: int) -> str:
+    """Which table is between a node and its parent: that of the parent's hint, if it has one, else of the node's kind."""
+    sign = hint(dom.attrs[dom.parent[i]])
+    return kind(dom.tag[i]) if sign == "-" else f"in {sign}"
+
+
 def hint(attrs: str) -> str:
     """The first kind of word found in class, id and role; hidden elements have a hint of their own."""
     if not attrs:
@@ -130,30 +160,45 @@ def hint(attrs: str) -> str:
     return next((name for name, _ in HINTS if name in names), "-")
 
 
-def observe(dom: Dom) -> list[tuple[tuple[str, str], ...]]:
-    """Each node's features as (name, value): kind, hint, and for elements link share and amount of text below."""
+def observe(dom: Dom) -> tuple[list[tuple[tuple[str, str], ...]], list[bool]]:
+    """Each node's features as (name, value): kind, hint, and for elements link share and amount of text below; and which nodes hold all text of their parents.
+
+    An element is content if most of its text is, so such a node and its parent are in one state for
+    certain.  A plain wrapper of one node has no features but its hint: however many there are, they
+    say nothing that the node does not.
+    """
     n = len(dom.tag)
-    chars, linked = [0] * n, [0] * n
+    chars, linked, full = [0] * n, [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
-        if dom.text[i] is not None:
+        p = dom.parent[i]
+        if dom.text[i] is not None and dom.tag[p] not in RAW:
             chars[i] = len(dom.text[i].strip())
         if dom.tag[i] in ("a", "button"):
             linked[i] = chars[i]
-        chars[dom.parent[i]] += chars[i]
-        linked[dom.parent[i]] += linked[i]
+        chars[p] += chars[i]
+        linked[p] += linked[i]
+        full[p] += chars[i] > 0
     out = []
     for i in range(n):
         if dom.text[i] is not None:
             out.append((("size", str(min(4, int(math.log2(1 + chars[i]) / 2)))),))
             continue
+        named, sign = kind(dom.tag[i]), hint(dom.attrs[i])
+        if full[i] == 1 and named in ("box", "inline", "other"):
+            out.append((("hint", sign),) if sign != "-" else ())
+            continue
         share = linked[i] / chars[i] if chars[i] else 0
-        out.append((("kind", kind(dom.tag[i])), ("hint", hint(dom.attrs[i])), ("links", "none" if not linked[i] else "few" if share < 0.4 else "most"), ("size", str(min(5, int(math.log2(1 + chars[i]) / 2.5))))))
-    return out
+        out.append((("kind", named), ("hint", sign), ("links", "none" if not linked[i] else "few" if share < 0.4 else "most"), ("size", str(min(5, int(math.log2(1 + chars[i]) / 2.5))))))
+    return out, [i > 0 and chars[i] > 0 and full[dom.parent[i]] == 1 for i in range(n)]
+
+
+#: Between a node and a parent whose text it holds alone.
+SAME = ((0.0, -50.0), (-50.0, 0.0))
 
 
 @dataclass
 class Model:
-    """Log tables: ``emit[name][value]`` a pair by state, ``move[kind]`` rows by parent state, ``root`` a pair."""
+    """Log tables: ``emit[name][value]`` a pair by state, ``move[relation]`` rows by parent state, ``root`` a pair."""
 
     emit: dict[str, dict[str, np.ndarray]]
     move: dict[str, np.ndarray]
@@ -163,13 +208,14 @@ class Model:
         """P(content) of every node by one upward and one downward pass of sum-product messages."""
         n = len(dom.tag)
         up = np.zeros((n, 2))
-        for i, features in enumerate(observe(dom)):
+        seen, same = observe(dom)
+        for i, features in enumerate(seen):
             for name, value in features:
                 if (e := self.emit[name].get(value)) is not None:
                     up[i] += e
         up, move = up.tolist(), {k: v.tolist() for k, v in self.move.items()}
         flat = [[0.0, 0.0], [0.0, 0.0]]
-        tables = [move.get(kind(t), flat) for t in dom.tag]
+        tables = [SAME if same[i] else move.get(relation(dom, i), flat) for i in range(n)]
         message = [(0.0, 0.0)] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
             (a, b), (c, d) = tables[i]
@@ -271,7 +317,7 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[str]:
         return r.choice([f"<aside><h3>{some(1, 3)}</h3><ul>{links(3, 8)}</ul></aside>", f"<div{cls('sidebar', 'related', 'widget', 'side trending')}><h3>{some(1, 3)}</h3><p>{sentence()}</p><ul>{links(2, 6)}</ul></div>", f"<aside><p>{sentence()}</p><p>{sentence()}</p></aside>"])
 
     def comments():
-        one = "".join(f"<div{cls('comment', 'reply')}><b>{some(1, 2)}</b><p>{sentence()} {sentence()}</p></div>" for _ in range(r.randint(1, 5)))
+        one = "".join(f"<div{cls('comment', 'reply')}>" + nested(f"<b>{some(1, 2)}</b><p>{sentence()} {sentence()}</p>") + "</div>" for _ in range(r.randint(1, 5)))
         return r.choice([f"<section{cls('comments', 'discussion', 'respond')}><h2>{some(1, 2)}</h2>{one}</section>", f"<div{cls('comments', 'comment-list')}><h3>{some(1, 2)}</h3><ol>{''.join(f'<li><p>{sentence()}</p></li>' for _ in range(r.randint(1, 5)))}</ol></div>"])
 
     def foot():
@@ -281,6 +327,12 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[str]:
     def mark(text):
         return f"{OPEN}{text}{SHUT}"
 
+    def nested(part):
+        """Now and then within plain boxes."""
+        for _ in range(r.choice([0, 0, 0, 0, 1, 1, 2, 3])):
+            part = f"<div{r.choice(['', '', cls('wrap', 'inner', 'row', 'col', 'box')])}>{part}</div>"
+        return part
+
     def para():
         body = mark(" ".join(sentence() for _ in range(r.randint(1, 9))))
         if r.random() < 0.25:
@@ -313,11 +365,11 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[str]:
         inside = [f"<h1>{mark(some(1, 12))}</h1>"] * (r.random() < 0.85) + [block() for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 12, 20]))]
         for extra, chance in ((ad, 0.2), (side, 0.1), (notice, 0.08), (form, 0.08)):
             if r.random() < chance:
-                inside.insert(r.randint(1, len(inside)) if inside else 0, extra())
-        body = "".join(inside)
+                inside.insert(r.randint(1, len(inside)) if inside else 0, nested(extra()))
+        body = nested("".join(inside))
         body = r.choice([f"<article>{body}</article>", f"<article>{body}</article>", f"<main><article>{body}</article></main>", f"<main>{body}</main>", f"<div{cls('content', 'post', 'entry-content', 'article-body')}>{body}</div>", f'<div role="main">{body}</div>', f"<section{cls('post', 'story')}>{body}</section>"])
-        before = [f() for f, c in ((head, 0.5), (menu, 0.8), (ad, 0.6), (notice, 0.3), (form, 0.2), (side, 0.2)) if r.random() < c]
-        after = [f() for f, c in ((side, 0.35), (ad, 0.2), (comments, 0.4), (form, 0.2), (notice, 0.15), (foot, 0.9)) if r.random() < c]
+        before = [nested(f()) for f, c in ((head, 0.5), (menu, 0.8), (ad, 0.6), (notice, 0.3), (form, 0.2), (side, 0.2)) if r.random() < c]
+        after = [nested(f()) for f, c in ((side, 0.35), (ad, 0.2), (comments, 0.4), (form, 0.2), (notice, 0.15), (foot, 0.9)) if r.random() < c]
         if r.random() < 0.3:
             r.shuffle(before)
         wrap = r.choice(["{}", "{}", "<div id='page'>{}</div>", "<div class='container'><div class='row'>{}</div></div>"])
@@ -345,7 +397,8 @@ def learn(pages: list[str] | None = None) -> Model:
                 good[dom.parent[i]] += good[i]
                 all_[dom.parent[i]] += all_[i]
         state = [None if not a else int(2 * g >= a) for g, a in zip(good, all_, strict=True)]
-        for i, features in enumerate(observe(dom)):
+        seen, same = observe(dom)
+        for i, features in enumerate(seen):
             if state[i] is None:
                 if dom.tag[i] in RAW or dom.tag[dom.parent[i]] in RAW:
                     state[i] = 0
@@ -355,8 +408,8 @@ def learn(pages: list[str] | None = None) -> Model:
                 emit.setdefault(name, {}).setdefault(value, np.ones(2))[state[i]] += 1
             if not i:
                 root[state[i]] += 1
-            elif state[dom.parent[i]] is not None:
-                move.setdefault(kind(dom.tag[i]), np.ones((2, 2)))[state[dom.parent[i]], state[i]] += 1
+            elif state[dom.parent[i]] is not None and not same[i]:
+                move.setdefault(relation(dom, i), np.ones((2, 2)))[state[dom.parent[i]], state[i]] += 1
     for values in emit.values():
         total = sum(values.values())
         for v in values:
