@@ -200,4 +200,5 @@ def payload_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payload_columns(table(spark, sf_dir, "documents"))
+    """With the stored files themselves: the mu-law file and the resampled PCM file of every document."""
+    return payload_columns(table(spark, sf_dir, "documents"), with_files=True)
