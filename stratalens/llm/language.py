@@ -6,14 +6,16 @@ all its trigrams, with a word boundary as a letter of its own.  A language's pro
 its learning documents, each scaled to one length; a document gets the language whose prototype
 has the largest cosine with it.
 
-Learning reads a bounded sample: about ``SAMPLE`` rows of each of the ``LANGUAGES`` most frequent
-languages with at least ``LEAST`` rows, chosen by a hash of doc_id, of rows that are not held
-out and have a language.  Prototypes are sums of whole numbers, so they do not depend on
-partitioning.  Predicting reads every whole text, and only the text.
+Learning reads a bounded sample of every language: about ``SAMPLE`` rows of each (all rows of one
+that has fewer), chosen by a hash of doc_id, of rows that are not held out and have a language.
+What is learned is one vector a language, however many there are.  Prototypes are sums of whole
+numbers, so they do not depend on partitioning.  Predicting reads every whole text, and only the
+text.
 
 Defined cases: null text and text without a letter are ``und`` with score 0, as is everything
-when nothing was learned; null or repeated doc_id rows are predicted each (a row with a null id
-is not learned from); other columns are ignored, or carried through when filtering.
+when nothing was learned; of languages whose cosines are equal to six places the first by name is
+taken; null or repeated doc_id rows are predicted each (a row with a null id is not learned from);
+other columns are ignored, or carried through when filtering.
 """
 
 from __future__ import annotations
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 
 from stratalens.llm.common import arrow_batch, held_out, parts, table
 
-DIMENSIONS, SEED, SAMPLE, LANGUAGES, LEAST, CHUNK = 1024, 20240, 3000, 256, 3, 4096
+DIMENSIONS, SEED, SAMPLE, CHUNK = 1024, 20240, 3000, 4096
+#: Letter vectors that a task keeps at hand; others are made again when met.
+LETTERS = 20_000
 UND, FAR = "und", 0.05
+BROADCAST = 100_000  # languages
 _BITS = 21  # a code point
 
 _letters: np.ndarray | None = None
@@ -58,21 +63,22 @@ class Space:
     """The random letter vectors, made when first met from the code point alone."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        self.dimensions, self.seed, self.rows, self.at = dimensions, seed, np.zeros((0, dimensions), np.int8), {}
+        self.dimensions, self.seed, self.made = dimensions, seed, {}
 
-    def _index(self, points: np.ndarray) -> np.ndarray:
-        known, back = np.unique(points, return_inverse=True)
-        new = [p for p in known.tolist() if p not in self.at]
-        if new:
-            made = [np.random.default_rng([self.seed, p]).integers(0, 2, self.dimensions, np.int8) * 2 - 1 for p in new]
-            self.at.update({p: len(self.rows) + i for i, p in enumerate(new)})
-            self.rows = np.vstack([self.rows, np.array(made, np.int8)])
-        return np.array([self.at[p] for p in known.tolist()])[back]
+    def _vector(self, point: int) -> np.ndarray:
+        if (v := self.made.get(point)) is None:
+            if len(self.made) >= LETTERS:
+                self.made.clear()
+            v = self.made[point] = np.random.default_rng([self.seed, point]).integers(0, 2, self.dimensions, np.int8) * 2 - 1
+        return v
 
     def bound(self, grams: np.ndarray) -> np.ndarray:
+        """Only the vectors of the letters in ``grams`` are rolled."""
         mask = (1 << _BITS) - 1
-        a, b, c = (self._index(x) for x in (grams >> 2 * _BITS, grams >> _BITS & mask, grams & mask))
-        return np.roll(self.rows, 2, 1)[a] * np.roll(self.rows, 1, 1)[b] * self.rows[c]
+        points, back = np.unique(np.concatenate([grams >> 2 * _BITS, grams >> _BITS & mask, grams & mask]), return_inverse=True)
+        rows = np.array([self._vector(p) for p in points.tolist()], np.int8).reshape(-1, self.dimensions)
+        a, b, c = back.reshape(3, -1)
+        return np.roll(rows, 2, 1)[a] * np.roll(rows, 1, 1)[b] * rows[c]
 
     def bundle(self, texts: list[str]) -> np.ndarray:
         """A vector a text, all at once: counts of distinct trigrams times their vectors, in chunks of trigrams."""
@@ -108,22 +114,22 @@ class Model:
                 return [(UND, 0.0)] * len(texts)
             has = [bool(letters()[np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)].any()) for t in texts]
             cosine = _unit(space.bundle(texts)) @ unit.T
-            best = cosine.argmax(axis=1)
+            best = cosine.round(6).argmax(axis=1)
             return [(self.languages[b], float(min(1.0, max(0.0, c[b])))) if h else (UND, 0.0) for h, b, c in zip(has, best, cosine, strict=True)]
 
         return predict
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Prototypes from rows that are not held out; what comes to the driver is one vector a language."""
+    """Prototypes from rows that are not held out; what comes to the driver is a count and a vector a language."""
+    spark = docs.sparkSession
     known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return Model((), np.zeros((0, DIMENSIONS)))
-    share = {r["lang"]: min(1.0, sample / r["n"]) for r in counts}
-    chance = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
+    shares = spark.createDataFrame([(r["lang"], min(1.0, sample / r["n"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = known.where(draw < F.element_at(chance, F.col("lang")))
+    picked = known.join(F.broadcast(shares) if len(counts) <= BROADCAST else shares, "lang").where(draw < F.col("share"))
 
     def run(batches):
         space, sums = Space(), {}
@@ -137,7 +143,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     sums = picked.select("lang", "text").mapInArrow(run, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     found: dict[str, np.ndarray] = {}
-    for r in sums.collect():  # at most LANGUAGES x DIMENSIONS numbers
+    for r in sums.toLocalIterator():  # DIMENSIONS numbers a language
         found.setdefault(r["lang"], np.zeros(DIMENSIONS, np.int64))[r["place"]] = r["value"]
     names = tuple(sorted(found))
     return Model(names, np.array([found[n] for n in names]).reshape(-1, DIMENSIONS))
