@@ -1,23 +1,29 @@
 """Quality by compression: zstandard dictionaries of good and bad text.
 
 Two dictionaries are trained, one from texts labelled good and one from texts labelled bad.  A
-text is compressed whole with each; the difference of the compressed sizes, normalised by the
-text's size, says which dictionary knows it better.  A logistic curve fitted on labelled texts
-that no dictionary has seen turns differences into probabilities.
+text is compressed with each, in frames of ``FRAME`` bytes, so that in a long text the dictionary
+does not give way to the text itself; the difference of the compressed sizes, normalised by the
+text's size, says which dictionary knows it better.  A logistic curve over that difference (and
+over the normalised size itself, see ``_features``), fitted on labelled texts that no dictionary
+has seen, gives probabilities.
 
 Fitting reads a bounded sample: at most ``SAMPLE`` labelled rows a class, in the order of a hash
-of doc_id, of at most ``MOST_CHARS`` characters each.  Scoring reads every whole text and only
-the text.
+of doc_id, every text whole.  Only the ids of the sample and what is learned come to the driver: a
+dictionary is trained by one streaming task a class, which holds ``BATCH`` bytes of text at a time
+(of more text, a dictionary is trained a batch and then one from those), and the sizes for the
+curve are found where the texts are.  Scoring reads every whole text and only the text.
 
 Defined cases: null text scores as empty text; null or repeated doc_id rows are scored each;
 labels other than 0 and 1 and labels of unknown documents are ignored; with fewer than
 ``LEAST`` labelled texts of either class every text scores the share of label 1 among those
-found (0.5 without any); other columns are ignored, or carried through when filtering.
+found (0.5 without any); a class of too little text to train on has its own text as dictionary;
+other columns are ignored, or carried through when filtering.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import arrow_batch, held_out, parts, table
+from stratalens.llm.common import arrow_batch, forget, held_out, parts, table, text_or_empty, written
 
-SAMPLE, MOST_CHARS, LEAST = 4000, 1 << 16, 8
+SAMPLE, LEAST = 4000, 8
 DICTIONARY, LEVEL, THRESHOLD = 1 << 16, 3, 0.3
-#: A text is compressed in frames of this many bytes, so that in a long text the dictionary does not give way to the text itself.
-FRAME = 4096
+FRAME, BATCH = 4096, 32 << 20
+#: The trainer fails hard on next to nothing, so samples have this many bytes (short texts are joined) and there are so many.
+SAMPLE_BYTES, SAMPLES = 256, 16
 
 
 @dataclass(frozen=True)
@@ -65,17 +72,53 @@ def _sizer(data: bytes):
 
 
 def _features(raw: bytes, good, bad) -> tuple[float, ...]:
-    """1, the normalised difference, the difference as evidence that grows with the text, and how far the text compresses at all."""
+    """1, the normalised difference, the difference as evidence that grows with the text, and the normalised size itself.
+
+    The last is there for text that repeats itself: it shrinks to next to nothing under either
+    dictionary, so that no difference is left to see.
+    """
     n, g, b = len(raw), good(raw), bad(raw)
     return 1.0, 20 * (b - g) / (n + 20), (b - g) / math.sqrt(n + 20), math.log((g + 4) / (n + 20))
 
 
-def _train(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary; few or tiny samples make a dictionary of their own content."""
-    try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, texts)) // 8)), texts, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b"\n".join(texts)[-size:] or b"\n" * 16
+def _samples(texts: Iterable[bytes]) -> Iterator[bytes]:
+    """Every byte of every text, in samples of up to FRAME bytes; short ones are joined."""
+    small = b""
+    for text in texts:
+        for at in range(0, len(text), FRAME):
+            small += text[at : at + FRAME] + b"\n"
+            if len(small) >= SAMPLE_BYTES:
+                yield small
+                small = b""
+    if small:
+        yield small
+
+
+def _train(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary; few or small samples make a dictionary of their own content."""
+    total = sum(map(len, samples))
+    if len(samples) >= SAMPLES and total >= SAMPLES * SAMPLE_BYTES:
+        try:
+            return zstandard.train_dictionary(min(size, max(1024, total // 8)), samples, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(samples)[-size:].rjust(16, b"\n")
+
+
+def dictionary(texts: Iterable[bytes], size: int = DICTIONARY, most: int = BATCH) -> bytes:
+    """One dictionary of all texts, holding ``most`` bytes of them at a time."""
+    trained, now, held = [], [], 0
+    for sample in _samples(texts):
+        now.append(sample)
+        held += len(sample)
+        if held >= most:
+            trained.append(_train(now, size))
+            now, held = [], 0
+    if not trained:
+        return _train(now, size)
+    if now:
+        trained.append(_train(now, size))
+    return dictionary(trained, size, max(most, 4 * size)) if len(trained) > 1 else trained[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -90,37 +133,64 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _curve(dictionaries: list[bytes], features: list[tuple[float, ...]], quality: list[int], prior: float) -> Model:
+    return Model(*dictionaries, tuple(_logistic(np.array(features), np.array(quality, float))), prior)
+
+
 def fit(good: list[str], bad: list[str], size: int = DICTIONARY) -> Model:
-    """From labelled texts: even ones train the dictionaries, odd ones the curve."""
+    """From labelled texts: even ones train the dictionaries, odd ones the curve.  The same as ``train`` on texts at hand."""
     n = len(good) + len(bad)
     prior = len(good) / n if n else 0.5
     if min(len(good), len(bad)) < LEAST:
         return Model(b"", b"", (), prior)
     raw = [[t.encode() for t in texts] for texts in (good, bad)]
-    dictionaries = [_train([t for t in texts[::2] if t], size) for texts in raw]
+    dictionaries = [dictionary(texts[::2], size) for texts in raw]
     sizers = [_sizer(d) for d in dictionaries]
-    x = np.array([_features(t, *sizers) for texts in raw for t in texts[1::2]])
-    y = np.array([1.0] * len(raw[0][1::2]) + [0.0] * len(raw[1][1::2]))
-    return Model(*dictionaries, tuple(_logistic(x, y)), prior)
+    return _curve(dictionaries, [_features(t, *sizers) for texts in raw for t in texts[1::2]], [1] * len(raw[0][1::2]) + [0] * len(raw[1][1::2]), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_chars: int = MOST_CHARS, size: int = DICTIONARY) -> Model:
-    """Fit on rows that are not held out.  The sampled ids (at most 2 x ``sample``) and their bounded texts come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> Model:
+    """Fit on rows that are not held out.  To the driver come at most 2 x ``sample`` ids and features, and two dictionaries."""
+    spark = docs.sparkSession
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
-    known = labels.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("__quality"))
-    chosen = [known.where(F.col("__quality") == q).distinct().orderBy(order, "doc_id").limit(sample) for q in (1, 0)]
-    ids = chosen[0].union(chosen[1])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).where(F.length("text") <= most_chars).join(F.broadcast(ids), "doc_id").distinct()
-    found = sorted((r["doc_id"], r["text"], r["__quality"]) for r in rows.toLocalIterator())
-    mixed = sorted(found, key=lambda r: (hash_of(r[0]), r[1]))
-    return fit([t for _, t, q in mixed if q == 1], [t for _, t, q in mixed if q == 0], size)
-
-
-def hash_of(x) -> int:
-    import zlib
-
-    return zlib.crc32(f"q{x}".encode())
+    known = labels.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("q")).distinct()
+    found = docs.select("doc_id").join(known, "doc_id").distinct()
+    chosen = [[r["doc_id"] for r in found.where(F.col("q") == q).orderBy(order, "doc_id").limit(sample).collect()] for q in (1, 0)]
+    n = len(chosen[0]) + len(chosen[1])
+    prior = len(chosen[0]) / n if n else 0.5
+    if min(map(len, chosen)) < LEAST:
+        return Model(b"", b"", (), prior)
+    rows = [(i, q, k) for q, ids in zip((1, 0), chosen, strict=True) for k, i in enumerate(ids)]
+    ids = spark.createDataFrame(rows, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, q int, k int")
+    texts = written(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id").select("q", "k", "text").distinct(), "quality-sample")
+
+    def build(batches):
+        seen, parts_of = [], iter(batches)
+
+        def stream():
+            for batch in parts_of:
+                seen.extend(batch.column(0).to_pylist()[:1])
+                for text in batch.column(1).to_pylist():
+                    yield text.encode()
+
+        made = dictionary(stream(), size)
+        if seen:
+            yield arrow_batch(pa.schema([("q", pa.int32()), ("made", pa.binary())]), [seen[:1], [made]])
+
+    made = {}
+    for q in (1, 0):
+        even = texts.where((F.col("q") == q) & (F.col("k") % 2 == 0)).repartition(1).sortWithinPartitions("k", "text").select("q", "text")
+        made |= {r["q"]: bytes(r["made"]) for r in even.mapInArrow(build, "q int, made binary").collect()}
+    dictionaries = [made[1], made[0]]
+
+    def sizes(batches):
+        sizers = [_sizer(d) for d in dictionaries]
+        for batch, some in parts(batches, "text"):
+            yield arrow_batch(pa.schema([("q", pa.int32()), ("k", pa.int32()), ("x", pa.list_(pa.float64()))]), [batch.column(0), batch.column(1), [list(_features(t.encode(), *sizers)) for t in some]])
+
+    seen = texts.where("k % 2 = 1").mapInArrow(sizes, "q int, k int, x array<double>").orderBy(F.desc("q"), "k", "x").collect()
+    forget(texts)
+    return _curve(dictionaries, [tuple(r["x"]) for r in seen], [r["q"] for r in seen], prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
