@@ -40,10 +40,12 @@ PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, block
 
 @dataclass(frozen=True)
 class Limits:
+    """A whole piece of ``tokens`` fills the attention capacity, so that cannot be less; a sequence takes ``documents`` pieces at most."""
+
     tokens: int = CAPACITY
-    documents: int = CAPACITY
+    documents: int = 128
     attention: int = CAPACITY * CAPACITY
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     policy: str = "norm"
 
 
