@@ -55,7 +55,41 @@ SENTENCES = {
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0",
     "cc0": "Licensed under CC0 1.0",
     "all-rights": "All rights reserved",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-event": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-distributed": "Distributed under the Boost Software License, Version 1.0",
+    "boost-see": "(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "lgpl21-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-notice": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc-by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nd-4-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nc-sa-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nc-nd-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "mit-project": "This project is licensed under the MIT License",
+    "apache2-project": "This project is licensed under the Apache License 2.0",
+    "isc-licensed": "Licensed under the ISC License",
+    "bsd2-licensed": "Licensed under the BSD 2-Clause License",
+    "bsd3-licensed": "Licensed under the BSD 3-Clause License",
+    "lgpl21-licensed": "Licensed under the GNU Lesser General Public License, version 2.1",
+    "agpl3-licensed": "Licensed under the GNU Affero General Public License, version 3",
+    "mpl2-licensed": "Licensed under the Mozilla Public License, version 2.0",
+    "epl2-licensed": "Licensed under the Eclipse Public License, version 2.0",
+    "spdx": "SPDX-License-Identifier",
 }
+#: Licence identifiers that may follow "SPDX-License-Identifier:" (fixed values).
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
+SENTENCES |= {f"spdx-{x.lower()}": x for x in SPDX}
 #: Further wordings of known sentences, and further sentences, as the licences publish them.
 WORDINGS = {
     "mit-grant": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',),
@@ -114,9 +148,42 @@ MORE_RULES = [
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-product", "bsd-endorse")),
     ("MPL-2.0", ("mpl2-form", "mpl2-copy")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("0BSD", ("0bsd-grant",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-as-is", "zlib-event", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-distributed", "boost-see")),
+    ("BSL-1.0", ("boost-distributed",)),
+    ("LGPL-2.1-or-later", ("lgpl21-notice",)),
+    ("LGPL-3.0-or-later", ("lgpl3-notice",)),
+    ("AGPL-3.0-or-later", ("agpl3-notice",)),
+    ("GPL-3.0-or-later", ("gpl3-notice", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl2-notice", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl3-notice", "gpl-hope")),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("CC-BY-4.0", ("cc-by-4-work",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4-work",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-work",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-work",)),
+    ("MIT", ("mit-project",)),
+    ("Apache-2.0", ("apache2-project",)),
+    ("ISC", ("isc-licensed",)),
+    ("BSD-2-Clause", ("bsd2-licensed",)),
+    ("BSD-3-Clause", ("bsd3-licensed",)),
+    ("LGPL-2.1", ("lgpl21-licensed",)),
+    ("AGPL-3.0", ("agpl3-licensed",)),
+    ("MPL-2.0", ("mpl2-licensed",)),
+    ("EPL-2.0", ("epl2-licensed",)),
 ]
+MORE_RULES += [(x, ("spdx", f"spdx-{x.lower()}")) for x in SPDX]
 #: Single words: as they hold no separator, normalising cannot make one that the raw text lacks.
-TRIGGERS = ("licen", "permission", "notice", "warrant", "redistribut", "version", "reserved")
+TRIGGERS = ("licen", "permission", "notice", "warrant", "redistribut", "version", "reserved", "unencumbered")
 _END = re.compile(r"[\n\r]+|[.!?;:]+(?=\s)|[.!?;:]+\Z")
 _LINE = re.compile(r"\r\n|\n|\r")
 _MARK = re.compile(r"[0-9]{1,2}|[a-z]")
@@ -247,12 +314,26 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Single-sentence rules in SQL; valid where no text holds a sequence of two (none does in the given tables)."""
-    rows = ", ".join(f"('{normalise(SENTENCES[s[0]])}', '{licence}')" for licence, s in RULES if len(s) == 1)
+    """The ordered rules in SQL, for texts in which no known sentence is wrapped over lines or numbered as a list item (none is in the given tables).
+
+    Sentences of a text are numbered; a rule hits where all its steps stand in a row; the longest hit
+    at each place counts, and from the first on each next one starts after the one before.
+    """
+    one = Recogniser()
+    # by_first holds, for each first sentence, its rules from the strongest on.
+    hits = [(licence, sequence) for found in one.by_first.values() for licence, sequence in found if not set(sequence) & set(one.open)]
+    rows = ", ".join(f"({rule}, '{licence}', {len(sequence)}, {step}, '{part}')" for rule, (licence, sequence) in enumerate(hits) for step, part in enumerate(sequence))
     return rf"""
-WITH known(sentence, licence) AS (VALUES {rows}),
-s AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\n\r]+|[.!?;:]+(\s|$)')) AS sentence FROM documents),
-m AS (SELECT doc_id, licence FROM s JOIN known ON trim(regexp_replace(lower(s.sentence), '[^0-9a-z]+', ' ', 'g')) = known.sentence)
+WITH RECURSIVE rules(rule, licence, size, step, sentence) AS (VALUES {rows}),
+cut AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[\n\r]+|[.!?;:]+(\s|$)') AS pieces FROM documents),
+raw AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM cut),
+norm AS (SELECT doc_id, i, piece, trim(regexp_replace(lower(piece), '[^0-9a-z]+', ' ', 'g')) AS sentence FROM raw),
+said AS (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM norm WHERE sentence <> '' OR regexp_matches(piece, '[^\x00-\x7f]')),
+hits AS (SELECT doc_id, k - step AS start, rule, licence, size FROM said JOIN rules USING (sentence) GROUP BY ALL HAVING count(*) = size),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, start ORDER BY rule) = 1),
+after AS (SELECT a.doc_id, a.start, min(b.start) AS next FROM best a JOIN best b ON a.doc_id = b.doc_id AND b.start >= a.start + a.size GROUP BY ALL),
+taken(doc_id, start) AS (SELECT doc_id, min(start) FROM best GROUP BY doc_id UNION ALL SELECT t.doc_id, a.next FROM taken t JOIN after a ON a.doc_id = t.doc_id AND a.start = t.start),
+m AS (SELECT doc_id, licence FROM taken JOIN best USING (doc_id, start))
 SELECT d.doc_id, count(m.licence) AS n_matches, coalesce(string_agg(DISTINCT m.licence, ',' ORDER BY m.licence), '') AS licences
 FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 """
