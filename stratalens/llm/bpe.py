@@ -12,8 +12,9 @@ Encoding, for any corpus size:
 4. Documents wait for their words in a written table bucketed by block, so that they are not
    shuffled themselves: only rare words travel.
 
-Decoding joins ids to pieces: the id-to-piece table has one row a vocabulary entry (fixed size)
-and is joined in Arrow batches by gathering on the dense id.
+Decoding joins ids to pieces: the tokens of a batch of documents, numbered by position, meet the
+id-to-piece table (one row a vocabulary entry, fixed size) in an Arrow hash join; put back into
+position order, the joined pieces are the documents' bytes one after the other.
 
 Defined cases: null text is empty and has no ids; repeated or null doc_id rows are each encoded;
 other columns are ignored; empty tables give empty results; special-token strings inside a
@@ -23,19 +24,22 @@ text become their id, as the library does; ids unknown to the vocabulary decode
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm.bytebpe import loaded, read_spec
-from stratalens.llm.common import arrow_batch, parts, table, written
+from stratalens.llm.common import arrow_batch, forget, parts, run_dir, table, written
 
 HEAD, HEAD_BYTES, FLUSH = 400_000, 64, 400_000
 BLOCK_DOCS, BLOCK_CHARS = 4000, 8 << 20
+TOKENS = 1 << 20  # joined to pieces at once
 
 
 def distinct_words(texts: DataFrame, spec) -> DataFrame:
@@ -93,8 +97,8 @@ def _head(words: DataFrame, most: int, most_bytes: int) -> dict[str, bytes]:
     return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
-def _held(texts: DataFrame, spec, top, id_type: str) -> str:
-    """The name of a table, bucketed by block, of every document with its head words' ids in place.
+def _held(texts: DataFrame, spec, top, id_type: str) -> DataFrame:
+    """A written table, bucketed by block, of every document with its head words' ids in place.
 
     A block is a run of documents of one task with little text, so it fits in memory anywhere.
     """
@@ -134,15 +138,18 @@ def _held(texts: DataFrame, spec, top, id_type: str) -> str:
     spark = texts.sparkSession
     name = f"bpe_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    texts.mapInArrow(split, fields).write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
-    return name
+    out = texts.mapInArrow(split, fields).write.option("compression", "zstd").option("path", f"{run_dir(spark)}/{name}")
+    out.bucketBy(buckets, "block").saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only: the files are outside the warehouse and stay for `held`
+    return held
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, head: int = HEAD, finish=None, finish_fields: str = "ids array<int>") -> DataFrame:
     """(doc_id, ids) of every document.
 
-    ``finish(bpe, packed) -> dict of columns`` replaces ids by what a caller derives from a
-    document's packed ids, with ``finish_fields`` as its Spark fields.
+    ``finish(bpe, packed ids of some documents) -> columns`` replaces ids by what a caller derives
+    from them, with ``finish_fields`` as their Spark fields.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
@@ -150,46 +157,58 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     words = word_table(distinct_words(texts.select("text"), spec), spec)
     top = spark.sparkContext.broadcast(_head(words, head, HEAD_BYTES))
     id_type = docs.schema[id_col].dataType.simpleString()
-    name = _held(texts, spec, top, id_type)
+    held = _held(texts, spec, top, id_type)
     # A rare word's place is (document in the block, number in the document), packed in one long.
     slot = F.shiftleft(F.col("place").cast("long"), 32) + F.col("k")
-    rare = spark.table(name).where(F.size("words") > 0).select("block", "place", F.posexplode("words").alias("k", "word")).select(F.col("block").alias("of"), slot.alias("slot"), "word")
+    rare = held.where(F.size("words") > 0).select("block", "place", F.posexplode("words").alias("k", "word")).select(F.col("block").alias("of"), slot.alias("slot"), "word")
     back = written(rare.join(words.select("word", "ids").hint("shuffle_merge"), "word").select("of", "slot", "ids"), "rare-ids")
-    held = spark.table(name).select("doc_id", "block", "place", "done", "pos")
-    finish = finish or (lambda bpe, packed: {"ids": np.frombuffer(packed, bpe.dtype).astype(np.int32)})
+    forget(words)
+    finish = finish or (lambda bpe, packed: [[np.frombuffer(x, bpe.dtype).astype(np.int32) for x in packed]])
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
         bpe = loaded(spec.value)
         fills = dict(zip(right.column("slot").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        rows = []
+        packed = []
         for place, done, pos in zip(*(left.column(c).to_pylist() for c in ("place", "done", "pos")), strict=True):
             pieces, at = [], 0
             for k, p in enumerate(pos):
                 pieces += [done[at:p], fills[place << 32 | k]]
                 at = p
-            rows.append(finish(bpe, b"".join([*pieces, done[at:]])))
-        cols = {f.split()[0]: [r[f.split()[0]] for r in rows] for f in finish_fields.split(", ")}
-        return pa.table([left.column("doc_id"), *cols.values()], names=["doc_id", *cols])
+            packed.append(b"".join([*pieces, done[at:]]))
+        names = [f.split()[0] for f in finish_fields.split(", ")]
+        return pa.table([left.column("doc_id"), *finish(bpe, packed)], names=["doc_id", *names])
 
-    return held.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(fill, f"doc_id {id_type}, {finish_fields}")
+    waiting = held.select("doc_id", "block", "place", "done", "pos")
+    return waiting.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(fill, f"doc_id {id_type}, {finish_fields}")
 
 
 class Pieces:
-    """The id-to-piece table as a dense gather."""
+    """The id-to-piece table: (id, piece), every vocabulary entry and special token."""
 
     def __init__(self, bpe):
-        size = max([*bpe.pieces, *bpe.special.values()]) + 1
-        table = [b""] * size
-        for i, b in bpe.pieces.items():
-            table[i] = b
-        for text, i in bpe.special.items():
-            table[i] = text.encode()
-        self.table = table
-
-    def text(self, ids: list[int]) -> str:
-        """Pieces in order, joined and read as UTF-8; bytes that are none become U+FFFD, as the library does."""
-        n, t = len(self.table), self.table
-        return b"".join([t[i] if 0 <= i < n else b"" for i in ids]).decode("utf-8", "replace")
+        rows = sorted((bpe.pieces | {i: text.encode() for text, i in bpe.special.items()}).items())
+        self.table = pa.table({"id": pa.array([i for i, _ in rows], pa.int32()), "piece": pa.array([b for _, b in rows], pa.binary())})
+
+    def texts(self, ids: list[np.ndarray]) -> list[str]:
+        """A text a document: its tokens joined to their pieces, in order of position, read as UTF-8; bytes that are none become U+FFFD, as the library does."""
+        out: list[str] = []
+        start = size = 0
+        for stop, one in enumerate(ids, 1):
+            size += len(one)
+            if size >= TOKENS or stop == len(ids):
+                out += self._join(ids[start:stop])
+                start, size = stop, 0
+        return out
+
+    def _join(self, ids: list[np.ndarray]) -> list[str]:
+        stops = np.cumsum([len(x) for x in ids])
+        tokens = pa.table({"at": np.arange(stops[-1]), "id": np.concatenate(ids).astype(np.int32)})
+        met = tokens.join(self.table, "id", join_type="left outer", use_threads=False)
+        pieces = met.column("piece").combine_chunks().take(pa.array(np.argsort(met.column("at").to_numpy())))
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(pieces), 0).to_numpy())][np.r_[0, stops]].tolist()
+        data = pieces.buffers()[2]
+        data = data.to_pybytes() if data else b""
+        return [data[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(ends)]
 
 
 _PIECES: dict[int, Pieces] = {}
@@ -211,18 +230,16 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tok
         pieces = pieces_of(loaded(spec.value))
         for batch in batches:
             out = pa.schema([batch.schema.field(0), ("text", pa.string())])
-            yield arrow_batch(out, [batch.column(0), [pieces.text(x or []) for x in batch.column(1).to_pylist()]])
+            yield arrow_batch(out, [batch.column(0), pieces.texts([np.array(x or [], np.int32) for x in batch.column(1).to_pylist()])])
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {id_type}, text string")
 
 
-def _digests(bpe, packed: bytes) -> dict:
-    ids = np.frombuffer(packed, bpe.dtype).tolist()
-    return {
-        "n_tokens": len(ids),
-        "ids_sha256": hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-        "decoded_sha256": hashlib.sha256(pieces_of(bpe).text(ids).encode()).hexdigest(),
-    }
+def _digests(bpe, packed: list[bytes]) -> list[list]:
+    """n_tokens, ids_sha256 and decoded_sha256 of some documents."""
+    ids = [np.frombuffer(x, bpe.dtype) for x in packed]
+    hexed = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    return [[len(x) for x in ids], [hexed(",".join(map(str, x.tolist()))) for x in ids], [hexed(t) for t in pieces_of(bpe).texts(ids)]]
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Removes the shuffle files of a finished write, so that only the written table keeps disk.
@@ -32,6 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below ``shared_dir``; it goes when the driver's JVM ends in order."""
+    path = f"{shared_dir(spark)}/stratalens/{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        _MARKED.add(path)
+        files, where = _files(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return path
+
+
+_MARKED: set[str] = set()
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+@contextlib.contextmanager
+def cleanup(spark: SparkSession):
+    """Within this, a write removes its own shuffle files when it is done."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
@@ -39,14 +70,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     values that depend on the run (row locators) are fixed from here on.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratalens/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for table in tables:
+        files, where = _files(table.sparkSession, table._written)
+        files.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,3 +116,19 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, most_rows: int = 256,
 
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def keep_rows(docs: DataFrame, key: Column, winners: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, key) is among ``winners`` (doc_id, key, n), with all their columns.
+
+    ``n`` is how many rows have that id and key: of several one stays, and only those few go
+    through a grouping.  ``winners`` has a row a group, so a plain shuffle join splits hot keys.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    keyed = docs.select(F.col("doc_id").alias("__id"), key.alias("__key"), own)
+    w = winners.select(F.col("doc_id").alias("__wid"), F.col("key").alias("__wkey"), F.col("n").alias("__n"))
+    kept = keyed.join(w.hint("shuffle_merge"), F.col("__id").eqNullSafe(F.col("__wid")) & (F.col("__key") == F.col("__wkey")))
+    if winners.where("n > 1").isEmpty():
+        return kept.select("__doc.*")
+    several = kept.where("__n > 1").groupBy("__id", "__key").agg(F.any_value("__doc").alias("__doc"))
+    return kept.where("__n = 1").select("__doc.*").union(several.select("__doc.*"))

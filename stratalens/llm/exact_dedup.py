@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratalens.llm.common import table, text_or_empty, written
+from stratalens.llm.common import keep_rows, table, text_or_empty, written
 
 SHARD = 100_000
 _GAMMA, _LEVELS = 2, 48
@@ -194,7 +195,9 @@ def classify(rows: DataFrame, is_history: Column, shard_size: int = SHARD) -> Da
 
 
 def earlier_half(rows: DataFrame) -> Column:
-    """The batch split of one table: ids up to the middle of the id range came earlier."""
+    """The batch split of one table: whole-number ids up to the middle of their range came earlier; of other ids a half by hash."""
+    if not isinstance(rows.schema["doc_id"].dataType, T.IntegralType):
+        return F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     return F.lit(False) if lo is None else F.col("doc_id") <= (lo + hi) // 2
 
@@ -214,16 +217,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     rows = digests(docs)
     found = classify(rows, earlier_half(rows))
-    repeats = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").agg(F.count("*").alias("__n"))
-    winners = written(repeats, "winners")
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
-    keyed = docs.select(F.col("doc_id").alias("__id"), digest().alias("__digest"), own)
-    w = winners.select(F.col("doc_id").alias("__wid"), F.col("digest").alias("__wdigest"), "__n")
-    kept = keyed.join(w.hint("shuffle_merge"), F.col("__id").eqNullSafe(F.col("__wid")) & (F.col("__digest") == F.col("__wdigest")))
-    if winners.where("__n > 1").isEmpty():
-        return kept.select("__doc.*")
-    several = kept.where("__n > 1").groupBy("__id", "__digest").agg(F.any_value("__doc").alias("__doc"))
-    return kept.where("__n = 1").select("__doc.*").union(several.select("__doc.*"))
+    winners = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", F.col("digest").alias("key")).agg(F.count("*").alias("n"))
+    return keep_rows(docs, digest(), written(winners, "winners"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

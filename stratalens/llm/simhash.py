@@ -18,8 +18,9 @@ leaves free), and points are grouped; rows grow linearly with the bucket.
 
 Defined cases: null text is empty text; all documents without words form one group; null doc_id
 rows get fingerprints and link, but an id is "smallest" only if not null (a group of null ids
-only has a null component_id); repeated rows are kept, a result row each; other input columns
-are ignored; an empty table gives an empty result.
+only has a null component_id); repeated rows are kept, a result row each (``keep_one`` keeps one
+row a group, also of rows that share an id); other input columns are ignored, or carried through
+when filtering; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import arrow_batch, parts, table, written
+from stratalens.llm.common import arrow_batch, forget, keep_rows, parts, table, text_or_empty, written
 from stratalens.llm.components import components
 
 SHINGLE, SEED, RADIUS, SMALL = 4, 42, 4, 1024
@@ -83,16 +84,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp), fp as a signed long."""
+def text_key(text_col: str = "text") -> Column:
+    """SHA-256 of the text as it is; null is empty."""
+    return F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """(doc_id, fp), fp as a signed long; ``with_key`` adds the text's key."""
     id_type = docs.schema[id_col].dataType
+    key = [text_key(text_col).alias("key")] if with_key else []
 
     def run(batches):
         for batch, texts in parts(batches, "text"):
-            out = pa.schema([batch.schema.field(0), ("fp", pa.int64())])
-            yield arrow_batch(out, [batch.column(0), [_signed(fingerprint(t)) for t in texts]])
+            out = pa.schema([batch.schema.field(0), ("fp", pa.int64()), *list(batch.schema)[2:]])
+            yield arrow_batch(out, [batch.column(0), [_signed(fingerprint(t)) for t in texts], *batch.columns[2:]])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long")
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key)
+    return picked.mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long" + (", key binary" if with_key else ""))
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,9 +184,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, small: int = SMALL) -> Data
     dealt = rows.repartition(n, F.col("t"), key).sortWithinPartitions("t", key)
     found = written(dealt.mapInArrow(_bucket_edges(radius, small, all_masks), "t int, u long, v long"), "links")
     large = found.where("v is null").select("t", F.col("u").alias("fp"))
-    if large.isEmpty():
-        return found.select("u", "v")
-    return found.where("v is not null").select("u", "v").union(_around(large, radius, all_masks))
+    out = found.where("v is not null").select("u", "v")
+    if not large.isEmpty():
+        out = out.union(_around(large, radius, all_masks))
+    out._written = found._written
+    return out
 
 
 def _around(large: DataFrame, radius: int, all_masks: list[int]) -> DataFrame:
@@ -216,27 +226,29 @@ def _around(large: DataFrame, radius: int, all_masks: list[int]) -> DataFrame:
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, small: int = SMALL, **how) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the least doc_id reachable over links."""
+    """(doc_id, fp, component_id, keep_fp) for every row; component_id is the least doc_id reachable over links, keep_fp the least fp that has it there."""
     fps = written(fingerprints(docs, **how), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    member = components(links(distinct.select("fp"), radius, small))
-    named = distinct.join(member, distinct.fp == member.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp"))
+    distinct = fps.groupBy("fp").agg(least.alias("least"))
+    linked = links(distinct.select("fp"), radius, small)
+    member = components(linked)
     # Every member of a component with its least doc_id: the minimum is combined before the shuffle,
     # and written, so that the join back can split a component with very many members.
+    named = distinct.join(member, distinct.fp == member.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = written(named, "members")
-    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    lookup = written(named.join(ids.hint("shuffle_merge"), "root").select("fp", "component_id"), "components")
-    return fps.join(lookup.hint("shuffle_merge"), "fp").select("doc_id", "fp", "component_id")
+    ids = written(named.groupBy("root").agg(F.min("least").alias("w")).select("root", F.col("w.doc_id").alias("component_id"), F.col("w.fp").alias("keep_fp")), "component-ids")
+    lookup = written(named.join(ids.hint("shuffle_merge"), "root").select("fp", "component_id", "keep_fp"), "components")
+    forget(linked, named, ids)
+    return fps.join(lookup.hint("shuffle_merge"), "fp").select("doc_id", "fp", "component_id", "keep_fp", *(["key"] if "key" in fps.columns else []))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group; rows with a null id all stay.
-
-    Repeated rows of the staying id have equal ids; exact dedup before leaves one.
-    """
-    found = groups(docs, radius)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop.hint("shuffle_merge"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group, with all its columns: the least doc_id (null ids last), then the least fingerprint, then the least text key; of rows equal in these, any one."""
+    found = groups(docs, radius, with_key=True)
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp")))
+    alike = own.groupBy("doc_id", "fp", "key").agg(F.count("*").alias("n"))
+    winners = alike.groupBy("doc_id", "fp").agg(F.min(F.struct("key", "n")).alias("w")).select("doc_id", "w.key", "w.n")
+    return keep_rows(docs, text_key(), written(winners, "winners"))
 
 
 def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
