@@ -45,6 +45,31 @@ def test_empty(none):
     assert simhash.groups(none).count() == 0
 
 
+def test_string_ids(spark):
+    rows = [("b", "one  two"), ("a", "one two"), ("c", "three"), (None, "three"), ("a", "one two")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()), key=repr)
+    assert got == sorted([("b", "a", 3), ("a", "a", 3), ("a", "a", 3), ("c", "c", 2), (None, "c", 2)], key=repr)
+    assert sorted(r.doc_id for r in exact_dedup.keep_first(docs).collect()) == ["a", "c"]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == ["a", "c"]
+
+
+def test_keep_one_goes_by_row(spark):
+    """An id shared by unlike texts loses none of them, and every group keeps one row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a + " a59"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, c, 5), (7, c + " ", 6), (None, b, 7), (None, "only null", 8), (None, "only null", 9), (3, near, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    linked = (simhash.fingerprint(a) ^ simhash.fingerprint(near)).bit_count() <= 4
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r[0], r[1]) for r in kept.collect()), key=repr)
+    assert [x for x in got if x[0] == 5] == [(5, b)]
+    assert len([x for x in got if x[0] == 7]) == 1 and len([x for x in got if x[0] is None]) == 1
+    assert len([x for x in got if x[0] == 3]) == (1 if linked else 2)
+    assert len(got) == 4 + (not linked)
+
+
 def test_perfect_hash():
     r = np.random.default_rng(1)
     keys = r.integers(0, 1 << 63, (5000, 4)).astype("<u8")
@@ -61,6 +86,12 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
+def test_keep_first_with_dotted_columns(spark):
+    docs = spark.createDataFrame([(1, "x", 1), (2, "x", 2), (1, "x", 3)], "doc_id long, text string, `a.b` int")
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
 def brute_components(fps, ids):
     root = list(range(len(fps)))
 

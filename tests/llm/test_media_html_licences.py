@@ -190,8 +190,50 @@ def test_wrapped_lines_stay_in_a_paragraph():
     assert names(licences.SENTENCES["mpl2-form"] + ".") == ["MPL-2.0"]
 
 
-def test_licence_sql_is_as_before():
-    assert hashlib.sha256(licences.OP8_SQL.encode()).hexdigest() == "56ae7c5d41f25afc817d50875ee956be2011e134b1a7dffe32cd1c1ea95c9eff"
+def sentence_of(name):
+    return licences.SENTENCES[name] if name in licences.SENTENCES else licences.WORDINGS[name][0]
+
+
+EVERY_RULE = licences.RULES + licences.MORE_RULES
+
+
+@pytest.mark.parametrize("licence, names", EVERY_RULE, ids=["+".join(n) for _, n in EVERY_RULE])
+def test_every_rule_is_reachable(licence, names):
+    one = licences.Recogniser()
+    for glue in ("; ", ".\n", ".\n\n"):
+        text = "Before.\n" + glue.join(map(sentence_of, names)) + ".\nAfter."
+        assert [x for x, _, _ in one.matches(text)] == [licence]
+
+
+def test_every_sentence_is_in_a_rule():
+    assert {*licences.SENTENCES, *licences.WORDINGS} == {n for _, names in EVERY_RULE for n in names}
+
+
+def test_spdx_lines():
+    one = licences.Recogniser()
+    for licence in licences.SPDX:
+        assert [x for x, _, _ in one.matches(f"// SPDX-License-Identifier: {licence}\nint x;")] == [licence]
+    assert one.matches("The identifier is MIT\nMIT") == []
+
+
+def test_licence_sql_over_sequences(spark, frame):
+    """Ordered sequences, the longest at each place, overlaps and repeats: the SQL and the operator agree."""
+    r = __import__("random").Random(3)
+    usable = [n for n in [*licences.SENTENCES, *licences.WORDINGS] if n not in licences.OPEN]
+    chains = [names for _, names in EVERY_RULE if len(names) > 1 and not set(names) & set(licences.OPEN)]
+    texts = [None, "", "nothing here", "ä\n!!\n--"]
+    for _ in range(250):
+        said = []
+        for _ in range(r.randint(1, 4)):
+            said += r.choice([[r.choice(usable)], r.choice(chains), r.choice(chains)[: r.randint(1, 3)], []])
+            said += [""] * (r.random() < 0.3)
+        texts.append("".join((sentence_of(n) if n else r.choice(["Some other words", "--", "é"])) + r.choice([".\n", "; ", "!\n\n"]) for n in said))
+    docs = frame([(i, t, None, None, None) for i, t in enumerate(texts)])
+    con = __import__("duckdb").connect()
+    con.register("documents", docs.toPandas())
+    want = sorted(con.sql(licences.OP8_SQL).fetchall())
+    got = sorted((x.doc_id, x.n_matches, x.licences) for x in licences.scan(docs).collect())
+    assert got == want and sum(n for _, n, _ in got) > 300
 
 
 def test_triggers_lose_nothing():
@@ -234,7 +276,7 @@ def brute_marginals(model, dom):
     import itertools
     import math
 
-    seen = html_model.observe(dom)
+    seen, same = html_model.observe(dom)
     n = len(dom.tag)
     total = np.zeros((n, 2))
     for states in itertools.product((0, 1), repeat=n):
@@ -242,7 +284,7 @@ def brute_marginals(model, dom):
         for i in range(n):
             p += sum(model.emit[a][b][states[i]] for a, b in seen[i] if b in model.emit[a])
             if i:
-                table = model.move.get(html_model.kind(dom.tag[i]), np.zeros((2, 2)))
+                table = np.array(html_model.SAME) if same[i] else model.move.get(html_model.relation(dom, i), np.zeros((2, 2)))
                 p += table[states[dom.parent[i]], states[i]]
         for i, s in enumerate(states):
             total[i, s] += math.exp(p)
@@ -250,7 +292,7 @@ def brute_marginals(model, dom):
 
 
 def test_messages_give_exact_marginals(model):
-    dom = html_model.parse("<div><p>Some text here.</p><ul class=menu><li><a href=x>go</a></ul></div>")
+    dom = html_model.parse("<div><p>Some text <b>here</b>.</p><ul class=menu><li><a href=x>go</a></ul></div>")
     assert np.allclose(model.marginals(dom), brute_marginals(model, dom))
 
 
@@ -282,6 +324,28 @@ def test_held_out_layouts(model):
     assert wrong / (right + wrong) < 0.05
 
 
+COMMENTS = """<body><article><h1>A title</h1><p>The first sentence of the article. And a second one.</p></article>
+<div class="comments">{0}<p>A reader comment that is here to stay.</p>{1}<p>Another reader comment that stays.</p></div></body>"""
+
+
+@pytest.mark.parametrize("deep", [0, 1, 10, 500, 5000])
+def test_depth_changes_nothing(model, deep):
+    """Comments stay out, and an article stays in, within however many boxes."""
+    page = COMMENTS.format("<div>" * deep, "</div>" * deep)
+    assert html_model.extract(page, model) == "A title\nThe first sentence of the article. And a second one."
+    page = "<nav><a href=x>Home</a></nav>" + "<div>" * deep + "<article><p>One sentence of the text.</p><p>Another sentence of it.</p></article>" + "</div>" * deep + "<div class=footer>End.</div>"
+    assert html_model.extract(page, model) == "One sentence of the text.\nAnother sentence of it."
+
+
+def test_stray_tags_take_no_walk(model):
+    """End tags of what is not open, and implied ends within deep nesting, cost no time that grows with depth."""
+    import time
+
+    began = time.time()
+    html_model.parse("<div>" + "<b>" * 30_000 + "</i>" * 30_000 + "<p>x" * 30_000)
+    assert time.time() - began < 10
+
+
 def test_odd_pages(spark, model):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p>unclosed <b>bold"), (3, "u", "plain text"), (None, "u", "<<<>>> & <"), (4, "u", "<div>" * 3000 + "deep words here" + "</div>" * 3000), (5, "u", "<p>" + "word " * 50_000 + "</p>")]
     df = spark.createDataFrame([(*p, "x", 3) for p in pages], "page_id long, url string, html string, text string, n_chars int")

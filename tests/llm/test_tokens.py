@@ -62,6 +62,19 @@ def test_round_trip(odd_extra, library, head):
     assert got == sorted(want, key=repr)
 
 
+def test_decoding_joins_every_id(library):
+    own = bytebpe.ByteBpe(bytebpe.read_spec())
+    pieces = bpe.pieces_of(own)
+    ids = [np.array([i], np.int32) for i in range(0, library.get_vocab_size(), 97)] + [np.array([], np.int32), np.array([10**6, 5], np.int32)]
+    assert pieces.texts(ids) == [library.decode(x.tolist(), skip_special_tokens=False) for x in ids]
+    bpe.TOKENS, before = 3, bpe.TOKENS
+    try:
+        several = [own.ids(t) for t in TEXTS]
+        assert pieces.texts(several) == TEXTS
+    finally:
+        bpe.TOKENS = before
+
+
 def test_decode_inverts_encode(odd):
     back = bpe.decode(bpe.encode(odd))
     assert sorted(map(tuple, back.collect()), key=repr) == sorted([(i, t or "") for i, t, *_ in ODD], key=repr)
@@ -125,6 +138,26 @@ def test_plan_holds_every_capacity(policy):
         packing.plan({600: 1}, limits)
 
 
+def test_production_limits_bind_and_cost_little():
+    """Many short pieces: the document capacity is met, and the sequences are about as few as by tokens alone."""
+    r = random.Random(7)
+    histogram = defaultdict(int)
+    for _ in range(3000):
+        histogram[min(2048, int(r.lognormvariate(5.5, 1.5)) + 1)] += 1
+    for _ in range(200):
+        histogram[r.randint(1, 12)] += 1
+    limits = packing.Limits()
+    assert all(limits.weights) and limits.documents < limits.tokens
+    docs = defaultdict(int)
+    for _, _, n, sequence, per, _ in packing.plan(dict(histogram), limits):
+        for i in range(n):
+            docs[sequence + i // per] += 1
+    least = -(-sum(k * n for k, n in histogram.items()) // 2048)
+    alone = {s + i // per for _, _, n, s, per, _ in packing.plan(dict(histogram), packing.Limits(documents=2048, weights=(1.0, 0.0, 0.0))) for i in range(n)}
+    assert max(docs.values()) == limits.documents
+    assert len(docs) <= 1.005 * max(least, len(alone))
+
+
 def test_plan_is_as_good_as_item_by_item():
     """Runs of equal pieces give as few bins as placing each piece on its own."""
     r = random.Random(6)
@@ -140,7 +173,7 @@ def test_plan_is_as_good_as_item_by_item():
                 bins[i] = b - n
             else:
                 bins.append(100 - n)
-    runs = packing.plan(dict(histogram), packing.Limits(100, 100, 10_000))
+    runs = packing.plan(dict(histogram), packing.Limits(100, 100, 10_000, (1.0, 0.0, 0.0)))
     used = max(s + (n - 1) // per for _, _, n, s, per, _ in runs) + 1
     assert used <= len(bins) + 1
 
