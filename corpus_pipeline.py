@@ -6,12 +6,10 @@ stages learn from the corpus tables of ``sf_dir`` under the same held-out rule a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalens.llm import exact_dedup, language, packing, quality, simhash
-from stratalens.llm.common import shared_dir, table
+from stratalens.llm.common import forget, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/stratalens/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+    docs = before = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{k}-{name.replace(' ', '-')}")
+        if k:
+            forget(before)
     return docs
