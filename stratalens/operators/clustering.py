@@ -2,17 +2,20 @@
 
 Greedy steps within a query are sequential; queries are independent.  Candidates are dealt by
 query, sorted, and streamed through Arrow batches: a task holds one query's list at a time, and
-lists are top-k lists, bounded by their k.  Every function sorts by stated keys first, so results do
-not depend on arrival order.  Rows are plain tuples: lists are short, so frames would cost more
-than the work.
+lists are top-k lists, bounded by their k.  A list is a ``Group``: a numpy array a column.
+
+Nearly every greedy here is one step said again, ``peel``: of a square matrix of what is near what,
+take out a founder with all that are near it and still there.  The rules differ in who founds next
+(the first in an order, or the heaviest neighbourhood) and in what is told of each group.  All sort
+by stated keys first, so results do not depend on arrival order.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,184 +24,200 @@ from pyspark.sql.types import StructType
 EARTH_KM = 6371.0
 
 
-class Row(dict):
-    """A row with its columns as attributes."""
+class Group(dict):
+    """One query's rows: name to array.  ``group[order]`` reorders or cuts all columns."""
+
+    @classmethod
+    def of(cls, rows: list[dict]) -> Group:
+        return cls({c: np.array([r[c] for r in rows]) for c in rows[0]} if rows else {})
+
+    def __len__(self) -> int:
+        return len(next(iter(self.values()))) if self.keys() else 0
 
-    __getattr__ = dict.__getitem__
+    def __getitem__(self, what):
+        return dict.__getitem__(self, what) if isinstance(what, str) else Group({c: v[what] for c, v in self.items()})
 
+    def by(self, *keys) -> Group:
+        """Sorted by arrays or column names, the first the strongest; stable."""
+        return self[np.lexsort([self[k] if isinstance(k, str) else k for k in reversed(keys)])]
 
-def km(a, b) -> float:
-    """Great-circle distance of two (lat, lon)."""
-    p, q = math.radians(a[0]), math.radians(b[0])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-    return 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, max(0.0, h))))
 
+def km(a, b):
+    """Great-circle distance of (lat, lon) pairs of numbers or arrays."""
+    (p, l1), (q, l2) = (np.radians(np.asarray(x, float)) for x in (a, b))
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin((l2 - l1) / 2) ** 2
+    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
 
-def at(r: Row) -> tuple[float, float]:
-    return r.lat, r.lon
 
+def km_between(a: Group, b: Group | None = None) -> np.ndarray:
+    """Distances of all rows of one list to all of another (or itself)."""
+    b = a if b is None else b
+    return km((a["lat"][:, None], a["lon"][:, None]), (b["lat"][None, :], b["lon"][None, :]))
 
-def centroid(places: list[tuple[float, float]], weights: list[float]) -> tuple[float, float]:
-    """Weighted mean on the sphere; opposite points that cancel give the first point."""
-    x = y = z = 0.0
-    for (lat, lon), w in zip(places, weights, strict=True):
-        a, b, w = math.radians(lat), math.radians(lon), max(w, 1e-6)
-        x, y, z = x + w * math.cos(a) * math.cos(b), y + w * math.cos(a) * math.sin(b), z + w * math.sin(a)
-    if math.sqrt(x * x + y * y + z * z) <= 1e-12:
-        return places[0]
+
+def sphere_mean(g: Group, weights: np.ndarray) -> tuple[float, float]:
+    """The direction of the weighted sum of unit vectors; where they cancel, the first place."""
+    lat, lon = np.radians(g["lat"]), np.radians(g["lon"])
+    vectors = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+    x, y, z = vectors @ weights
+    if x * x + y * y + z * z <= 1e-24:
+        return float(g["lat"][0]), float(g["lon"][0])
     return math.degrees(math.atan2(z, math.hypot(x, y))), math.degrees(math.atan2(y, x))
 
 
-def _join_first(place, seeds, inside: Callable[[float], bool]) -> int | None:
-    return next((k for k, s in enumerate(seeds) if inside(km(s, place))), None)
+def peel(near: np.ndarray, founder: Callable[[np.ndarray], int] = np.argmax, most: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(founder, members) until nothing is left or ``most`` groups; ``founder`` chooses among the rows marked as left, by default the first."""
+    left = np.ones(len(near), bool)
+    while left.any() and most != 0:
+        f = int(founder(left))
+        members = near[f] & left
+        members[f] = True
+        left &= ~members
+        most = None if most is None else most - 1
+        yield f, np.flatnonzero(members)
+
+
+def heaviest(near: np.ndarray, weights: np.ndarray) -> Callable[[np.ndarray], int]:
+    """The row whose near rows weigh most, of those left (to twelve places, then the first)."""
 
+    def choose(left: np.ndarray) -> int:
+        mass = (near & left) @ weights
+        return int(np.where(left, mass.round(12), -np.inf).argmax())
 
-def first_fit(rows: list[Row], radius_km: float, limit: int) -> list[tuple]:
-    """(place, lat, lon, score, support, dispersion_km): ranked points join the first seed within the radius (<=), else found a cluster; the cut to ``limit`` comes last."""
-    seeds, members = [], []
-    for r in sorted(rows, key=lambda r: (r.rank, -r.score)):
-        k = _join_first(at(r), seeds, lambda d: d <= radius_km)
-        if k is None:
-            seeds.append(at(r))
-            members.append([r])
-        else:
-            members[k].append(r)
+    return choose
+
+
+def first_fit(g: Group, radius_km: float, limit: int) -> list[tuple]:
+    """(place, lat, lon, score, support, dispersion_km): ranked points join the first seed within the radius (<=), else found a cluster.
+
+    The centre is the mean with weights exp((score - best) / 0.05).
+    """
+    g = g.by("rank", -g["score"])
     out = []
-    for k, group in enumerate(members[:limit]):
-        best = max(r.score for r in group)
-        c = centroid([at(r) for r in group], [math.exp(max(-20.0, min(0.0, (r.score - best) / 0.05))) for r in group])
-        out.append((k + 1, *c, best, len(group), max(km(c, at(r)) for r in group)))
+    for k, (_, members) in enumerate(peel(km_between(g) <= radius_km, most=limit), 1):
+        own = g[members]
+        best = float(own["score"].max())
+        centre = sphere_mean(own, np.maximum(np.exp(np.clip((own["score"] - best) / 0.05, -20, 0)), 1e-6))
+        out.append((k, *centre, best, len(own), float(km((own["lat"], own["lon"]), centre).max())))
+    return out
+
+
+def round_robin(a: Group, b: Group, radius_km: float, limit: int) -> list[tuple]:
+    """(position, source, place, lat, lon): alternate two ranked lists, passing over places within the radius of one taken; scores are never compared.
+
+    What is taken closes all that is near it in both lists, so each side's next is its first open row.
+    """
+    sides = [x.by("place") for x in (a, b) if len(x)]
+    names = [n for n, x in (("a", a), ("b", b)) if len(x)]
+    open_rows = [np.ones(len(x), bool) for x in sides]
+    out: list[tuple] = []
+    while len(out) < limit and any(o.any() for o in open_rows):
+        for name, side, mine in zip(names, sides, open_rows, strict=True):
+            if mine.any() and len(out) < limit:
+                i = int(mine.argmax())
+                here = float(side["lat"][i]), float(side["lon"][i])
+                for x, o in zip(sides, open_rows, strict=True):
+                    o &= km((x["lat"], x["lon"]), here) > radius_km
+                mine[i] = False
+                out.append((len(out) + 1, name, int(side["place"][i]), *here))
     return out
 
 
-def round_robin(a: list[Row], b: list[Row], radius_km: float, limit: int) -> list[tuple]:
-    """(position, source, place, lat, lon): alternate two ranked lists, skipping places within the radius of an accepted one; scores are never compared."""
-    queues = [iter([(name, r) for r in sorted(rows, key=lambda r: r.place)]) for name, rows in (("a", a), ("b", b))]
-    out: list[tuple[str, Row]] = []
-    while queues and len(out) < limit:
-        for queue in list(queues):
-            got = next((x for x in queue if all(km(at(x[1]), at(y)) > radius_km for _, y in out)), None)
-            if got is None:
-                queues.remove(queue)
-            elif len(out) < limit:
-                out.append(got)
-    return [(i + 1, name, r.place, r.lat, r.lon) for i, (name, r) in enumerate(out)]
-
-
-def greedy_mass(rows: list[Row], weights: list[float], radius_km: float, top: int) -> Iterator[tuple[int, list[int]]]:
-    """(founder, members) of the heaviest neighbourhoods (<), each taken out before the next; ties go to the first."""
-    near = [[j for j, s in enumerate(rows) if km(at(r), at(s)) < radius_km] for r in rows]
-    alive = set(range(len(rows)))
-    while alive and top:
-        founder = max(sorted(alive), key=lambda i: round(sum(weights[j] for j in near[i] if j in alive), 12))
-        members = [j for j in near[founder] if j in alive]
-        alive -= set(members)
-        top -= 1
-        yield founder, members
-
-
-def text_clusters(rows: list[Row], radius_km: float = 25.0, top: int = 8) -> list[tuple]:
+def text_clusters(g: Group, radius_km: float = 25.0, top: int = 8) -> list[tuple]:
     """(place, lat, lon, weight, share, places, photos, users) of matches (is_place, user, id, lat, lon): a place weighs 1, a user's photos together 1; share is of the whole weight."""
-    rows = sorted(rows, key=lambda r: (not r.is_place, r.id))
-    photos = Counter(r.user for r in rows if not r.is_place)
-    w = [1.0 if r.is_place else 1.0 / photos[r.user] for r in rows]
+    g = g.by(~g["is_place"], "id")
+    photo = ~g["is_place"]
+    users, of = np.unique(g["user"].astype(str), return_inverse=True)
+    w = np.where(photo, 1.0 / np.maximum(np.bincount(of[photo], minlength=len(users)), 1)[of], 1.0)
+    near = km_between(g) < radius_km
     out = []
-    for k, (c, members) in enumerate(greedy_mass(rows, w, radius_km, top)):
-        group = [rows[j] for j in members]
-        mass, users = sum(w[j] for j in members), {r.user for r in group if not r.is_place}
-        n = sum(r.is_place for r in group)
-        out.append((k + 1, *at(rows[c]), mass, mass / sum(w), n, len(group) - n, len(users)))
+    for k, (f, members) in enumerate(peel(near, heaviest(near, w), top), 1):
+        mass, shot = float(w[members].sum()), photo[members]
+        out.append((k, float(g["lat"][f]), float(g["lon"][f]), mass, mass / float(w.sum()), int((~shot).sum()), int(shot.sum()), len(np.unique(of[members][shot]))))
     return out
 
 
-def softmax(scores: list[float], temperature: float) -> list[float]:
-    best = max(scores)
-    e = [math.exp((s - best) / temperature) for s in scores]
-    return [x / sum(e) for x in e]
+def softmax(scores: np.ndarray, temperature: float) -> np.ndarray:
+    e = np.exp((scores - scores.max()) / temperature)
+    return e / e.sum()
 
 
-def agreement_areas(rows: list[Row], radius_km: float = 25.0, temperature: float = 0.2) -> list[tuple]:
+def agreement_areas(g: Group, radius_km: float = 25.0, temperature: float = 0.2) -> list[tuple]:
     """(area, founder, best, members, support) to exhaustion: founder with the most softmax mass among what is left."""
-    rows = sorted(rows, key=lambda r: r.pos)
-    w = softmax([r.score for r in rows], temperature)
-    out = []
-    for k, (c, members) in enumerate(greedy_mass(rows, w, radius_km, len(rows))):
-        best = max(members, key=lambda j: rows[j].score)
-        out.append((k + 1, rows[c].pos, rows[best].pos, len(members), sum(w[j] for j in members)))
-    return out
+    g = g.by("pos")
+    w, near = softmax(g["score"], temperature), km_between(g) < radius_km
+    groups = enumerate(peel(near, heaviest(near, w)), 1)
+    return [(k, int(g["pos"][f]), int(g["pos"][m[g["score"][m].argmax()]]), len(m), float(w[m].sum())) for k, (f, m) in groups]
 
 
-def mass_areas(rows: list[Row], radius_km: float = 25.0, top: int = 3) -> list[tuple]:
+def mass_areas(g: Group, radius_km: float = 25.0, top: int = 3) -> list[tuple]:
     """(area, founder, mass) of weighted rows (pos, w)."""
-    rows = sorted(rows, key=lambda r: r.pos)
-    w = [r.w for r in rows]
-    return [(k + 1, rows[c].pos, sum(w[j] for j in members)) for k, (c, members) in enumerate(greedy_mass(rows, w, radius_km, top))]
+    g = g.by("pos")
+    near = km_between(g) < radius_km
+    return [(k, int(g["pos"][f]), float(g["w"][m].sum())) for k, (f, m) in enumerate(peel(near, heaviest(near, g["w"]), top), 1)]
 
 
-def merge_heaviest(rows: list[Row], radius_km: float = 25.0) -> list[tuple]:
+def merge_heaviest(g: Group, radius_km: float = 25.0) -> list[tuple]:
     """(place, id, weight, phrases): heaviest first, join the first kept place within the radius (<); the centre stays the founder's."""
-    kept: list[list] = []
-    for r in sorted(rows, key=lambda r: (-r.weight, r.id)):
-        k = _join_first(at(r), [at(x[0]) for x in kept], lambda d: d < radius_km)
-        if k is None:
-            kept.append([r, r.weight, {str(r.phrase)}])
-        else:
-            kept[k][1] += r.weight
-            kept[k][2].add(str(r.phrase))
-    return [(n + 1, r.id, w, ",".join(sorted(phrases))) for n, (r, w, phrases) in enumerate(kept)]
-
-
-def agree_ranked(rows: list[Row], radius_km: float = 25.0, temperature: float = 0.02) -> list[tuple]:
-    """(area, founder_rank, share): first-fit in list order with weights exp((s - s0) / t); areas by mass."""
-    rows = sorted(rows, key=lambda r: r.rank)
-    seeds, mass, first = [], [], []
-    for r in rows:
-        w = math.exp((r.score - rows[0].score) / temperature)
-        k = _join_first(at(r), seeds, lambda d: d < radius_km)
-        if k is None:
-            seeds.append(at(r)), mass.append(w), first.append(r.rank)
-        else:
-            mass[k] += w
-    order = sorted(range(len(seeds)), key=lambda k: (-mass[k], k))
-    return [(n + 1, first[k], mass[k] / sum(mass)) for n, k in enumerate(order)]
-
-
-def merge_sources(rows: list[Row], radius_km: float = 25.0) -> list[tuple]:
+    g = g.by(-g["weight"], "id")
+    groups = enumerate(peel(km_between(g) < radius_km), 1)
+    return [(k, int(g["id"][f]), float(g["weight"][m].sum()), ",".join(sorted({str(x) for x in g["phrase"][m]}))) for k, (f, m) in groups]
+
+
+def agree_ranked(g: Group, radius_km: float = 25.0, temperature: float = 0.02) -> list[tuple]:
+    """(area, founder_rank, share): first-fit in list order with weights exp((s - s0) / t); areas by mass, then by order of founding."""
+    g = g.by("rank")
+    w = np.exp((g["score"] - g["score"][0]) / temperature)
+    groups = [(f, float(w[m].sum())) for f, m in peel(km_between(g) < radius_km)]
+    total = sum(mass for _, mass in groups)
+    return [(k, int(g["rank"][f]), mass / total) for k, (f, mass) in enumerate(sorted(groups, key=lambda x: -x[1]), 1)]
+
+
+def merge_sources(g: Group, radius_km: float = 25.0) -> list[tuple]:
     """(id, candidate, centre_id): clusters of several sources by share / log2(2 + n); each joins the nearest centre within the radius (<), else starts one."""
-    centres: list[Row] = []
+    g = g.by(-(g["share"] / np.log2(2 + g["n"])), "id")
+    far, ids = km_between(g), g["id"]
+    centres: list[int] = []
     out = []
-    for r in sorted(rows, key=lambda r: (-r.share / math.log2(2 + r.n), r.id)):
-        d, k = min(((km(at(c), at(r)), k) for k, c in enumerate(centres)), default=(math.inf, 0))
-        if d >= radius_km:
+    for i in range(len(g)):
+        k = int(far[i, centres].argmin()) if centres else -1
+        if k < 0 or far[i, centres[k]] >= radius_km:
             k = len(centres)
-            centres.append(r)
-        out.append((r.id, k + 1, centres[k].id))
+            centres.append(i)
+        out.append((int(ids[i]), k + 1, int(ids[centres[k]])))
     return out
 
 
-def spread_keep(rows: list[Row], radius_km: float, most: int) -> list[tuple]:
+def spread_keep(g: Group, radius_km: float, most: int) -> list[tuple]:
     """(place, id): heaviest first, keep what is at least the radius from everything kept."""
-    kept: list[Row] = []
-    for r in sorted(rows, key=lambda r: (-r.weight, r.id)):
-        if len(kept) < most and all(km(at(k), at(r)) >= radius_km for k in kept):
-            kept.append(r)
-    return [(n + 1, r.id) for n, r in enumerate(kept)]
+    g = g.by(-g["weight"], "id")
+    return [(k, int(g["id"][f])) for k, (f, _) in enumerate(peel(km_between(g) < radius_km, most=most), 1)]
 
 
-def merge_named(rows: list[Row], within_km: float = 0.5, street_km: float = 3.0) -> list[tuple]:
-    """(id, name, address): same name and kind within a distance (streets: a longer one) are one; the first survives and takes a missing address."""
-    kept: dict[tuple, list[list]] = {}
+def new_areas(g: Group, radius_km: float = 25.0, most: int = 2) -> list[tuple]:
+    """(area, founder, mass) of weighted rows (pos, w, taken): the heaviest areas whose founders keep the radius from every taken place, and from each other.
+
+    Areas are peeled from all rows; one founded within the radius (<) of a taken place, or of an
+    area kept before, is no news.
+    """
+    g = g.by("pos")
+    far, taken = km_between(g), g["taken"].astype(bool)
+    near = far < radius_km
+    kept: list[int] = []
     out = []
-    for r in sorted(rows, key=lambda r: r.id):
-        limit = street_km if r.kind == "street" else within_km
-        group = kept.setdefault((r.name, r.kind), [])
-        same = next((k for k in group if km(at(k[0]), at(r)) < limit), None)
-        if same is None:
-            group.append([r, r.address])
-            out.append(group[-1])
-        elif not same[1] and r.address:
-            same[1] = r.address
-    return [(r.id, r.name, address) for r, address in out]
+    for f, m in peel(near, heaviest(near, g["w"])):
+        if len(out) < most and not near[f, taken].any() and not near[f, kept].any():
+            kept.append(f)
+            out.append((len(out) + 1, int(g["pos"][f]), float(g["w"][m].sum())))
+    return out
+
+
+def merge_named(g: Group, within_km: float = 0.5, street_km: float = 3.0) -> list[tuple]:
+    """(id, name, address): same name and kind within a distance (streets: a longer one) are one; the first survives and takes the first address there is."""
+    g = g.by("id")
+    reach = np.where(g["kind"] == "street", street_km, within_km)
+    alike = (g["name"][:, None] == g["name"][None, :]) & (g["kind"][:, None] == g["kind"][None, :]) & (km_between(g) < reach[None, :])
+    return [(int(g["id"][f]), str(g["name"][f]), next((str(x) for x in g["address"][m] if x), g["address"][f])) for f, m in peel(alike)]
 
 
 def apply(df: DataFrame, key: str, key_type: str, fn, fields: str, **how) -> DataFrame:
@@ -217,8 +236,8 @@ def apply(df: DataFrame, key: str, key_type: str, fn, fields: str, **how) -> Dat
             out.clear()
             return made
 
-        for k, rows in _groups(batches, key):
-            out += [(k, *r) for r in fn(rows, **how)]
+        for k, g in groups(batches, key):
+            out += [(k, *r) for r in fn(g, **how)]
             if len(out) >= 4096:
                 yield batch()
         if out:
@@ -227,26 +246,30 @@ def apply(df: DataFrame, key: str, key_type: str, fn, fields: str, **how) -> Dat
     return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, spark_schema)
 
 
-def _groups(batches, key: str) -> Iterator[tuple]:
-    now, rows = None, []
+def groups(batches, key: str) -> Iterator[tuple]:
+    """(key, Group) of rows sorted by key; a batch's last key may go on in the next."""
+    held: pa.Table | None = None
     for b in batches:
-        names = b.schema.names
-        for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            r = Row(zip(names, values, strict=True))
-            if rows and r[key] != now:
-                yield now, rows
-                rows = []
-            now = r[key]
-            rows.append(r)
-    if rows:
-        yield now, rows
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        keys = held.column(key).to_pylist()
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            yield keys[a], _columns(held.slice(a, z - a))
+        held = held.slice(cuts[-1]) if keys else None
+    if held is not None and held.num_rows:
+        yield held.column(key)[0].as_py(), _columns(held)
+
+
+def _columns(t: pa.Table) -> Group:
+    return Group({c: t.column(c).to_numpy() for c in t.column_names})
 
 
 def apply_two(a: DataFrame, b: DataFrame, key: str, key_type: str, fn, fields: str, **how) -> DataFrame:
     """The same for two lists a query, told apart by a marker column."""
     both = a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)))
 
-    def split(rows, **how):
-        return fn([r for r in rows if not r["__side"]], [r for r in rows if r["__side"]], **how)
+    def split(g: Group, **how):
+        return fn(g[g["__side"] == 0], g[g["__side"] == 1], **how)
 
     return apply(both, key, key_type, split, fields, **how)

@@ -8,49 +8,92 @@ from pyspark.sql import functions as F
 from stratalens.functions import geo, hashing, vectors
 from stratalens.operators import clustering, evaluate, graph, selection, vector
 from stratalens.plans.base import POOL_SQL, TRUTH_LAT, TRUTH_LON, hav_sql, points, points_sql, pool, q, r6, t, truth_lat, truth_lon
-from stratalens.plans.rel_queries import PAIRKM, SOFT, pool_pairs, soft
+from stratalens.plans.rel_queries import MACRO, PAIRKM, SOFT, pool_pairs, soft
 
 # -- clustering ----------------------------------------------------------------------------------
 
 
-@q("clu01_first_fit")
+def peel_sql(rows: str, near: str, key: str = "qid", weight: str | None = None, most: int = 1 << 30) -> str:
+    """CTEs ``p``, ``near``, ``k`` and ``grp(key, n, f, i)``: groups peeled from ``rows`` (key, i from 1 in order, lat, lon, ..).
+
+    ``near`` compares a and b.  Without ``weight`` the first row left founds, else the one whose near rows left weigh most.
+    """
+    founder = f"{{'m': CAST(1 AS DOUBLE), 'i': -x.i, 'js': x.js}}" if weight is None else "{'m': round(list_sum(list_transform(range(1, len(x.js) + 1), lambda t: CASE WHEN list_contains(k.rest, x.js[t]) THEN x.ws[t] ELSE CAST(0 AS DOUBLE) END)), 12), 'i': -x.i, 'js': x.js}"
+    return f"""p AS MATERIALIZED ({rows}),
+near AS MATERIALIZED (SELECT a.{key}, a.i, list(b.i ORDER BY b.i) AS js, list(CAST({'b.' + weight if weight else '1'} AS DOUBLE) ORDER BY b.i) AS ws FROM p a JOIN p b ON a.{key} = b.{key} AND (a.i = b.i OR {near}) GROUP BY ALL),
+k({key}, n, f, ms, rest) AS (SELECT {key}, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]), list(i ORDER BY i) FROM p GROUP BY {key}
+ UNION ALL SELECT {key}, n + 1, -best.i, list_filter(rest, lambda z: list_contains(best.js, z)), list_filter(rest, lambda z: NOT list_contains(best.js, z))
+ FROM (SELECT k.{key}, k.n, k.rest, max({founder}) AS best FROM k JOIN near x ON x.{key} = k.{key} AND list_contains(k.rest, x.i) WHERE k.n < {most} GROUP BY k.{key}, k.n, k.rest)),
+grp AS MATERIALIZED (SELECT {key}, n, f, unnest(ms) AS i FROM k WHERE n > 0)"""
+
+
+NEARBY = f"{hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} {{}}"
+
+
+def first_fit_sql(source: str, radius: float, limit: int, name: str = "") -> str:
+    """The columns of ``clustering.first_fit`` from pool rows."""
+    return f"""(WITH RECURSIVE {peel_sql(f"SELECT qid, pos, score, lat, lon, row_number() OVER (PARTITION BY qid ORDER BY pos) AS i FROM {source}", NEARBY.format(f"<= {radius}"), most=limit)},
+g AS (SELECT qid, n, f, i, score, lat, lon, max(score) OVER (PARTITION BY qid, n) AS best FROM grp JOIN p USING (qid, i)),
+v AS (SELECT *, greatest(CAST(1e-6 AS DOUBLE), exp(greatest(CAST(-20 AS DOUBLE), (score - best) / CAST(0.05 AS DOUBLE)))) AS w FROM g),
+c AS (SELECT qid, n, max(best) AS score, count(*) AS support, sum(w * cos(radians(lat)) * cos(radians(lon))) AS x, sum(w * cos(radians(lat)) * sin(radians(lon))) AS y, sum(w * sin(radians(lat))) AS z FROM v GROUP BY ALL),
+d AS (SELECT *, degrees(atan2(z, sqrt(x * x + y * y))) AS clat, degrees(atan2(y, x)) AS clon FROM c)
+SELECT d.qid, CAST(d.n AS INTEGER) AS place, clat AS lat, clon AS lon, d.score, CAST(support AS INTEGER) AS support, max({hav_sql('clat', 'clon', 'g.lat', 'g.lon')}) AS dispersion_km FROM d JOIN g ON g.qid = d.qid AND g.n = d.n GROUP BY ALL)"""
+
+
+FIRST_FIT = "place int, lat double, lon double, score double, support int, dispersion_km double"
+
+
+@q("clu01_first_fit", f"SELECT qid, place, round(lat, 5) AS lat, round(lon, 5) AS lon, round(score, 6) AS score, support, round(dispersion_km, 3) AS dispersion_km FROM {first_fit_sql(POOL_SQL, 25, 5)}")
 def _(spark, d):
     p = pool(spark, d).withColumnRenamed("pos", "rank")
-    return clustering.apply(p, "qid", "long", clustering.first_fit, "place int, lat double, lon double, score double, support int, dispersion_km double", radius_km=25.0, limit=5)
+    got = clustering.apply(p, "qid", "long", clustering.first_fit, FIRST_FIT, radius_km=25.0, limit=5)
+    return got.select("qid", "place", r6("lat", "lat", 5), r6("lon", "lon", 5), r6("score", "score"), "support", r6("dispersion_km", "dispersion_km", 3))
+
 
+def _robin_sql() -> str:
+    """Turns a, b, a, ..: the side's first open place is taken and closes what is near it on both; a side without one passes."""
+    a, b = (first_fit_sql(f"(SELECT * FROM {POOL_SQL} WHERE author % 2 = {k})", 5, 10) for k in (0, 1))
+    return f"""WITH RECURSIVE nodes AS MATERIALIZED (SELECT qid, 'a' AS source, place, place AS id, lat, lon FROM {a} UNION ALL SELECT qid, 'b', place, place + 1000, lat, lon FROM {b}),
+shut AS MATERIALIZED (SELECT x.qid, x.id, list(y.id) AS js FROM nodes x JOIN nodes y ON x.qid = y.qid AND (x.id = y.id OR {hav_sql('x.lat', 'x.lon', 'y.lat', 'y.lon')} <= 25) GROUP BY ALL),
+turns(qid, step, got, done, la, lb) AS (SELECT qid, 0, CAST(NULL AS INTEGER), 0, coalesce(list(id ORDER BY id) FILTER (source = 'a'), []), coalesce(list(id ORDER BY id) FILTER (source = 'b'), []) FROM nodes GROUP BY qid
+ UNION ALL SELECT t.qid, t.step + 1, t.pick, t.done + CASE WHEN t.pick IS NULL THEN 0 ELSE 1 END, list_filter(la, lambda z: NOT list_contains(coalesce(s.js, []), z)), list_filter(lb, lambda z: NOT list_contains(coalesce(s.js, []), z))
+ FROM (SELECT *, CASE WHEN step % 2 = 0 THEN la[1] ELSE lb[1] END AS pick FROM turns WHERE done < 5 AND len(la) + len(lb) > 0) t LEFT JOIN shut s ON s.qid = t.qid AND s.id = t.pick)
+SELECT t.qid, t.done AS position, n.source, n.place, round(n.lat, 5) AS lat, round(n.lon, 5) AS lon FROM turns t JOIN nodes n ON n.qid = t.qid AND n.id = t.got"""
 
-@q("clu02_round_robin")
+
+@q("clu02_round_robin", _robin_sql())
 def _(spark, d):
     p = pool(spark, d).withColumnRenamed("pos", "rank")
-    fields = "place int, lat double, lon double, score double, support int, dispersion_km double"
-    a = clustering.apply(p.where("author % 2 = 0"), "qid", "long", clustering.first_fit, fields, radius_km=5.0, limit=10)
-    b = clustering.apply(p.where("author % 2 = 1"), "qid", "long", clustering.first_fit, fields, radius_km=5.0, limit=10)
-    return clustering.apply_two(a, b, "qid", "long", clustering.round_robin, "position int, source string, place int, lat double, lon double", radius_km=25.0, limit=5)
+    a, b = (clustering.apply(p.where(F.col("author") % 2 == k), "qid", "long", clustering.first_fit, FIRST_FIT, radius_km=5.0, limit=10) for k in (0, 1))
+    got = clustering.apply_two(a, b, "qid", "long", clustering.round_robin, "position int, source string, place int, lat double, lon double", radius_km=25.0, limit=5)
+    return got.select("qid", "position", "source", "place", r6("lat", "lat", 5), r6("lon", "lon", 5))
+
 
+MATCHES = f"SELECT qid, pos, lat, lon, is_place, author, CASE WHEN is_place THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / count(*) FILTER (NOT is_place) OVER (PARTITION BY qid, author) END AS w, row_number() OVER (PARTITION BY qid ORDER BY NOT is_place, pos) AS i FROM (SELECT *, author % 4 = 0 AS is_place FROM {POOL_SQL})"
 
-@q("clu03_text_clusters")
+
+@q("clu03_text_clusters", f"""WITH RECURSIVE {peel_sql(MATCHES, NEARBY.format('< 25'), weight='w', most=8)}, whole AS (SELECT qid, sum(w) AS all_w FROM p GROUP BY 1)
+SELECT g.qid, CAST(n AS INTEGER) AS place, round(any_value(s.lat), 6) AS lat, round(any_value(s.lon), 6) AS lon, round(sum(m.w), 6) AS weight, round(sum(m.w) / any_value(all_w), 6) AS share, CAST(count(*) FILTER (m.is_place) AS INTEGER) AS places, CAST(count(*) FILTER (NOT m.is_place) AS INTEGER) AS photos, CAST(count(DISTINCT m.author) FILTER (NOT m.is_place) AS INTEGER) AS users
+FROM grp g JOIN p m ON m.qid = g.qid AND m.i = g.i JOIN p s ON s.qid = g.qid AND s.i = g.f JOIN whole ON whole.qid = g.qid GROUP BY g.qid, n""")
 def _(spark, d):
     p = pool(spark, d).select("qid", F.col("pos").alias("id"), (F.col("author") % 4 == 0).alias("is_place"), F.col("author").cast("string").alias("user"), "lat", "lon")
-    return clustering.apply(p, "qid", "long", clustering.text_clusters, "place int, lat double, lon double, weight double, share double, places int, photos int, users int")
+    got = clustering.apply(p, "qid", "long", clustering.text_clusters, "place int, lat double, lon double, weight double, share double, places int, photos int, users int")
+    return got.select("qid", "place", *[r6(c, c) for c in ("lat", "lon", "weight", "share")], "places", "photos", "users")
 
 
-@q("clu04_greedy_mass")
-def _(spark, d):
-    return clustering.apply(soft(spark, d).select("qid", "pos", "w", "lat", "lon"), "qid", "long", clustering.mass_areas, "area int, founder long, mass double")
+SOFT_ROWS = f"SELECT qid, pos, pos AS i, score, lat, lon, w FROM {SOFT}"
 
 
-AREAS = f"""WITH RECURSIVE p AS (SELECT qid, pos, score, lat, lon, exp((score - max(score) OVER (PARTITION BY qid)) / CAST(0.2 AS DOUBLE)) AS e FROM {POOL_SQL}), s AS (SELECT *, e / sum(e) OVER (PARTITION BY qid) AS w FROM p),
-near AS (SELECT a.qid, a.pos, list(b.pos ORDER BY b.pos) AS js, list(b.w ORDER BY b.pos) AS ws FROM s a JOIN s b ON a.qid = b.qid AND {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 25 GROUP BY ALL),
-f AS (SELECT qid, pos AS founder, js, ws FROM near)
-SELECT qid, founder, members, support FROM (SELECT qid, founder, CAST(len(js) AS BIGINT) AS members, round(list_sum(ws), 6) AS support, row_number() OVER (PARTITION BY qid ORDER BY round(list_sum(ws), 9) DESC, founder) AS rn FROM f) WHERE rn = 1"""
+@q("clu04_greedy_mass", f"WITH RECURSIVE {peel_sql(SOFT_ROWS, NEARBY.format('< 25'), weight='w', most=3)} SELECT qid, CAST(n AS INTEGER) AS area, f AS founder, round(sum(w), 6) AS mass FROM grp JOIN p USING (qid, i) GROUP BY qid, n, f")
+def _(spark, d):
+    got = clustering.apply(soft(spark, d).select("qid", "pos", "w", "lat", "lon"), "qid", "long", clustering.mass_areas, "area int, founder long, mass double")
+    return got.select("qid", "area", "founder", r6("mass", "mass"))
 
 
-@q("clu05_agreement_areas", AREAS)
+@q("clu05_agreement_areas", f"WITH RECURSIVE {peel_sql(SOFT_ROWS, NEARBY.format('< 25'), weight='w')} SELECT qid, CAST(n AS INTEGER) AS area, f AS founder, -max({{'s': score, 'i': -i}}).i AS best, count(*) AS members, round(sum(w), 6) AS support FROM grp JOIN p USING (qid, i) GROUP BY qid, n, f")
 def _(spark, d):
-    """The first area of each query; the function gives all of them."""
-    p = pool(spark, d)
-    got = clustering.apply(p, "qid", "long", clustering.agreement_areas, "area int, founder long, best long, members long, support double")
-    return got.where("area = 1").select("qid", F.col("founder").cast("long").alias("founder"), F.col("members").cast("long").alias("members"), r6("support", "support"))
+    got = clustering.apply(pool(spark, d), "qid", "long", clustering.agreement_areas, "area int, founder long, best long, members long, support double")
+    return got.select("qid", "area", "founder", "best", "members", r6("support", "support"))
 
 
 SUPPORT = f"(SELECT a.qid, a.pos, any_value(a.score) AS score, sum(b.w) AS support FROM {SOFT} a JOIN {SOFT} b ON a.qid = b.qid AND {PAIRKM} < 25 GROUP BY a.qid, a.pos)"
@@ -71,18 +114,30 @@ def _(spark, d):
     return grid.groupBy("qid", "lam").agg(F.max_by("pos", F.struct(F.round(F.log("support") + F.col("lam") * F.col("w"), 9), -F.col("pos"))).alias("pick"))
 
 
-@q("clu08_merge_heaviest")
+WEIGHTED = f"SELECT qid, pos, score, lat, lon, author % 6 AS phrase, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS i FROM {POOL_SQL}"
+
+
+@q("clu08_merge_heaviest", f"WITH RECURSIVE {peel_sql(WEIGHTED, NEARBY.format('< 25'))} SELECT g.qid, CAST(n AS INTEGER) AS place, any_value(s.pos) AS id, round(sum(m.score), 6) AS weight, string_agg(DISTINCT CAST(m.phrase AS VARCHAR), ',' ORDER BY CAST(m.phrase AS VARCHAR)) AS phrases FROM grp g JOIN p m ON m.qid = g.qid AND m.i = g.i JOIN p s ON s.qid = g.qid AND s.i = g.f GROUP BY g.qid, n")
 def _(spark, d):
     p = pool(spark, d).select("qid", F.col("pos").alias("id"), F.col("score").alias("weight"), "lat", "lon", (F.col("author") % 6).alias("phrase"))
-    return clustering.apply(p, "qid", "long", clustering.merge_heaviest, "place int, id long, weight double, phrases string")
+    got = clustering.apply(p, "qid", "long", clustering.merge_heaviest, "place int, id long, weight double, phrases string")
+    return got.select("qid", "place", "id", r6("weight", "weight"), "phrases")
 
 
-@q("clu09_ranked_agreement")
+@q("clu09_ranked_agreement", f"WITH RECURSIVE {peel_sql('SELECT *, exp((score - max(score) OVER (PARTITION BY qid)) / CAST(0.02 AS DOUBLE)) AS e, pos AS i FROM ' + POOL_SQL, NEARBY.format('< 25'))}, m AS (SELECT qid, n, f, sum(e) AS mass FROM grp JOIN p USING (qid, i) GROUP BY ALL) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY mass DESC, n) AS INTEGER) AS area, f AS founder_rank, round(mass / sum(mass) OVER (PARTITION BY qid), 6) AS share FROM m")
 def _(spark, d):
-    return clustering.apply(pool(spark, d).withColumnRenamed("pos", "rank"), "qid", "long", clustering.agree_ranked, "area int, founder_rank long, share double")
+    got = clustering.apply(pool(spark, d).withColumnRenamed("pos", "rank"), "qid", "long", clustering.agree_ranked, "area int, founder_rank long, share double")
+    return got.select("qid", "area", "founder_rank", r6("share", "share"))
+
 
+CENTRES = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT qid, pos, lat, lon, row_number() OVER (PARTITION BY qid ORDER BY w / log2(2 + author % 9) DESC, pos) AS i FROM {SOFT}),
+k(qid, i, lats, lons, ids, c) AS (SELECT qid, i, [lat], [lon], [pos], CAST(1 AS BIGINT) FROM p WHERE i = 1
+ UNION ALL SELECT qid, i, CASE WHEN far THEN list_append(lats, lat) ELSE lats END, CASE WHEN far THEN list_append(lons, lon) ELSE lons END, CASE WHEN far THEN list_append(ids, pos) ELSE ids END, CASE WHEN far THEN len(ids) + 1 ELSE list_position(ds, list_min(ds)) END
+ FROM (SELECT *, list_min(ds) >= 25 AS far FROM (SELECT k.qid, p.i, k.lats, k.lons, k.ids, p.lat, p.lon, p.pos, list_transform(range(1, len(k.lats) + 1), lambda t: {hav_sql('k.lats[t]', 'k.lons[t]', 'p.lat', 'p.lon')}) AS ds FROM k JOIN p ON p.qid = k.qid AND p.i = k.i + 1)))
+SELECT k.qid, p.pos AS id, CAST(k.c AS INTEGER) AS candidate, k.ids[k.c] AS centre_id FROM k JOIN p USING (qid, i)"""
 
-@q("clu10_merge_sources")
+
+@q("clu10_merge_sources", CENTRES)
 def _(spark, d):
     p = soft(spark, d).select("qid", F.col("pos").alias("id"), "lat", "lon", F.col("w").alias("share"), (F.col("author") % 9).alias("n"))
     return clustering.apply(p, "qid", "long", clustering.merge_sources, "id long, candidate int, centre_id long")
@@ -102,7 +157,10 @@ def _(spark, d):
     return got.select("qid", F.col("id").cast("long").alias("pos"))
 
 
-@q("clu12_merge_same_name")
+NAMED = f"SELECT *, row_number() OVER (PARTITION BY grp_key ORDER BY pos) AS i FROM (SELECT qid, pos, lat, lon, 'n' || (author % 3) AS name, author % 2 = 0 AS street, CASE WHEN pos % 2 = 0 THEN 'addr' ELSE '' END AS address, qid || ':' || (author % 3) || ':' || (author % 2) AS grp_key FROM {POOL_SQL})"
+
+
+@q("clu12_merge_same_name", f"WITH RECURSIVE {peel_sql(NAMED, NEARBY.format('< CASE WHEN a.street THEN 30 ELSE 5 END'), key='grp_key')} SELECT any_value(s.qid) AS qid, any_value(s.pos) AS id, any_value(s.name) AS name, coalesce(arg_min(m.address, m.i) FILTER (m.address <> ''), '') AS address FROM grp g JOIN p m ON m.grp_key = g.grp_key AND m.i = g.i JOIN p s ON s.grp_key = g.grp_key AND s.i = g.f GROUP BY g.grp_key, n")
 def _(spark, d):
     p = pool(spark, d).select("qid", F.col("pos").alias("id"), F.concat(F.lit("n"), (F.col("author") % 3).cast("string")).alias("name"), F.when(F.col("author") % 2 == 0, "street").otherwise("shop").alias("kind"), F.when(F.col("pos") % 2 == 0, "addr").otherwise("").alias("address"), "lat", "lon")
     return clustering.apply(p, "qid", "long", clustering.merge_named, "id long, name string, address string", within_km=5.0, street_km=30.0)
@@ -139,11 +197,23 @@ def _(spark, d):
     return n.groupBy("s_nationkey").agg(F.max_by("s_suppkey", F.struct("n", -F.col("s_suppkey"))).alias("pick"))
 
 
-@q("clu18_new_hypotheses", f"SELECT qid, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS rn FROM {POOL_SQL} WHERE {hav_sql(TRUTH_LAT, TRUTH_LON, 'lat', 'lon')} >= 25) WHERE rn <= 2")
+#: Places taken already: the first candidate of each query is an earlier answer.
+NEWS = f"""WITH RECURSIVE {peel_sql(f"SELECT qid, pos, pos AS i, lat, lon, w FROM {SOFT}", NEARBY.format('< 25'), weight='w')},
+areas AS (SELECT qid, n, f, sum(w) AS mass FROM grp JOIN p USING (qid, i) GROUP BY ALL),
+fresh AS (SELECT a.* FROM areas a JOIN near x ON x.qid = a.qid AND x.i = a.f WHERE NOT list_contains(x.js, 1)),
+cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n) AS c FROM fresh),
+w(qid, c, kept) AS (SELECT qid, CAST(1 AS BIGINT), [f] FROM cand WHERE c = 1
+ UNION ALL SELECT w.qid, cand.c, CASE WHEN len(kept) < 2 AND len(list_intersect(kept, x.js)) = 0 THEN list_append(kept, cand.f) ELSE kept END FROM w JOIN cand ON cand.qid = w.qid AND cand.c = w.c + 1 JOIN near x ON x.qid = cand.qid AND x.i = cand.f),
+last AS (SELECT qid, arg_max(kept, c) AS kept FROM w GROUP BY qid)
+SELECT qid, CAST(list_position(kept, f) AS INTEGER) AS area, f AS founder, round(mass, 6) AS mass FROM last JOIN areas USING (qid) WHERE list_contains(kept, f)"""
+
+
+@q("clu18_new_hypotheses", NEWS)
 def _(spark, d):
-    """The best candidates that are not within the radius of a place already taken."""
-    p = pool(spark, d).where(geo.haversine(truth_lat(), truth_lon(), "lat", "lon") >= 25)
-    return p.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy("pos"))).where("rn <= 2").select("qid", "pos")
+    """The heaviest areas whose founders keep 25 km from the places taken and from each other."""
+    p = soft(spark, d).select("qid", "pos", "lat", "lon", "w", (F.col("pos") == 1).alias("taken"))
+    got = clustering.apply(p, "qid", "long", clustering.new_areas, "area int, founder long, mass double", radius_km=25.0, most=2)
+    return got.select("qid", "area", "founder", r6("mass", "mass"))
 
 
 # -- selection -----------------------------------------------------------------------------------
@@ -154,14 +224,37 @@ def people(spark, d):
     return c.select(F.col("c_custkey").alias("id"), "lat", "lon", F.col("c_nationkey").cast("string").alias("country"), "c_mktsegment", (F.col("c_custkey") % 97).cast("string").alias("sequence"), (F.col("c_custkey") % 41).cast("string").alias("uploader"), geo.macro_region("lat", "lon").alias("continent"))
 
 
-@q("sel01_hash_cohort")
+PEOPLE = f"(SELECT c_custkey AS id, lat, lon, CAST(c_nationkey AS VARCHAR) AS country, c_mktsegment AS region, CAST(c_custkey % 97 AS VARCHAR) AS sequence, CAST(c_custkey % 41 AS VARCHAR) AS uploader, {MACRO} AS continent FROM {points_sql('customer', 'c_custkey', '', 'c_nationkey, c_mktsegment')})"
+
+#: A step takes the first row in hash order that is open: each region twice, then anyone.
+COHORT = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT *, sha256('cohort:' || id) AS at FROM {PEOPLE}),
+steps AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r, region) AS n, region FROM (SELECT DISTINCT region FROM c), (VALUES (1), (2)) t(r) UNION ALL SELECT 2 * (SELECT count(DISTINCT region) FROM c) + i, NULL FROM range(1, 61) s(i)),
+w(n, ids, seqs, countries) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+ UNION ALL SELECT n + 1, CASE WHEN x IS NULL THEN ids ELSE list_append(ids, x.id) END, CASE WHEN x IS NULL THEN seqs ELSE list_append(seqs, x.sequence) END, CASE WHEN x IS NULL THEN countries ELSE list_append(countries, x.country) END
+ FROM (SELECT w.n, w.ids, w.seqs, w.countries, min({{'at': c.at, 'id': c.id, 'sequence': c.sequence, 'country': c.country}}) FILTER (c.id IS NOT NULL) AS x FROM w JOIN steps ON steps.n = w.n + 1 LEFT JOIN c ON (steps.region IS NULL OR c.region = steps.region) AND NOT list_contains(w.seqs, c.sequence) AND NOT list_contains(w.ids, c.id) AND len(list_filter(w.countries, lambda z: z = c.country)) < 5
+ WHERE len(w.ids) < 60 GROUP BY w.n, w.ids, w.seqs, w.countries))
+SELECT CAST(unnest(range(1, len(ids) + 1)) AS INTEGER) AS position, unnest(ids) AS id FROM (SELECT arg_max(ids, n) AS ids FROM w)"""
+
+
+@q("sel01_hash_cohort", COHORT)
 def _(spark, d):
     return selection.hash_cohort(people(spark, d).withColumn("region", F.col("c_mktsegment")), size=60, country_cap=5)
 
 
-@q("sel02_balanced_pick")
+#: Continents in turn, each giving its first open row.
+BALANCED = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT *, sha256('pick:' || id) AS at FROM {PEOPLE}),
+names AS MATERIALIZED (SELECT continent, row_number() OVER (ORDER BY continent) - 1 AS k, count(*) OVER () AS many FROM (SELECT DISTINCT continent FROM c)),
+w(n, ids, ups, countries, conts, lats, lons) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[])
+ UNION ALL SELECT n + 1, CASE WHEN x IS NULL THEN ids ELSE list_append(ids, x.id) END, CASE WHEN x IS NULL THEN ups ELSE list_append(ups, x.uploader) END, CASE WHEN x IS NULL THEN countries ELSE list_append(countries, x.country) END, CASE WHEN x IS NULL THEN conts ELSE list_append(conts, x.continent) END, CASE WHEN x IS NULL THEN lats ELSE list_append(lats, x.lat) END, CASE WHEN x IS NULL THEN lons ELSE list_append(lons, x.lon) END
+ FROM (SELECT w.n, w.ids, w.ups, w.countries, w.conts, w.lats, w.lons, min({{'at': c.at, 'id': c.id, 'uploader': c.uploader, 'country': c.country, 'continent': c.continent, 'lat': c.lat, 'lon': c.lon}}) FILTER (c.id IS NOT NULL) AS x
+ FROM w JOIN names ON names.k = w.n % names.many LEFT JOIN c ON c.continent = names.continent AND NOT list_contains(w.ids, c.id) AND len(list_filter(w.ups, lambda z: z = c.uploader)) < 3 AND len(list_filter(w.countries, lambda z: z = c.country)) < 8 AND len(list_filter(w.conts, lambda z: z = c.continent)) < 20
+ AND coalesce(list_min(list_transform(range(1, len(w.lats) + 1), lambda t: {hav_sql('w.lats[t]', 'w.lons[t]', 'c.lat', 'c.lon')})), 1e9) >= 50 WHERE len(w.ids) < 80 AND w.n < 80 * names.many GROUP BY ALL))
+SELECT CAST(unnest(range(1, len(ids) + 1)) AS INTEGER) AS position, unnest(ids) AS id, unnest(conts) AS continent FROM (SELECT arg_max(ids, n) AS ids, arg_max(conts, n) AS conts FROM w)"""
+
+
+@q("sel02_balanced_pick", BALANCED)
 def _(spark, d):
-    return selection.in_one_group(people(spark, d), selection.balanced, "position int, id long, continent string", target=80, per_uploader=3, per_country=8, per_continent=20, gap_km=50.0)
+    return selection.balanced_pick(people(spark, d), target=80, per_uploader=3, per_country=8, per_continent=20, gap_km=50.0)
 
 
 @q("sel03_round_robin_depth", "WITH x AS (SELECT p_brand AS grp, p_size AS item, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS depth FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY depth, grp) AS rn FROM x) SELECT grp, depth, item FROM f WHERE rn = 1 ORDER BY depth, grp LIMIT 30")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import math
 from pathlib import Path
 
@@ -19,20 +20,30 @@ def connect(sf_dir: str):
 
 
 def _cell(x):
-    if isinstance(x, bool) or x is None:
+    """Whole numbers stay as they are; other numbers become floats; the rest becomes text."""
+    if isinstance(x, bool | int) or x is None:
         return x
     if isinstance(x, float) and math.isnan(x):
         return "nan"
-    if hasattr(x, "as_tuple"):
-        x = float(x)
-    if isinstance(x, int | float):
-        return round(float(x), 6) + 0.0
-    return str(x)
+    if isinstance(x, decimal.Decimal):
+        return int(x) if x == x.to_integral_value() and x.as_tuple().exponent >= 0 else float(x)
+    return float(x) + 0.0 if isinstance(x, float) else str(x)
+
+
+def _key(row: tuple) -> tuple:
+    """Sorts rows alike on both sides: floats by six places, last."""
+    return tuple(repr(x) for x in row if not isinstance(x, float)), tuple(round(x, 5) for x in row if isinstance(x, float))
+
+
+def _same(x, y) -> bool:
+    if type(x) is not type(y):
+        return False
+    return x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9))
 
 
 def rows(columns: list[str], found) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(_cell(r[i]) for i in order) for r in found), key=repr)
+    return sorted((tuple(_cell(r[i]) for i in order) for r in found), key=_key)
 
 
 def difference(spark, con, query, sql: str, sf_dir: str) -> str:
@@ -47,7 +58,6 @@ def difference(spark, con, query, sql: str, sf_dir: str) -> str:
     if len(got) != len(want):
         return f"{len(got)} rows and {len(want)}"
     for a, b in zip(got, want, strict=True):
-        for x, y in zip(a, b, strict=True):
-            if x != y and not (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-6)):
-                return f"{a} and {b}"
+        if not all(_same(x, y) for x, y in zip(a, b, strict=True)):
+            return f"{a} and {b}"
     return "" if got else "no rows"

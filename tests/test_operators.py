@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stratalens.operators import clustering, evaluate, graph, ordering, postings, selection, spatial, vector
-from stratalens.operators.clustering import Row, km
+from stratalens.operators.clustering import Group, km
 from stratalens.plans import base, io_queries, text_queries
 from stratalens.streaming import incremental
 
@@ -41,7 +41,7 @@ def test_nearest_ring(spark):
 
 
 def ranked(*rows):
-    return [Row(zip(("rank", "lat", "lon", "score"), r, strict=True)) for r in rows]
+    return Group.of([dict(zip(("rank", "lat", "lon", "score"), r, strict=True)) for r in rows])
 
 
 def test_first_fit_clusters():
@@ -52,26 +52,27 @@ def test_first_fit_clusters():
 def test_first_fit_boundary_is_inclusive():
     a, b = (0.0, 0.0), (0.0, 1.0)
     assert len(clustering.first_fit(ranked((1, *a, 1.0), (2, *b, 0.5)), km(a, b), 5)) == 1
-    assert len(clustering.agreement_areas([Row(pos=1, lat=0.0, lon=0.0, score=1.0), Row(pos=2, lat=0.0, lon=1.0, score=0.5)], km(a, b))) == 2
+    assert len(clustering.agreement_areas(Group.of([dict(pos=1, lat=0.0, lon=0.0, score=1.0), dict(pos=2, lat=0.0, lon=1.0, score=0.5)]), km(a, b))) == 2
 
 
 def test_round_robin_fusion():
     def lists(*p):
-        return [Row(place=i + 1, lat=x, lon=0.0) for i, x in enumerate(p)]
+        return Group.of([dict(place=i + 1, lat=x, lon=0.0) for i, x in enumerate(p)])
 
     out = clustering.round_robin(lists(0.0, 20.0), lists(0.0, 10.0), 25.0, 10)
     assert [(s, p) for _, s, p, *_ in out] == [("a", 1), ("b", 2), ("a", 2)]
+    assert [(s, p) for _, s, p, *_ in clustering.round_robin(lists(0.0, 20.0), Group.of([]), 25.0, 10)] == [("a", 1), ("a", 2)]
 
 
 def test_agreement_beats_a_lone_score():
-    rows = [Row(pos=0, lat=50.0, lon=0.0, score=0.9), *[Row(pos=i, lat=10.0 + i / 100, lon=0.0, score=0.8 + i / 100) for i in (1, 2, 3)]]
-    out = clustering.agreement_areas(rows)
+    rows = [dict(pos=0, lat=50.0, lon=0.0, score=0.9), *[dict(pos=i, lat=10.0 + i / 100, lon=0.0, score=0.8 + i / 100) for i in (1, 2, 3)]]
+    out = clustering.agreement_areas(Group.of(rows))
     assert out[0][3] == 3 and out[0][2] == 3 and math.isclose(sum(x[4] for x in out), 1.0)
 
 
 def test_one_user_weighs_one():
-    rows = [Row(is_place=False, user="u", id=i, lat=0.0, lon=0.0) for i in range(29)] + [Row(is_place=True, user="p", id=100, lat=30.0, lon=0.0), Row(is_place=False, user="v", id=101, lat=30.0, lon=0.0)]
-    out = clustering.text_clusters(rows)
+    rows = [dict(is_place=False, user="u", id=i, lat=0.0, lon=0.0) for i in range(29)] + [dict(is_place=True, user="p", id=100, lat=30.0, lon=0.0), dict(is_place=False, user="v", id=101, lat=30.0, lon=0.0)]
+    out = clustering.text_clusters(Group.of(rows))
     assert (out[0][1], round(out[0][3], 6)) == (30.0, 2.0) and math.isclose(out[1][3], 1.0)
 
 
@@ -134,18 +135,33 @@ def test_auc_with_ties(spark):
     assert evaluate.auc(df, "s", "y").first().auc == 3.5 / 4
 
 
-def test_caps_hold():
+def in_hash_order(rows, salt):
+    return sorted(rows, key=lambda r: hashlib.sha256(f"{salt}:{r['id']}".encode()).hexdigest())
+
+
+def test_balanced_pick_equals_a_plain_walk(spark):
+    """Over batches so small that scopes must be filled again, with rows whose values are unknown."""
     r = random.Random(2)
-    rows = [Row(id=i, lat=r.uniform(-60, 60), lon=r.uniform(-180, 180), uploader=i % 11, country=i % 7, continent=i % 4) for i in range(400)]
-    out = selection.balanced(rows, 40, 5, 8, 12, 100.0)
-    by = {r.id: r for r in rows}
-    assert len(out) == 40
-    for kind, cap in (("uploader", 5), ("country", 8), ("continent", 12)):
-        counts = {}
-        for _, i, _ in out:
-            counts[by[i][kind]] = counts.get(by[i][kind], 0) + 1
-        assert max(counts.values()) <= cap
-    assert all(km((by[a].lat, by[a].lon), (by[b].lat, by[b].lon)) >= 100 for _, a, _ in out for _, b, _ in out if a < b)
+    rows = [dict(id=i, lat=r.uniform(-60, 60), lon=r.uniform(-180, 180), uploader=i % 11 if i % 13 else None, country=i % 7, continent=f"k{i % 4}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, uploader int, country int, continent string")
+    caps = {"uploader": 5, "country": 8, "continent": 12}
+    picked, used, open_names = [], {}, sorted({x["continent"] for x in rows})
+
+    def fits(x):
+        return all(x[c] is None or used.get((c, x[c]), 0) < n for c, n in caps.items()) and all(km((x["lat"], x["lon"]), (y["lat"], y["lon"])) >= 300 for y in picked) and x not in picked
+
+    while open_names and len(picked) < 40:
+        for name in list(open_names):
+            got = next((x for x in in_hash_order(rows, "pick") if x["continent"] == name and fits(x)), None)
+            if got is None:
+                open_names.remove(name)
+            elif len(picked) < 40:
+                picked.append(got)
+                for c in caps:
+                    used[c, got[c]] = used.get((c, got[c]), 0) + 1
+    for batch in (3, 2000):
+        out = selection.balanced_pick(df, 40, 5, 8, 12, 300.0, batch=batch).orderBy("position").collect()
+        assert [x.id for x in out] == [x["id"] for x in picked]
 
 
 def test_stream_restart(spark, tmp_path):
@@ -211,10 +227,30 @@ def test_hash_cohort_loses_no_rare_region(spark):
     rows += [(i, "far", f"s{k}", "rare") for k, i in enumerate(last)]
     rows += [(i, f"c{r.randrange(6)}", f"t{r.randrange(40)}", "common") for i in range(7000, 7400)]
     df = spark.createDataFrame(rows, "id long, country string, sequence string, region string")
-    every = [Row(zip(df.columns, x, strict=True)) for x in rows]
+    every = in_hash_order([dict(zip(df.columns, x, strict=True)) for x in rows], "cohort")
     for size, cap in ((4, 2), (10, 3), (60, 5)):
-        want = selection.cohort(every, size, cap)
-        assert sorted((x.position, x.id) for x in selection.hash_cohort(df, size, cap).collect()) == want
-        assert any(i in last for _, i in want)
+        want, seen, used = [], set(), {}
+
+        def take(among):
+            for x in among:
+                if x["id"] not in want and x["sequence"] not in seen and used.get(x["country"], 0) < cap:
+                    want.append(x["id"]), seen.add(x["sequence"])
+                    used[x["country"]] = used.get(x["country"], 0) + 1
+                    return True
+            return False
+
+        for _ in range(2):
+            for region in ("common", "rare"):
+                take([x for x in every if x["region"] == region])
+        while len(want) < size and take(every):
+            pass
+        for batch in (5, 2000):
+            assert [x.id for x in selection.hash_cohort(df, size, cap, batch=batch).orderBy("position").collect()] == want[:size]
+        assert any(i in last for i in want)
         capped = selection.cap_per_key(df, "sequence", 25, "cohort", "id").drop("rn")
         assert not any(x.id in last for x in capped.collect())
+
+
+def test_new_areas_keep_off_what_is_taken():
+    rows = [dict(pos=1, lat=0.0, lon=0.0, w=0.1, taken=True), dict(pos=2, lat=0.1, lon=0.0, w=0.9, taken=False), dict(pos=3, lat=10.0, lon=0.0, w=0.5, taken=False), dict(pos=4, lat=10.1, lon=0.0, w=0.4, taken=False), dict(pos=5, lat=20.0, lon=0.0, w=0.3, taken=False), dict(pos=6, lat=30.0, lon=0.0, w=0.2, taken=False)]
+    assert [(a, f, round(m, 6)) for a, f, m in clustering.new_areas(Group.of(rows))] == [(1, 3, 0.9), (2, 5, 0.3)]
