@@ -52,6 +52,43 @@ def bit_distance(a, b) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def covering_masks(radius: int, bits: int) -> list[int]:
+    """Masks of a hash's bits such that any ``radius`` bits are all masked out by one of them.
+
+    Each bit has a vector of radius + 1 bits and mask t keeps the bits whose vectors have an odd
+    product with t: radius vectors never span the whole space, so some t is even with all of them.
+    Of the strides that deal vectors to bits, the one whose shortest mask is longest is taken.
+    """
+    size = (1 << (radius + 1)) - 1
+
+    def masks(stride: int) -> list[int]:
+        vectors = [1 + i * stride % size for i in range(bits)]
+        return [sum(1 << i for i, v in enumerate(vectors) if (v & t).bit_count() % 2) for t in range(1, size + 1)]
+
+    return max((masks(s) for s in range(1, size)), key=lambda m: min(x.bit_count() for x in m))
+
+
+def within_bits(hashes, key: str, value: str, radius: int, bits: int):
+    """(a, b, bits) of pairs a < b of hashes (key, value: a long) that differ in ``radius`` bits at most.
+
+    Hashes meet by an equi-join on each mask's bits; a pair that meets under several masks counts
+    under the first.  Equal hashes are joined as one value, so copies do not multiply the meetings.
+    """
+    masks = covering_masks(radius, bits)
+    literal = F.array(*[F.lit(m) for m in masks])
+    distinct = hashes.select(F.col(value).alias("h")).distinct()
+    keyed = distinct.select("h", F.posexplode(F.transform(literal, lambda m: F.col("h").bitwiseAND(m))).alias("t", "k"))
+    x, y = keyed.withColumnRenamed("h", "hx"), keyed.withColumnRenamed("h", "hy")
+    differ = F.col("hx").bitwiseXOR(F.col("hy"))
+    first = F.array_position(F.transform(literal, lambda m: differ.bitwiseAND(m)), F.lit(0).cast("long")) - 1
+    met = x.join(y, ["t", "k"]).where((F.col("hx") <= F.col("hy")) & (F.bit_count(differ) <= radius)).where(first == F.col("t"))
+    near = met.select("hx", "hy", F.bit_count(differ).cast("int").alias("bits"))
+    near = near.union(near.where("hx < hy").select(F.col("hy"), F.col("hx"), "bits"))
+    a = hashes.select(F.col(key).alias("a"), F.col(value).alias("hx"))
+    b = hashes.select(F.col(key).alias("b"), F.col(value).alias("hy"))
+    return a.join(near, "hx").join(b, "hy").where("a < b").select("a", "b", "bits")
+
+
 def perceptual(grey):
     """64-bit perceptual hash of a 32 x 32 grey image: low 8 x 8 cosine coefficients against their median."""
     import numpy as np

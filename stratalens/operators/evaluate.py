@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.operators import ordering
+
 THRESHOLDS_KM = (1, 25, 200, 750, 2500)
 
 
@@ -24,11 +28,10 @@ def clustered(rows: DataFrame, y: str, stratum: str, group: str) -> DataFrame:
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve with mid-ranks for ties, from counts by score: no global sort of the rows."""
-    by = rows.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    below = F.sum(F.col("n") - F.col("pos")).over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    part = by.withColumn("u", F.col("pos") * (F.coalesce(below, F.lit(0)) + (F.col("n") - F.col("pos")) / 2.0))
-    return part.agg((F.sum("u") / (F.sum("pos") * (F.sum("n") - F.sum("pos")))).alias("auc"))
+    """Area under the ROC curve with mid-ranks for ties, from counts by score: no global sort of the rows, and a running sum by ranges of scores."""
+    by = rows.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
+    part = ordering.summed(by, score, "neg", "below").withColumn("u", F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
+    return part.agg((F.sum("u") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def average_precision(rows: DataFrame, score: str, label: str, row_id: str, query: str | None = None) -> DataFrame:
@@ -44,25 +47,31 @@ def ordinal_auc(rows: DataFrame, score: str, label: str, row_id: str) -> DataFra
     """The same with ties ordered by id: negatives below each positive, within its score by a window and below it by counts a score."""
     within = F.sum(1 - F.col(label)).over(W.partitionBy(score).orderBy(row_id).rowsBetween(W.unboundedPreceding, -1))
     x = rows.withColumn("__w", F.when(F.col(label) == 1, F.coalesce(within, F.lit(0))))
-    by = x.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"), F.sum("__w").alias("w"))
-    below = F.sum(F.col("n") - F.col("pos")).over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))  # a row a distinct score
-    part = by.withColumn("u", F.coalesce("w", F.lit(0)) + F.col("pos") * F.coalesce(below, F.lit(0)))
-    return part.agg((F.sum("u") / (F.sum("pos") * (F.sum("n") - F.sum("pos")))).alias("auc"))
+    by = x.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"), F.sum("__w").alias("w")).withColumn("neg", F.col("n") - F.col("pos"))
+    part = ordering.summed(by, score, "neg", "below").withColumn("u", F.coalesce("w", F.lit(0)) + F.col("pos") * F.col("below"))
+    return part.agg((F.sum("u") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+
+
+#: Chances that a Poisson number of mean 1 is at most 0, 1, 2, ..
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9))
 
 
-def bootstrap(rows: DataFrame, value: str, row_id: str, resamples: int, most: int = 100_000) -> DataFrame:
-    """Mean and 95 % interval of resampled means.  Draw j of resample r takes the row at a hashed position.
+def bootstrap(rows: DataFrame, value: str, row_id: str, resamples: int) -> DataFrame:
+    """Mean of a value and the 95 % interval of its resampled means, in one pass.
 
-    Up to ``most`` values are numbered in one task and broadcast; more are numbered by a distributed
-    sort and met by a shuffle join.
+    In each resample a row counts a Poisson number of times, drawn from a digest of its id and the
+    resample (four resamples a digest).  A row is drawn for itself, so nothing is numbered or
+    joined, and a task sends four sums a digest whatever it read.
     """
-    n = max(1, rows.count())
-    pairs = rows.select(F.col(row_id).alias("id"), F.col(value).cast("double").alias("v"))
-    if n <= most:
-        numbered = F.broadcast(pairs.select((F.row_number().over(W.orderBy("id")) - 1).cast("long").alias("at"), "v"))
-    else:
-        numbered = pairs.orderBy("id").rdd.zipWithIndex().map(lambda x: (x[1], x[0].v)).toDF("at long, v double")
-    hashed = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long")
-    draws = rows.sparkSession.range(resamples * n).select(F.floor(F.col("id") / n).alias("r"), F.pmod(hashed, F.lit(n)).alias("at"))
-    means = draws.join(numbered, "at").groupBy("r").agg(F.avg("v").alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    blocks = -(-resamples // 4)
+    digest = F.md5(F.concat(F.col(row_id).cast("string"), F.lit(":"), F.col("b").cast("string")))
+    v = F.col(value).cast("double")
+    drawn = rows.select(v.alias("v"), row_id, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).select("v", "b", digest.alias("h"))
+    aggs = []
+    for k in range(4):
+        u = F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("double") / 4294967296.0
+        w = sum(((u >= c).cast("int") for c in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+        aggs.append(F.struct((F.lit(4) * F.first("b") + k).alias("r"), (F.sum(F.col("v") * w) / F.sum(w)).alias("m")))
+    means = drawn.groupBy("b").agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).where(F.col("x.r") < resamples)
+    interval = means.agg(F.percentile("x.m", 0.025).alias("low"), F.percentile("x.m", 0.975).alias("high"))
+    return rows.agg(F.avg(v).alias("mean")).join(F.broadcast(interval))  # one row each

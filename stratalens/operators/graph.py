@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.functions import geo
+
 
 def edge_weights(knn: DataFrame, tau: float) -> DataFrame:
     """(src, dst, sim) to (src, dst, w): exp((sim - 1) / tau), each source's weights adding to 1."""
@@ -38,3 +40,20 @@ def diffuse(seeds: DataFrame, edges: DataFrame, steps: int, alpha: float, top: i
         cut = mixed.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= top)
         now = cut.withColumn("p", F.col("p") / F.sum("p").over(W.partitionBy("q"))).select("q", "node", "p")
     return now
+
+
+def area_mass(nodes: DataFrame, areas: DataFrame, radius_km: float, top: int) -> DataFrame:
+    """(q, area, mass, pick) of nodes(q, node, p, lat, lon) and areas(q, area, clat, clon).
+
+    ``mass`` is what lies within the radius (<) of the area's centre; ``pick`` is the one of a query's
+    ``top`` nodes with the most of their mass around it.  Both joins are within a query, whose nodes
+    are a truncated list.
+    """
+    near = geo.haversine("clat", "clon", "lat", "lon") < radius_km
+    mass = areas.join(nodes, "q").groupBy("q", "area").agg(F.coalesce(F.sum(F.when(near, F.col("p"))), F.lit(0.0)).alias("mass"))
+    by = W.partitionBy("q").orderBy(F.desc("p"), "node")
+    a = nodes.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= top).select("q", "node", "p", "lat", "lon")
+    b = a.select("q", F.col("p").alias("p2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    around = a.join(b, "q").where(geo.haversine("lat", "lon", "lat2", "lon2") < radius_km).groupBy("q", "node").agg(F.sum("p2").alias("near"))
+    pick = around.groupBy("q").agg(F.max_by("node", F.struct(F.round("near", 9), -F.col("node"))).alias("pick"))
+    return mass.join(pick, "q")

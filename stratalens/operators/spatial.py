@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo
+from stratalens.sources.shared import written
 
 
 def cell_size(radius_km: float) -> float:
@@ -41,17 +42,17 @@ def with_reach(points: DataFrame, radius_km: float, size: float, lat: str = "lat
     return out.withColumn("__col", F.pmod(F.col("__c"), F.lit(columns)).cast("int")).drop("__c")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_km: float, strict: bool = False, earth: float = geo.EARTH_KM) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius_km: float, strict: bool = False, earth: float = geo.EARTH_KM, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within ``radius_km``; left has lat, lon and right has rlat, rlon; adds ``km``.
 
-    ``strict`` uses < instead of <=.
+    ``strict`` uses < instead of <=; pairs must be equal in the columns ``on``.
     """
     size = cell_size(radius_km)
     km = geo.haversine("lat", "lon", "rlat", "rlon", earth)
     near = km < radius_km if strict else km <= radius_km
     reach = with_reach(left, radius_km, size)
     cells = with_cell(right, size, "rlat", "rlon")
-    return reach.join(cells, ["__row", "__col"]).where(near).drop("__row", "__col").withColumn("km", km)
+    return reach.join(cells, ["__row", "__col", *on]).where(near).drop("__row", "__col").withColumn("km", km)
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: float, k: int = 1) -> DataFrame:
@@ -61,14 +62,60 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def nearest_ring(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rings: tuple[float, ...] = (300.0, 3000.0, 20100.0)) -> DataFrame:
-    """The nearest without a limit: points not served by a ring go on to the next, wider one."""
+def nearest_ring(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rings: tuple[float, ...] = (300.0, 3000.0)) -> DataFrame:
+    """The nearest without a limit: points not served by a ring go on to the next, wider one, and what is left to ``nearest_far``."""
     todo, found = left, None
     for ring in rings:
-        got = nearest(todo, right, left_id, right_id, ring).drop("rank")
+        got = written(nearest(todo, right, left_id, right_id, ring).drop("rank"), "ring")
         found = got if found is None else found.unionByName(got)
         todo = todo.join(got.select(left_id), left_id, "left_anti")
-    return found
+    return found.unionByName(nearest_far(todo, right, left_id, right_id))
+
+
+def nearest_far(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float = 5.0) -> DataFrame:
+    """The nearest at any distance, through the cells that can hold it.
+
+    Of the cells that have points (at most 2592 of five degrees) a point meets only those whose near
+    edge is no farther than the far edge of some cell; most points meet one or two.
+    """
+    cells = with_cell(right, size, "rlat", "rlon")
+    used = cells.select("__row", "__col").distinct().collect()  # bounded by the globe
+    half = geo.EARTH_KM * math.radians(size) * 0.7072 * 1.01
+    spots = [F.struct(F.lit(r["__row"]).alias("row"), F.lit(r["__col"]).alias("col"), F.lit((r["__row"] + 0.5) * size - 90).alias("lat"), F.lit((r["__col"] + 0.5) * size - 180).alias("lon")) for r in used]
+    if not spots:
+        return left.join(right, F.lit(False)).withColumn("km", F.lit(0.0))
+    far = F.transform(F.array(*spots), lambda s: F.struct(s.row.alias("row"), s.col.alias("col"), geo.haversine(F.col("lat"), F.col("lon"), s.lat, s.lon).alias("km")))
+    measured = left.withColumn("__far", far).withColumn("__least", F.array_min(F.transform("__far", lambda s: s.km)))
+    meet = measured.withColumn("__cell", F.explode(F.filter("__far", lambda s: s.km - half <= F.col("__least") + half))).drop("__far", "__least")
+    meet = meet.withColumn("__row", F.col("__cell.row")).withColumn("__col", F.col("__cell.col")).drop("__cell")
+    pairs = meet.join(cells, ["__row", "__col"]).drop("__row", "__col").withColumn("km", geo.haversine("lat", "lon", "rlat", "rlon"))
+    by = W.partitionBy(left_id).orderBy("km", right_id)
+    return pairs.withColumn("rank", F.row_number().over(by)).where("rank = 1").drop("rank")
+
+
+def geocode(asked: DataFrame, gazetteer: DataFrame, countries: DataFrame, key: str, radius_km: float = 25.0) -> DataFrame:
+    """(key, id, lat, lon) for asked(key, place): "Name, .., Country" to one of gazetteer(id, name, cc, lat, lon).
+
+    Names are compared in small letters.  The first part is looked up within the country that the
+    last part names (countries(last, cc)), or anywhere when it names none or is alone; when that finds
+    nothing, the last part is looked up the same way.  Of a name's points the one with most points of that name (and
+    country) closer than the radius is taken, ties by id: worked out once a name, not once a question.
+    """
+    g = gazetteer.withColumn("name", F.lower("name"))
+    other = g.select("name", F.col("cc").alias("rcc"), F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    near = radius_join(g, other, radius_km, strict=True, on=("name",)).groupBy("name", "cc", "id", "lat", "lon").agg(F.count("*").alias("any_n"), F.count_if(F.col("cc") == F.col("rcc")).alias("own_n"))
+    best = lambda by, n: F.max_by(F.struct("id", "lat", "lon"), F.struct(n, -F.col("id"))).alias(by)
+    own, anywhere = near.groupBy("name", "cc").agg(best("own", "own_n")), near.groupBy("name").agg(best("anywhere", "any_n"))
+    parts = F.filter(F.transform(F.split("place", ","), lambda x: F.trim(x)), lambda x: x != "")
+    x = asked.select(key, F.transform(parts, lambda x: F.lower(x)).alias("parts")).where(F.size("parts") > 0)
+    x = x.select(key, F.element_at("parts", 1).alias("first"), F.when(F.size("parts") > 1, F.element_at("parts", -1)).alias("last"))
+    x = x.join(countries.select("last", F.col("cc").alias("asked_cc")), "last", "left")
+    for part in ("first", "last"):
+        x = x.join(own.select(F.col("name").alias(part), F.col("cc").alias("asked_cc"), F.col("own").alias(f"own_{part}")), [part, "asked_cc"], "left")
+        x = x.join(anywhere.select(F.col("name").alias(part), F.col("anywhere").alias(f"any_{part}")), part, "left")
+    known = F.col("asked_cc").isNotNull()
+    found = F.coalesce(F.when(known, F.col("own_first")).otherwise(F.col("any_first")), F.when(known, F.col("own_last")).otherwise(F.col("any_last")))
+    return x.select(key, found.alias("p")).select(key, "p.id", "p.lat", "p.lon")
 
 
 def box_overlap(left: DataFrame, right: DataFrame, size: float = 5.0) -> DataFrame:
@@ -118,7 +165,7 @@ def label_with_fallback(points: DataFrame, gallery: DataFrame, label: str, sizes
 
 def cell_density(points: DataFrame, gallery: DataFrame, point_id: str, size: float, reach: int) -> DataFrame:
     """How many gallery points lie in the (2 reach + 1) squared cells around each point; columns wrap."""
-    columns = int(360 / size)
+    columns = math.ceil(360 / size - 1e-9)  # the last one may be narrower
     counts = gallery.groupBy(geo.cell("lat", size, -90.0).alias("r"), F.pmod(geo.cell("lon", size, -180.0), F.lit(columns)).alias("c")).agg(F.count("*").alias("n"))
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     around = points.withColumn("r", F.explode(F.transform(steps, lambda d: geo.cell("lat", size, -90.0) + d))).withColumn("c", F.explode(F.transform(steps, lambda d: F.pmod(geo.cell("lon", size, -180.0) + d, F.lit(columns)))))

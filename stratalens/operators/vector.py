@@ -1,37 +1,159 @@
 """Exact vector search.
 
-A stated query set meets the whole gallery once: the query block is small by contract (its size is
-checked before it is broadcast; a larger one is cut into blocks that shuffle), predicates are
-applied before the top-k, and ``row_number() <= k`` becomes a per-task and a final group limit.
+Vectors meet in blocks: a query block of at most ``QUERY_BYTES`` (counted before it is shipped)
+is multiplied with the gallery's Arrow batches by numpy, so that no pair is worked out by itself.
+``nearest`` keeps the best k of a query within each task and merges those; ``scored`` gives the
+pairs of a stated query set themselves, for predicates that need both sides.  More queries than a
+block holds go through the gallery in several blocks, all of them in one job.
+
+Scores are rounded to twelve places: equal vectors then score equally whatever block they are in,
+and ties go to the smaller item.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratalens.functions import vectors
+#: Bytes of query vectors that meet the gallery at once, and gallery rows that are multiplied at once.
+QUERY_BYTES, ROWS = 64 << 20, 2048
 
-#: Query rows up to which the query side is broadcast.
-BROADCAST_QUERIES = 20_000
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Arrays of one length to a matrix of doubles; what is not a number counts as 0."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.nan_to_num(values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0), nan=0.0)
+
+
+def _few(queries: DataFrame, width: int) -> bool:
+    """Whether the query vectors fit one block; counts no further than that."""
+    most = max(1, QUERY_BYTES // (8 * max(1, width)))
+    return queries.limit(most + 1).count() <= most
+
+
+def _width(vectors: DataFrame, column: str) -> int:
+    found = vectors.select(F.size(column).alias("n")).where("n > 0").first()
+    return found["n"] if found else 0
 
 
 def scored(queries: DataFrame, gallery: DataFrame, predicate: Column | None = None) -> DataFrame:
     """queries(qid, qvec, ..) against gallery(gid, gvec, ..) under a predicate over both; adds ``score`` (dot product).
 
-    The predicate is part of the join condition, so masked rows are never scored.
+    For a stated query set.  The query side is shipped only within QUERY_BYTES, else it is dealt in
+    blocks that meet the gallery one after the other; the vectors are not in the result.
+    """
+    spark = queries.sparkSession
+    width = _width(queries, "qvec")
+    most = max(1, QUERY_BYTES // (8 * max(1, width)))
+    blocks = 1 if _few(queries, width) else -(-queries.count() // (most // 2))
+    out = None
+    q_fields = [f for f in queries.schema if f.name != "qvec"]
+    g_fields = [f for f in gallery.schema if f.name != "gvec"]
+    schema = T.StructType([*g_fields, *q_fields, T.StructField("score", T.DoubleType())])
+    for k in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
+        shipped = spark.sparkContext.broadcast(mine.toArrow())
+        got = gallery.select(*[f.name for f in g_fields], "gvec").mapInArrow(_pairs(shipped, len(g_fields)), schema)
+        out = got if out is None else out.union(got)
+    return out if predicate is None else out.where(predicate)
+
+
+def _pairs(shipped, n_gallery: int):
+    def run(batches):
+        asked = shipped.value
+        q = _matrix(asked.column("qvec"))
+        asked = asked.drop_columns(["qvec"]).combine_chunks()
+        for batch in batches:
+            step = max(1, ROWS * 32 // max(1, len(q)))
+            for a in range(0, batch.num_rows if len(q) else 0, step):
+                part = batch.slice(a, step)
+                score = (_matrix(part.column(n_gallery)) @ q.T).round(12)
+                g_at, q_at = np.divmod(np.arange(score.size), len(q))
+                rows = part.select(range(n_gallery)).take(pa.array(g_at))
+                cols = [*rows.columns, *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in asked.take(pa.array(q_at)).columns), pa.array(score.ravel())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*rows.schema.names, *asked.schema.names, "score"])
+
+    return run
+
+
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, guard: bool = False, own: bool = False) -> DataFrame:
+    """(qid, gid, score, rank): the best k of the gallery for each of queries(qid, qvec[, qauthor]), ties by gid.
+
+    ``guard`` leaves out rows (gid, gvec, gauthor) of the query's author (an unknown author excludes
+    nothing), ``own`` the row of the query's own id.  A task gives k rows a query at most, whatever
+    it read; the merge is a group limit.
     """
-    condition = F.lit(True) if predicate is None else predicate
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    if few:
-        pairs = gallery.join(F.broadcast(queries), condition)
-    else:  # blocks of queries by hash, each against every gallery row, by an equi-join on the block
-        blocks = queries.count() // BROADCAST_QUERIES + 1
-        q = queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-        g = gallery.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-        pairs = g.join(q, "__b").where(condition).drop("__b")
-    return pairs.withColumn("score", vectors.dot("qvec", "gvec"))
+    spark = queries.sparkSession
+    width = _width(queries, "qvec")
+    authors = ["qauthor"] if guard else []
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), "qvec", *[F.col(c).cast("string") for c in authors])
+    items = gallery.select(F.col("gid").cast("long").alias("gid"), "gvec", *([F.col("gauthor").cast("string").alias("gauthor")] if guard else []))
+    fields = "qid long, gid long, score double"
+    if _few(asked, width):
+        shipped = spark.sparkContext.broadcast(asked.toArrow())
+        best = items.mapInArrow(lambda batches: _best(shipped.value, batches, k, guard, own), fields)
+    else:
+        # Blocks of both sides by hash, every pair of blocks a group: a vector is sent once a block of
+        # the other side, and a task holds two blocks, however many vectors there are.
+        blocks = [max(1, -(-df.count() * 8 * width // QUERY_BYTES)) for df in (asked, items)]
+        all_of = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
+        left = asked.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks[0])).cast("int")).withColumn("bg", all_of[1])
+        right = items.withColumn("bg", F.pmod(F.xxhash64("gid"), F.lit(blocks[1])).cast("int")).withColumn("bq", all_of[0])
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(list(_best(x, y.to_batches(), k, guard, own)) if x.num_rows else [], schema=_BEST)
+
+        best = left.groupBy("bq", "bg").cogroup(right.groupBy("bq", "bg")).applyInArrow(meet, fields)
+    by = W.partitionBy("qid").orderBy(F.desc("score"), "gid")
+    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+_BEST = pa.schema([("qid", pa.int64()), ("gid", pa.int64()), ("score", pa.float64())])
+
+
+def _best(asked: pa.Table, batches, k: int, guard: bool, own: bool):
+    """The best k of all batches for each query, in numpy: a running list of k a query and the next batch's scores."""
+    q = _matrix(asked.column("qvec"))
+    qid = asked.column("qid").to_numpy()
+    if not len(qid):
+        return
+    if guard:
+        names: dict[str, int] = {}
+        code = lambda c, none: np.array([none if x is None else names.setdefault(x, len(names)) for x in c.to_pylist()], np.int64)
+        q_author = code(asked.column("qauthor"), -1)
+    top = np.full((len(qid), k), -np.inf)
+    ids = np.full((len(qid), k), np.iinfo(np.int64).max)
+    step = max(k, ROWS * 2048 // max(1, len(qid)))
+    for batch in batches:
+        for a in range(0, batch.num_rows, step):
+            part = batch.slice(a, step)
+            gid = part.column("gid").to_numpy(zero_copy_only=False)
+            score = (q @ _matrix(part.column("gvec")).T).round(12)
+            if guard:
+                g_author = code(part.column("gauthor"), -2)
+                score[q_author[:, None] == g_author[None, :]] = -np.inf
+            if own:
+                score[qid[:, None] == gid[None, :]] = -np.inf
+            score = np.hstack([top, score])
+            item = np.hstack([ids, np.broadcast_to(gid, (len(qid), len(gid)))])
+            if score.shape[1] > 4 * k:  # all that reach the k-th score, so that ties are settled by id below
+                edge = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+                width = int((score >= edge[:, None]).sum(axis=1).max())
+                if width < score.shape[1] and np.isfinite(edge).all():
+                    cut = np.argpartition(-score, width - 1, axis=1)[:, :width]
+                    score, item = np.take_along_axis(score, cut, 1), np.take_along_axis(item, cut, 1)
+            order = np.lexsort((item, -score), axis=1)[:, :k]
+            top, ids = np.take_along_axis(score, order, 1), np.take_along_axis(item, order, 1)
+    found = np.isfinite(top)
+    rows = np.nonzero(found)[0]
+    for a in range(0, len(rows), 1 << 16):
+        at = slice(a, a + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(qid[rows[at]]), pa.array(ids[found][at]), pa.array(top[found][at])], schema=_BEST)
 
 
 def top_k(pairs: DataFrame, k: int, query: str = "qid", item: str = "gid", score: str = "score") -> DataFrame:

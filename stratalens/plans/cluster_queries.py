@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo, hashing, vectors
-from stratalens.operators import clustering, evaluate, graph, selection, vector
-from stratalens.plans.base import POOL_SQL, TRUTH_LAT, TRUTH_LON, hav_sql, points, points_sql, pool, q, r6, t, truth_lat, truth_lon
+from stratalens.operators import clustering, evaluate, graph, ordering, selection, spatial, vector
+from stratalens.plans.base import POOL_SQL, TRUTH_LAT, TRUTH_LON, hav_sql, lat_sql, lon_sql, points, points_sql, pool, q, r6, t, truth_lat, truth_lon
+from stratalens.sources.shared import written
 from stratalens.plans.rel_queries import MACRO, PAIRKM, SOFT, pool_pairs, soft
 
 # -- clustering ----------------------------------------------------------------------------------
@@ -189,12 +190,29 @@ def _(spark, d):
     return p.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("km") < 25, F.col("pos"))), F.lit(0)).alias("pick"))
 
 
-@q("clu17_name_geocode", f"SELECT s_nationkey, arg_max(s_suppkey, n * 1000000 - s_suppkey) AS pick FROM (SELECT a.s_nationkey, a.s_suppkey, count(*) AS n FROM {points_sql('supplier', 's_suppkey', '', 's_nationkey')} a JOIN {points_sql('supplier', 's_suppkey', '', 's_nationkey')} b ON a.s_nationkey = b.s_nationkey AND {PAIRKM} < 3000 GROUP BY ALL) GROUP BY 1")
+#: A gazetteer: customers under 200 names, and suppliers under the name of their nation; all near one place, so that neighbours form.
+GAZETTEER = f"""(SELECT 2 * c_custkey AS id, 'n' || (c_custkey % 200) AS name, n_name AS cc, {lat_sql('c_custkey')} / 200 AS lat, {lon_sql('c_custkey')} / 400 AS lon FROM customer JOIN nation ON c_nationkey = n_nationkey
+ UNION ALL SELECT 2 * s_suppkey + 1, lower(n_name), n_name, {lat_sql('s_suppkey')} / 200, {lon_sql('s_suppkey')} / 400 FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+#: What is asked for: a name with a country, a name alone, and names that nothing has.
+ASKED = "(SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'n' || (o_orderkey % 260) ELSE 'n' || (o_orderkey % 260) || ', ' || n_name END AS place FROM orders JOIN nation ON n_nationkey = o_custkey % 25)"
+GEOCODE = f"""WITH g AS MATERIALIZED {GAZETTEER}, asked AS (SELECT o_orderkey, string_split(place, ', ') AS parts FROM {ASKED}),
+near AS MATERIALIZED (SELECT a.id, a.name, a.cc, a.lat, a.lon, count(*) AS any_n, count(*) FILTER (a.cc = b.cc) AS own_n FROM g a JOIN g b ON a.name = b.name AND {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 25 GROUP BY ALL),
+own AS MATERIALIZED (SELECT name, cc, max({{'n': own_n, 'i': -id}}).i AS i FROM near GROUP BY ALL), anywhere AS MATERIALIZED (SELECT name, max({{'n': any_n, 'i': -id}}).i AS i FROM near GROUP BY ALL),
+x AS (SELECT o_orderkey, CASE WHEN len(parts) > 1 THEN coalesce((SELECT i FROM own WHERE own.name = parts[1] AND own.cc = parts[2]), (SELECT i FROM own WHERE own.name = lower(parts[2]) AND own.cc = parts[2])) ELSE (SELECT i FROM anywhere WHERE anywhere.name = parts[1]) END AS i FROM asked)
+SELECT o_orderkey, -i AS pick FROM x"""
+
+
+@q("clu17_name_geocode", GEOCODE)
 def _(spark, d):
-    s = points(spark, d, "supplier", "s_suppkey", "", "s_nationkey")
-    b = s.select("s_nationkey", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    n = s.join(b, "s_nationkey").where(geo.haversine("lat", "lon", "lat2", "lon2") < 3000).groupBy("s_nationkey", "s_suppkey").agg(F.count("*").alias("n"))
-    return n.groupBy("s_nationkey").agg(F.max_by("s_suppkey", F.struct("n", -F.col("s_suppkey"))).alias("pick"))
+    """The name's first part within the last part's country, else the country; of its points the one with most neighbours."""
+    n = t(spark, d, "nation").select("n_nationkey", "n_name")
+    spot = lambda k: ((geo.derived_lat(k) / 200).alias("lat"), (geo.derived_lon(k) / 400).alias("lon"))
+    c = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select((2 * F.col("c_custkey")).alias("id"), F.concat(F.lit("n"), (F.col("c_custkey") % 200).cast("string")).alias("name"), F.col("n_name").alias("cc"), *spot("c_custkey"))
+    s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select((2 * F.col("s_suppkey") + 1).alias("id"), F.lower("n_name").alias("name"), F.col("n_name").alias("cc"), *spot("s_suppkey"))
+    name = F.concat(F.lit("n"), (F.col("o_orderkey") % 260).cast("string"))
+    asked = t(spark, d, "orders").join(n, F.col("n_nationkey") == F.col("o_custkey") % 25).select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, name).otherwise(F.concat_ws(", ", name, F.col("n_name"))).alias("place"))
+    countries = n.select(F.lower("n_name").alias("last"), F.col("n_name").alias("cc"))
+    return spatial.geocode(asked, c.unionByName(s), countries, "o_orderkey").select("o_orderkey", F.col("id").alias("pick"))
 
 
 #: Places taken already: the first candidate of each query is an earlier answer.
@@ -316,7 +334,7 @@ def _(spark, d):
 @q("sel10_split_copy", "SELECT new_id, o_orderkey, o_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS new_id FROM customer WHERE c_nationkey = 3) JOIN orders ON o_custkey = c_custkey")
 def _(spark, d):
     kept = t(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
-    ids = kept.withColumn("new_id", (F.row_number().over(W.orderBy("o_custkey")) - 1).cast("long"))
+    ids = ordering.placed(kept, "o_custkey").withColumn("new_id", F.col("place") - 1)
     return t(spark, d, "orders").join(ids, "o_custkey").select("new_id", "o_orderkey", "o_custkey")
 
 
@@ -335,11 +353,11 @@ KNN = f"(SELECT src, dst, sim FROM (SELECT a.vec_id AS src, b.vec_id AS dst, lis
 
 
 def knn(spark, d):
-    """Every row is a query; beyond a checked size the query side is cut into blocks instead of being broadcast."""
+    """The eight nearest of other authors for every row."""
     e = t(spark, d, "embeddings")
     queries = e.select(F.col("vec_id").alias("qid"), F.col("label").alias("qauthor"), vectors.unit("embedding").alias("qvec"))
     gallery = e.select(F.col("vec_id").alias("gid"), F.col("label").alias("gauthor"), vectors.unit("embedding").alias("gvec"))
-    best = vector.top_k(vector.scored(queries, gallery, vector.not_same_author()), 8)
+    best = vector.nearest(queries, gallery, 8, guard=True)
     return best.select(F.col("qid").alias("src"), F.col("gid").alias("dst"), F.col("score").alias("sim"))
 
 
@@ -356,10 +374,10 @@ def _(spark, d):
     return graph.edge_weights(knn(spark, d), TAU).select("src", "dst", r6("w", "w", 5))
 
 
-def seeds(spark, d):
-    k = knn(spark, d).where("src % 100 = 0")
-    e = k.withColumn("e", F.exp((F.col("sim") - 1) / TAU))
-    return e.select(F.col("src").alias("q"), F.col("dst").alias("node"), (F.col("e") / F.sum("e").over(W.partitionBy("src"))).alias("p"), F.col("src").alias("own"))
+def graph_of(spark, d):
+    """(kNN edges with weights, seeds of the stated queries): one search for both, written once."""
+    edges = written(graph.edge_weights(knn(spark, d), TAU), "knn-edges")
+    return edges, edges.where("src % 100 = 0").select(F.col("src").alias("q"), F.col("dst").alias("node"), F.col("w").alias("p"), F.col("src").alias("own"))
 
 
 def _ppr_sql(steps=3, alpha=0.7, top=40):
@@ -374,19 +392,48 @@ def _ppr_sql(steps=3, alpha=0.7, top=40):
 
 @q("grf03_ppr_3_steps", _ppr_sql())
 def _(spark, d):
-    out = graph.diffuse(seeds(spark, d), graph.edge_weights(knn(spark, d), TAU), 3, 0.7, 40)
-    return out.where("p > 0.004").select("q", "node", r6("p", "p", 5))
+    edges, seeds = graph_of(spark, d)
+    return graph.diffuse(seeds, edges, 3, 0.7, 40).where("p > 0.004").select("q", "node", r6("p", "p", 5))
+
+
+#: Nodes' places, and edges shorter than 6000 km; the weight of longer ones stays at their source.
+PLACE = f"(SELECT vec_id, {lat_sql('vec_id')} AS lat, {lon_sql('vec_id')} AS lon FROM embeddings)"
+SHORT = f"(SELECT src, CASE WHEN {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 6000 THEN dst ELSE src END AS dst, sum(w) AS w FROM {WEIGHTS} JOIN {PLACE} a ON a.vec_id = src JOIN {PLACE} b ON b.vec_id = dst GROUP BY ALL)"
+
+
+def places_of(spark, d, key, prefix=""):
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias(key), geo.derived_lat("vec_id").alias(f"{prefix}lat"), geo.derived_lon("vec_id").alias(f"{prefix}lon"))
+
 
+def short_edges(spark, d, edges):
+    placed = edges.join(places_of(spark, d, "src"), "src").join(places_of(spark, d, "dst", "r"), "dst")
+    return graph.limit_edges(placed, geo.haversine("lat", "lon", "rlat", "rlon") >= 6000)
 
-@q("grf04_geo_limited_edges", f"SELECT src, count(*) AS n, round(sum(w) FILTER (src = dst), 5) AS stay FROM (SELECT src, CASE WHEN (src + dst) % 3 = 0 THEN src ELSE dst END AS dst, sum(w) AS w FROM {WEIGHTS} GROUP BY ALL) GROUP BY src")
+
+@q("grf04_geo_limited_edges", f"SELECT src, count(*) AS n, round(coalesce(sum(w) FILTER (src = dst), 0), 5) AS stay FROM {SHORT} GROUP BY src")
 def _(spark, d):
-    cut = graph.limit_edges(graph.edge_weights(knn(spark, d), TAU), (F.col("src") + F.col("dst")) % 3 == 0)
-    return cut.groupBy("src").agg(F.count("*").alias("n"), r6(F.sum(F.when(F.col("src") == F.col("dst"), F.col("w"))), "stay", 5))
+    cut = short_edges(spark, d, graph.edge_weights(knn(spark, d), TAU))
+    return cut.groupBy("src").agg(F.count("*").alias("n"), r6(F.coalesce(F.sum(F.when(F.col("src") == F.col("dst"), F.col("w"))), F.lit(0.0)), "stay", 5))
+
+
+#: The area centres of a query: its own place and that of the node three on.
+AREA_SQL = f"""WITH {_ppr_sql(2, 0.6, 30)[5:].rpartition(' SELECT q, node')[0]}, n AS MATERIALIZED (SELECT q, node, p, lat, lon FROM t2 JOIN {PLACE} ON vec_id = node),
+c AS (SELECT DISTINCT q, k AS area, x.lat AS clat, x.lon AS clon FROM n, (VALUES (0), (1)) v(k), {PLACE} x WHERE x.vec_id = (q + 3 * k) % (SELECT count(*) FROM embeddings)),
+mass AS (SELECT c.q, area, round(coalesce(sum(p) FILTER ({hav_sql('clat', 'clon', 'lat', 'lon')} < 2500), 0), 5) AS mass FROM c JOIN n ON n.q = c.q GROUP BY ALL),
+dense AS (SELECT a.q, a.node, sum(b.p) AS near FROM n a JOIN n b ON a.q = b.q AND {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 2500 GROUP BY ALL),
+pick AS (SELECT q, -max({{'m': round(near, 9), 'i': -node}}).i AS pick FROM dense GROUP BY q)
+SELECT q, area, mass, pick FROM mass JOIN pick USING (q)"""
 
 
-@q("grf05_node_mass", f"SELECT src AS q, (node_cell % 2) AS area, round(sum(w), 5) AS mass FROM (SELECT src, dst % 8 AS node_cell, w FROM {WEIGHTS} WHERE src % 100 = 0) GROUP BY ALL")
+@q("grf05_node_mass", AREA_SQL)
 def _(spark, d):
-    return seeds(spark, d).groupBy("q", (F.col("node") % 8 % 2).alias("area")).agg(r6(F.sum("p"), "mass", 5))
+    """Diffused mass near each of a query's area centres, and the densest of its top nodes."""
+    edges, seeds = graph_of(spark, d)
+    nodes = graph.diffuse(seeds, edges, 2, 0.6, 30).join(places_of(spark, d, "node"), "node")
+    n = t(spark, d, "embeddings").count()
+    areas = seeds.select("q").distinct().select("q", F.explode(F.array(F.lit(0), F.lit(1))).alias("area")).withColumn("at", (F.col("q") + 3 * F.col("area")) % n)
+    areas = areas.join(places_of(spark, d, "at", "c"), "at")
+    return graph.area_mass(nodes, areas, 2500.0, 512).select("q", "area", r6("mass", "mass", 5), "pick")
 
 
 # -- evaluation ----------------------------------------------------------------------------------
@@ -412,10 +459,21 @@ def _(spark, d):
     return evaluate.clustered(p, "y", "c_mktsegment", "c_nationkey").select(r6("mean", "mean"), r6("se", "se"))
 
 
-@q("evl03_bootstrap_hash", f"WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS spot, CAST(km < 200 AS INTEGER) AS y, count(*) OVER () AS n FROM {PRED}), n AS (SELECT max(n) AS n FROM v), dr AS (SELECT i // n AS r, CAST(('0x' || substr(md5(CAST(i AS VARCHAR)), 1, 8))::UBIGINT % n AS BIGINT) AS spot FROM n, range(0, 200 * (SELECT max(n) FROM v)) t(i)), ms AS (SELECT r, avg(y) AS m FROM dr JOIN v USING (spot) GROUP BY r) SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM ms")
+#: Two answers a key; their difference at 200 km is what is resampled.
+PAIRED = f"(SELECT c_custkey, CAST({hav_sql('lat', 'lon', 'lat + CAST(c_custkey % 17 AS DOUBLE) / 5', 'lon')} < 200 AS INTEGER) - CAST({hav_sql('lat', 'lon', 'lat + CAST(c_custkey % 13 AS DOUBLE) / 4', 'lon')} < 200 AS INTEGER) AS delta FROM {points_sql('customer', 'c_custkey')})"
+BOOT = f"""WITH h AS (SELECT b, delta, md5(c_custkey || ':' || b) AS h FROM {PAIRED}, range(0, 500) t(b)),
+u AS (SELECT 4 * b + k AS r, delta, CAST(('0x' || substr(h, CAST(1 + 8 * k AS INTEGER), 8))::UBIGINT AS DOUBLE) / 4294967296 AS u FROM h, range(0, 4) s(k)),
+m AS (SELECT r, sum(delta * w) / CAST(sum(w) AS DOUBLE) AS m FROM (SELECT r, delta, {' + '.join(f'CAST(u >= CAST({c!r} AS DOUBLE) AS INTEGER)' for c in evaluate.POISSON)} AS w FROM u) GROUP BY r)
+SELECT (SELECT round(avg(delta), 6) FROM {PAIRED}) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+
+
+@q("evl03_bootstrap_hash", BOOT)
 def _(spark, d):
-    p = predictions(spark, d).withColumn("y", (F.col("km") < 200).cast("int"))
-    return evaluate.bootstrap(p, "y", "c_custkey", 200).select(r6("mean", "mean"), r6("low", "low"), r6("high", "high"))
+    """Paired difference of two answers, 2000 resamples."""
+    c = points(spark, d, "customer", "c_custkey")
+    within = lambda m, s: (geo.haversine("lat", "lon", F.col("lat") + (F.col("c_custkey") % m).cast("double") / s, "lon") < 200).cast("int")
+    got = evaluate.bootstrap(c.select("c_custkey", (within(17, 5) - within(13, 4)).alias("delta")), "delta", "c_custkey", 2000)
+    return got.select(r6("mean", "mean"), r6("low", "low"), r6("high", "high"))
 
 
 @q("evl04_recall_at_budgets", f"SELECT k, round(avg(hit), 6) AS recall, round(avg(hit) / avg(anywhere), 6) AS conditional, avg(hit) >= CAST(0.3 AS DOUBLE) AS pass FROM (SELECT qid, k, max(CASE WHEN pos <= k AND {KM} < 25 THEN 1 ELSE 0 END) AS hit, max(CASE WHEN {KM} < 25 THEN 1 ELSE 0 END) AS anywhere FROM {POOL_SQL}, (VALUES (1), (3), (5)) b(k) GROUP BY ALL) GROUP BY k")
@@ -483,9 +541,9 @@ def _(spark, d):
 def _(spark, d):
     """Each query is scored against another one's truth."""
     p = pool(spark, d)
-    r = p.select("qid").distinct().withColumn("rn", F.row_number().over(W.orderBy(hashing.order("luck", "qid"))))
-    n = r.agg(F.count("*").alias("many"))
-    o = r.join(F.broadcast(n)).withColumn("to", F.col("rn") % F.col("many") + 1).select("qid", "to")
+    r = ordering.placed(p.select("qid").distinct().withColumn("at", hashing.order("luck", "qid")), "at", name="rn").drop("at")
+    n = r.count()
+    o = r.select("qid", (F.col("rn") % n + 1).alias("to"))
     other = r.select(F.col("qid").alias("other"), F.col("rn").alias("to"))
     x = p.join(o.join(other, "to"), "qid").withColumn("hit", (geo.haversine(truth_lat("other"), truth_lon("other"), "lat", "lon") < 2500).cast("int"))
     return x.groupBy("qid").agg(F.max("hit").alias("hit")).agg(r6(F.avg("hit"), "luck"))

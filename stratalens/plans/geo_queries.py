@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import geo
 from stratalens.operators import spatial
-from stratalens.plans.base import hav_sql, lat_sql, lon_sql, points, points_sql, q, r6, t
+from stratalens.plans.base import POOL_SQL, hav_sql, lat_sql, lon_sql, points, points_sql, pool, q, r6, t
 
 C, S = points_sql("customer", "c_custkey"), points_sql("supplier", "s_suppkey", "r")
 
@@ -19,9 +19,21 @@ def _(spark, d):
     return points(spark, d, "customer", "c_custkey").select("c_custkey", r6(geo.haversine("lat", "lon", 48.85, 2.35), "km"))
 
 
-@q("geo02_geodesic_km")
+#: Vincenty's inverse formula, a row of the recursion an iteration; points that do not settle get the haversine.
+_F = "(CAST(1 AS DOUBLE) / CAST(298.257223563 AS DOUBLE))"
+GEODESIC = f"""WITH RECURSIVE u AS (SELECT c_custkey, lat, lon, atan((1 - {_F}) * tan(radians(lat))) AS u1, atan((1 - {_F}) * tan(radians(CAST(48.85 AS DOUBLE)))) AS u2, radians(CAST(2.35 AS DOUBLE)) - radians(lon) AS step FROM {C}),
+v(c_custkey, k, lam, moved) AS (SELECT c_custkey, 0, step, CAST(1 AS DOUBLE) FROM u
+ UNION ALL SELECT c_custkey, k + 1, new, abs(new - lam) FROM (SELECT *, step + (1 - kk) * {_F} * al * (sigma + kk * s * (mid + kk * c * (2 * mid * mid - 1))) AS new FROM (SELECT *, {_F} / 16 * cos2 * (4 + {_F} * (4 - 3 * cos2)) AS kk FROM (SELECT *, CASE WHEN cos2 > 1e-15 THEN c - 2 * sin(u1) * sin(u2) / cos2 ELSE 0 END AS mid FROM (SELECT *, 1 - al * al AS cos2 FROM (SELECT *, atan2(s, c) AS sigma, CASE WHEN s > 0 THEN cos(u1) * cos(u2) * sin(lam) / s ELSE 0 END AS al FROM (SELECT v.c_custkey, v.k, v.lam, u.u1, u.u2, u.step, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS s, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS c FROM v JOIN u USING (c_custkey) WHERE v.k < 60 AND v.moved >= 1e-12))))))),
+last AS (SELECT c_custkey, arg_max(lam, k) AS lam, arg_max(moved, k) AS moved FROM v GROUP BY 1),
+w AS (SELECT *, atan2(s, c) AS sigma, CASE WHEN s > 0 THEN cos(u1) * cos(u2) * sin(lam) / s ELSE 0 END AS al FROM (SELECT u.*, last.lam, last.moved, sqrt(pow(cos(u2) * sin(last.lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(last.lam), 2)) AS s, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(last.lam) AS c FROM last JOIN u USING (c_custkey))),
+y AS (SELECT *, CASE WHEN 1 - al * al > 1e-15 THEN c - 2 * sin(u1) * sin(u2) / (1 - al * al) ELSE 0 END AS mid, CAST(6378.137 AS DOUBLE) * (1 - {_F}) AS b, (1 - al * al) * (1 / pow(1 - {_F}, 2) - 1) AS w2 FROM w),
+z AS (SELECT *, 1 + w2 / 16384 * (4096 + w2 * (-768 + w2 * (320 - 175 * w2))) AS big, w2 / 1024 * (256 + w2 * (-128 + w2 * (74 - 47 * w2))) AS small FROM y)
+SELECT c_custkey, round(CASE WHEN moved < 1e-12 THEN b * big * (sigma - small * s * (mid + small / 4 * (c * (2 * mid * mid - 1) - small / 6 * mid * (4 * s * s - 3) * (4 * mid * mid - 3)))) ELSE {hav_sql('lat', 'lon', 'CAST(48.85 AS DOUBLE)', 'CAST(2.35 AS DOUBLE)')} END, 5) AS km FROM z"""
+
+
+@q("geo02_geodesic_km", GEODESIC)
 def _(spark, d):
-    return points(spark, d, "customer", "c_custkey").select("c_custkey", r6(geo.geodesic("lat", "lon", F.lit(48.85), F.lit(2.35)), "km"))
+    return points(spark, d, "customer", "c_custkey").select("c_custkey", r6(geo.geodesic("lat", "lon", F.lit(48.85), F.lit(2.35)), "km", 5))
 
 
 @q("geo03_unit_xyz", f"SELECT c_custkey, round(cos(radians(lat)) * cos(radians(lon)), 9) AS x, round(cos(radians(lat)) * sin(radians(lon)), 9) AS y, round(sin(radians(lat)), 9) AS z, round(2 * CAST(6371 AS DOUBLE) * asin(least(CAST(1 AS DOUBLE), sqrt(pow(1 - cos(radians(lat)) * cos(radians(lon)), 2) + pow(cos(radians(lat)) * sin(radians(lon)), 2) + pow(sin(radians(lat)), 2)) / 2)), 4) AS km FROM {C}")
@@ -65,12 +77,12 @@ def _(spark, d):
     return boxes(spark, d).select("p_partkey", r6(geo.half_diagonal_km("lat_min", "lat_max", "lon_min", "lon_max"), "km"))
 
 
-@q("geo09_pairwise_km", f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, round({hav_sql('a.rlat', 'a.rlon', 'b.rlat', 'b.rlon')}, 6) AS km FROM (SELECT s.*, s_nationkey AS n FROM {points_sql('supplier', 's_suppkey', 'r', 's_nationkey')} s) a JOIN (SELECT s.*, s_nationkey AS n FROM {points_sql('supplier', 's_suppkey', 'r', 's_nationkey')} s) b ON a.n = b.n AND a.s_suppkey < b.s_suppkey")
+@q("geo09_pairwise_km", f"SELECT a.qid, a.pos AS a, b.pos AS b, round({hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) AS km FROM {POOL_SQL} a JOIN {POOL_SQL} b ON a.qid = b.qid AND a.pos < b.pos")
 def _(spark, d):
-    s = points(spark, d, "supplier", "s_suppkey", "r", "s_nationkey")
-    a = s.select(F.col("s_suppkey").alias("a"), F.col("rlat").alias("alat"), F.col("rlon").alias("alon"), "s_nationkey")
-    b = s.select(F.col("s_suppkey").alias("b"), "rlat", "rlon", "s_nationkey")
-    return a.join(b, "s_nationkey").where("a < b").select("a", "b", r6(geo.haversine("alat", "alon", "rlat", "rlon"), "km"))
+    """The matrix of each query's candidates, a short list."""
+    p = pool(spark, d)
+    b = p.select("qid", F.col("pos").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    return p.join(b, "qid").where("pos < b").select("qid", F.col("pos").alias("a"), "b", r6(geo.haversine("lat", "lon", "lat2", "lon2"), "km"))
 
 
 def _ring(spark, d, n=40):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import geo, hashing, vectors
 from stratalens.plans.base import lat_sql, points, points_sql, q, r6, t
 from stratalens.sources import readers, writers
-from stratalens.sources.shared import shared_dir
+from stratalens.sources.shared import fresh
 from stratalens.streaming import incremental
 
 
@@ -171,7 +171,7 @@ def _(spark, d):
 
 def _stored(spark, df, how):
     """Write to a fresh place in the shared folder and read it again."""
-    path = f"{shared_dir(spark)}/stratalens/sink-{uuid.uuid4().hex}"
+    path = fresh(spark, "sink")
     how(df, path)
     return path
 
@@ -253,7 +253,7 @@ def _(spark, d):
 @q("stm01_incremental_dedup", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def _(spark, d):
     """Two passes over a folder through one checkpoint: the second finds nothing new, and no id twice."""
-    base = f"{shared_dir(spark)}/stratalens/stream-{uuid.uuid4().hex}"
+    base = fresh(spark, "stream")
     schema = t(spark, d, "events").schema.simpleString()[7:-1]
     fields = ", ".join(f.replace(":", " ", 1) for f in schema.split(","))
     for _ in range(2):

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import hashing, text
-from stratalens.operators import postings, selection
+from stratalens.operators import ordering, postings, selection
 from stratalens.plans.base import q, r6, t
 from stratalens.plans.rel_queries import MD5, tags
 
@@ -18,8 +18,9 @@ def ndocs(spark, d):
     return t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", text.norm_latin(F.col("text")).alias("norm"))
 
 
-def index(spark, d):
-    return postings.postings(ndocs(spark, d), "doc_id", "norm")
+def index(spark, d, phrases=None):
+    """Postings of all tokens, or of those only that the phrases have."""
+    return postings.postings(ndocs(spark, d), "doc_id", "norm", phrases)
 
 
 @q("str01_norm", f"SELECT doc_id, md5({N.format(c='text')}) AS digest FROM documents")
@@ -39,10 +40,11 @@ def _(spark, d):
     return t(spark, d, "part").select("p_partkey", text.label_right(F.col("p_brand"), truth).alias("ok"))
 
 
-HOST = r"regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\d?\.)?([a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,})(?:[:/?#].*)?$', 1)"
+#: The host is what stands before the first of / ? # : once the scheme is off.
+HOST_LABELS = "(SELECT page_id, CASE WHEN len(l) > 2 AND regexp_full_match(l[1], 'www[0-9]?') THEN l[2:] ELSE l END AS labels FROM (SELECT page_id, string_split(regexp_split_to_array(regexp_replace(lower(trim(url)), '^[a-z][-+.a-z0-9]*://', ''), '[/?#:]')[1], '.') AS l FROM pages))"
 
 
-@q("str04_domain", f"SELECT page_id, array_to_string(labels[greatest(1, len(labels) - 1):], '.') AS domain FROM (SELECT page_id, string_split({HOST}, '.') AS labels FROM pages)")
+@q("str04_domain", f"SELECT page_id, array_to_string(labels[greatest(1, len(labels) - 1):], '.') AS domain FROM {HOST_LABELS}")
 def _(spark, d):
     return t(spark, d, "pages").select("page_id", text.domain(F.col("url")).alias("domain"))
 
@@ -79,30 +81,32 @@ def _(spark, d):
     return spans.where(~F.col("span").isin("small", "large"))
 
 
-PHRASES = "(SELECT item_id AS pid, array_to_string(string_split(" + N.format(c="text") + ", ' ')[1:5], ' ') AS phrase FROM benchmark)"
+PHRASES = "(SELECT item_id AS pid, trim(" + N.format(c="text") + ") AS phrase FROM benchmark UNION ALL SELECT -1, 'the')"
 
 
-def phrases(spark, d, first=1, n=5):
-    words = text.words_of(text.norm_latin(F.col("text")))
-    return t(spark, d, "benchmark").select(F.col("item_id").alias("pid"), F.array_join(F.slice(words, first, n), " ").alias("phrase"))
+def phrases(spark, d):
+    """Every benchmark text as a phrase, whole, and a phrase of one word."""
+    said = t(spark, d, "benchmark").select(F.col("item_id").alias("pid"), text.norm_latin(F.col("text")).alias("phrase"))
+    return said.union(spark.createDataFrame([(-1, "the")], "pid long, phrase string")).where("phrase <> ''")
 
 
-@q("str09_multi_phrase_match", f"SELECT pid, count(*) AS n FROM {PHRASES}, {NDOC} WHERE contains(' ' || norm || ' ', ' ' || phrase || ' ') GROUP BY pid")
+@q("str09_multi_phrase_match", f"SELECT pid, count(*) AS n FROM {PHRASES}, {NDOC} WHERE phrase <> '' AND contains(' ' || norm || ' ', ' ' || phrase || ' ') GROUP BY pid")
 def _(spark, d):
-    """All phrases in one pass: a phrase's first two words are the equi-join key, containment verifies."""
-    p = phrases(spark, d)
-    p = p.withColumn("key", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " "))
-    words = text.words_of(F.col("norm"))
-    pairs = F.array_distinct(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    docs = ndocs(spark, d).where(F.col("norm") != "").select("doc_id", "norm")
-    candidates = docs.select("doc_id", F.explode(pairs).alias("key")).join(p, "key").select("doc_id", "pid", "phrase")
-    hit = docs.join(candidates, "doc_id").where(F.concat(F.lit(" "), "norm", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" "))))
-    return hit.groupBy("pid").agg(F.count("*").alias("n"))
+    """All phrases in one pass over the documents, each matched whole."""
+    return postings.count_phrases(ndocs(spark, d), phrases(spark, d), "norm")
 
 
-@q("str10_passages")
+#: Units numbered; a passage starts where the open one and the next unit are too long together.
+PASSAGES = r"""WITH RECURSIVE l AS (SELECT doc_id, text, regexp_split_to_array(text, '\n+') AS lines FROM documents WHERE text IS NOT NULL),
+u AS MATERIALIZED (SELECT doc_id, list_filter(list_transform(CASE WHEN len(lines) = 1 AND length(text) > 700 THEN string_split(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE lines END, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS units FROM l),
+w(doc_id, i, n, room) AS (SELECT doc_id, CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(length(units[1]) AS BIGINT) FROM u WHERE len(units) > 0
+ UNION ALL SELECT w.doc_id, i + 1, CASE WHEN room + length(units[i + 1]) > 700 THEN n + 1 ELSE n END, CASE WHEN room + length(units[i + 1]) > 700 THEN length(units[i + 1]) ELSE room + 1 + length(units[i + 1]) END FROM w JOIN u ON u.doc_id = w.doc_id WHERE i < len(units))
+SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(passage) AS INTEGER) AS chars, md5(passage) AS digest FROM (SELECT w.doc_id, n, string_agg(units[i], chr(10) ORDER BY i) AS passage FROM w JOIN u ON u.doc_id = w.doc_id GROUP BY ALL)"""
+
+
+@q("str10_passages", PASSAGES)
 def _(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(text.passages_of(F.col("text"), most=None)).alias("n", "passage")).select("doc_id", "n", F.length("passage").alias("chars"), F.md5("passage").alias("digest"))
+    return t(spark, d, "documents").select("doc_id", F.posexplode(text.passages(F.col("text"))).alias("n", "passage")).select("doc_id", "n", F.length("passage").alias("chars"), F.md5("passage").alias("digest"))
 
 
 @q("str11_snippet", "SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, s + 1, 200), '\\s+', ' ', 'g')) || CASE WHEN s + 200 < length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, greatest(0, CASE WHEN instr(lower(text), 'the') > 0 THEN instr(lower(text), 'the') ELSE 1 END - 1 - 66) AS s FROM documents)")
@@ -206,7 +210,7 @@ EXACT = f"SELECT DISTINCT pid, doc_id AS doc FROM {SAID}, {NDOC} WHERE contains(
 
 @q("txt02_phrase_match", EXACT)
 def _(spark, d):
-    return postings.phrase_matches(index(spark, d), said(spark)).select("pid", "doc").distinct()
+    return postings.phrase_matches(index(spark, d, said(spark)), said(spark)).select("pid", "doc").distinct()
 
 
 @q("txt03_relaxation_tiers", f"""WITH e AS ({EXACT}), w AS (SELECT DISTINCT pid, unnest(string_split(phrase, ' ')) AS token FROM {SAID}), n AS (SELECT pid, count(*) AS n FROM w GROUP BY 1),
@@ -215,7 +219,7 @@ a AS (SELECT pid, doc, 1 AS tier FROM e UNION ALL SELECT h.pid, doc, 2 FROM h JO
 b AS (SELECT pid, doc, min(tier) AS tier FROM a GROUP BY ALL)
 SELECT pid, doc, tier FROM b WHERE tier = (SELECT min(tier) FROM b c WHERE c.pid = b.pid)""")
 def _(spark, d):
-    return postings.relaxed(index(spark, d), said(spark))
+    return postings.relaxed(index(spark, d, said(spark)), said(spark))
 
 
 BM = f"""(WITH x AS {TOK}, dl AS (SELECT doc, count(*) AS dl FROM x GROUP BY 1), s AS (SELECT count(*) AS N, avg(dl) AS a FROM dl), w AS (SELECT DISTINCT pid, unnest(string_split(phrase, ' ')) AS token FROM {SAID}),
@@ -226,14 +230,14 @@ FROM tf JOIN df ON tf.token = df.token JOIN dl ON dl.doc = tf.doc CROSS JOIN s J
 
 @q("txt04_bm25", f"SELECT pid, doc, round(score, 5) AS score FROM {BM}")
 def _(spark, d):
-    return postings.bm25(index(spark, d), said(spark)).select("pid", "doc", r6("score", "score", 5))
+    return postings.bm25(ndocs(spark, d), said(spark), "doc_id", "norm").select("pid", "doc", r6("score", "score", 5))
 
 
 RANK = f"(SELECT pid, doc, source, -score - CASE WHEN source = 'src1' THEN 8 WHEN starts_with(source, 'src1') THEN 3 ELSE 0 END - ln(1 + n_chars / CAST(1000 AS DOUBLE)) AS r FROM {BM} JOIN documents ON doc = doc_id)"
 
 
 def ranked(spark, d):
-    hits = postings.bm25(index(spark, d), said(spark)).join(t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", "n_chars"), "doc")
+    hits = postings.bm25(ndocs(spark, d), said(spark), "doc_id", "norm").join(t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", "n_chars"), "doc")
     return hits.select("pid", "doc", "source", postings.custom_rank(F.col("score"), F.col("source"), F.lit("src1"), F.col("n_chars")).alias("r"))
 
 
@@ -253,10 +257,20 @@ def _(spark, d):
     return postings.first_language_wins(x, "name", "lang", "n_chars", "doc_id").select("doc_id")
 
 
-@q("txt08_rare_first", f"SELECT pid, count(*) AS docs FROM ({EXACT}) GROUP BY pid")
+#: Phrases of common words and whole benchmark texts, in half of the sources.
+RARE = 40
+PH8 = f"(SELECT pid, phrase FROM {SAID} UNION ALL SELECT item_id + 100, trim({N.format(c='text')}) FROM benchmark)"
+RARE_SQL = f"""WITH ph AS MATERIALIZED {PH8}, e AS (SELECT DISTINCT pid, doc_id AS doc, source FROM ph, {NDOC} WHERE phrase <> '' AND contains(' ' || norm || ' ', ' ' || phrase || ' ')),
+w AS (SELECT DISTINCT pid, unnest(string_split(phrase, ' ')) AS token FROM ph), df AS (SELECT token, count(DISTINCT doc) AS df FROM {TOK} GROUP BY 1), r AS (SELECT pid, min(coalesce(df, 0)) AS df FROM w LEFT JOIN df USING (token) GROUP BY 1)
+SELECT e.pid, CASE WHEN r.df <= {RARE} THEN 'text first' ELSE 'place first' END AS plan, count(*) AS docs FROM e JOIN r USING (pid) WHERE CAST(substr(source, 4) AS INTEGER) < 10 GROUP BY ALL"""
+
+
+@q("txt08_rare_first", RARE_SQL)
 def _(spark, d):
-    """The planner's choice between text first and box first is left to adaptive execution; the rarest word leads by the join on postings."""
-    return postings.match_many(index(spark, d), said(spark)).groupBy("pid").agg(F.count("*").alias("docs"))
+    """A phrase with a rare word is looked up as text and then held against the place; one of common words starts from the place's documents."""
+    place = t(spark, d, "documents").where(F.substring("source", 4, 9).cast("int") < 10).select(F.col("doc_id").alias("doc"))
+    ph = said(spark).union(phrases(spark, d).where("pid >= 0").select((F.col("pid") + 100).cast("int"), "phrase"))
+    return postings.rare_first(ndocs(spark, d), ph, place, "doc_id", "norm", RARE).groupBy("pid", "plan").agg(F.count("*").alias("docs"))
 
 
 @q("txt09_domain_fallback", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'listed' ELSE 'words' END AS tier, lower(array_to_string(regexp_extract_all(url, '//(?:m\\.|www\\.)?([a-z]+)', 1), '')) AS words FROM pages")
@@ -401,10 +415,13 @@ def _(spark, d):
     return t(spark, d, "orders").select("o_orderkey", parsed.cast("string").alias("taken"))
 
 
-@q("tim02_iso_and_epoch", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, epoch_ms(ts) AS ms, CAST(substr(strftime(ts, '%Y-%m-%d'), 1, 4) AS INTEGER) AS year FROM events")
+@q("tim02_iso_and_epoch", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, epoch_us(ts) // 1000 AS ms, CAST(substr(strftime(ts, '%Y-%m-%d'), 1, 4) AS INTEGER) AS year FROM events")
 def _(spark, d):
-    ms = F.floor(F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")) / 1000).cast("long")
-    return t(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), ms.alias("ms"), F.substring(F.date_format("ts", "yyyy-MM-dd"), 1, 4).try_cast("int").alias("year"))
+    """Stamps are UTC whatever the session's zone: milliseconds (whole, not rounded) come from the calendar fields."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    seconds = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    ms = seconds * 1000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
+    return t(spark, d, "events").select("event_id", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), ms.cast("long").alias("ms"), F.year(ts).alias("year"))
 
 
 @q("tim03_day_windows", "SELECT strftime(day, '%Y-%m-%d') AS day, count(event_id) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 5 DAY)) AS day) LEFT JOIN events ON ts >= day AND ts < day + INTERVAL 5 DAY GROUP BY 1")
@@ -456,17 +473,10 @@ def _(spark, d):
 
 @q("hsh06_hamming", "SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS bits FROM (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER) ELSE 0 END))::BIGINT AS h FROM embeddings) a JOIN (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER) ELSE 0 END))::BIGINT AS h FROM embeddings) b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 6")
 def _(spark, d):
-    """Hashes within 6 bits: with 7 blocks at least one is equal, so blocks are the join keys; pairs count in their first equal block."""
+    """Hashes within 6 bits, by covering masks: a pair's differing bits are masked out in some table, where the pair meets."""
     bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(F.get("embedding", i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     h = t(spark, d, "embeddings").select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s + x).alias("h"))
-    spans = [(0, 5), (5, 5), (10, 5), (15, 5), (20, 4), (24, 4), (28, 4)]
-    block = lambda c: F.array(*[F.shiftright(c, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in spans])
-    keyed = h.select("vec_id", "h", F.posexplode(block(F.col("h"))).alias("k", "v"))
-    a, b = keyed.select(F.col("vec_id").alias("a"), F.col("h").alias("ha"), "k", "v"), keyed.select(F.col("vec_id").alias("b"), F.col("h").alias("hb"), "k", "v")
-    first = F.array_position(F.zip_with(block(F.col("ha")), block(F.col("hb")), lambda x, y: x == y), True) - 1
-    pairs = a.join(b, ["k", "v"]).where((F.col("a") < F.col("b")) & (first == F.col("k")))
-    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return pairs.where(distance <= 6).select("a", "b", distance.cast("int").alias("bits"))
+    return hashing.within_bits(h, "vec_id", "h", 6, 32).select("a", "b", F.col("bits"))
 
 
 @q("hsh07_fingerprint", "SELECT count(*) AS n, sha256('{\"k\":32,\"metric\":\"cos\",\"rows\":' || count(*) || '}') AS fingerprint FROM embeddings")
@@ -487,13 +497,14 @@ def _(spark, d):
 @q("hsh09_seeded_folds", "SELECT source, CAST((row_number() OVER (ORDER BY sha256('7:' || source)) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT source FROM documents)")
 def _(spark, d):
     g = t(spark, d, "documents").select("source").distinct()
-    return g.select("source", ((F.row_number().over(W.orderBy(hashing.order("7", "source"))) - 1) % 5).cast("int").alias("fold"))
+    dealt = ordering.placed(g.withColumn("at", hashing.order("7", "source")), "at")
+    return dealt.select("source", ((F.col("place") - 1) % 5).cast("int").alias("fold"))
 
 
 @q("jn07_text_join_base", f"SELECT pid, count(*) AS n, min(n_chars) AS shortest FROM ({EXACT}) e JOIN documents d ON e.doc = d.doc_id WHERE d.n_chars > 100 GROUP BY pid")
 def _(spark, d):
     base = t(spark, d, "documents").where("n_chars > 100").select(F.col("doc_id").alias("doc"), "n_chars")
-    hits = postings.phrase_matches(index(spark, d), said(spark)).select("pid", "doc").distinct()
+    hits = postings.phrase_matches(index(spark, d, said(spark)), said(spark)).select("pid", "doc").distinct()
     return hits.join(base, "doc").groupBy("pid").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"))
 
 

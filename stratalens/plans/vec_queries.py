@@ -24,7 +24,7 @@ def asked(spark, d, every=100):
 
 def pairs(spark, d, predicate=None, every=100):
     own = F.col("qid") != F.col("gid")
-    return vector.scored(asked(spark, d, every), gallery(spark, d), own if predicate is None else own & predicate).drop("qvec", "gvec")
+    return vector.scored(asked(spark, d, every), gallery(spark, d), own if predicate is None else own & predicate)
 
 
 def shown(df, *more):
@@ -44,12 +44,13 @@ def _(spark, d):
 @q("vec02_topk_excl_author", topk_sql("qauthor <> gauthor"))
 def _(spark, d):
     """VEC02: exact streamed top-k with the author guard."""
-    return shown(vector.top_k(pairs(spark, d, vector.not_same_author()), 10))
+    return shown(vector.nearest(asked(spark, d), gallery(spark, d), 10, guard=True, own=True))
 
 
 @q("vec03_topk_single_query", f"SELECT gid, round(score, 4) AS score, round(least(CAST(90 AS DOUBLE), lat), 6) AS lat, round(lon, 6) AS lon FROM {ALL} WHERE qid = 0 ORDER BY score DESC, gid LIMIT 20")
 def _(spark, d):
-    p = pairs(spark, d).where("qid = 0").orderBy(F.desc("score"), "gid").limit(20)
+    best = vector.nearest(asked(spark, d).where("qid = 0"), gallery(spark, d), 20, own=True)
+    p = best.join(gallery(spark, d).select("gid", "lat", "lon"), "gid")
     return p.select("gid", r6("score", "score", 4), r6(geo.clip_lat("lat"), "lat"), r6(geo.wrap_lon("lon"), "lon"))
 
 
@@ -139,13 +140,14 @@ def _(spark, d):
 
 @q("vec12_knn_graph", topk_sql("qauthor <> gauthor", 8, ALL.replace("q.vec_id % 100 = 0 AND ", "")))
 def _(spark, d):
-    return shown(vector.top_k(pairs(spark, d, vector.not_same_author(), 1), 8))
+    """Every row is a query."""
+    return shown(vector.nearest(asked(spark, d, 1), gallery(spark, d), 8, guard=True, own=True))
 
 
 @q("vec13_hubness_rescore", f"WITH k AS ({topk_sql('TRUE', 10)}), p AS {ALL}, r AS (SELECT qid, avg(score) AS r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, gid) AS rank FROM p) WHERE rank <= 10 GROUP BY qid) SELECT p.qid, p.gid, round(p.score - CAST(0.5 AS DOUBLE) * r.r, 4) AS rescored FROM p JOIN r ON r.qid = p.qid WHERE p.score > 0.3")
 def _(spark, d):
     p = pairs(spark, d)
-    r = vector.hubness(vector.top_k(p, 10))
+    r = vector.hubness(vector.nearest(asked(spark, d), gallery(spark, d), 10, own=True))
     return p.where("score > 0.3").join(r, "qid").select("qid", "gid", r6(F.col("score") - 0.5 * F.col("r"), "rescored", 4))
 
 

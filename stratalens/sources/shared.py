@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     made = f"file://{tempfile.mkdtemp(prefix='stratalens-')}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below ``shared_dir``; it goes when the driver's JVM ends in order."""
+    path = f"{shared_dir(spark)}/stratalens/{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        _MARKED.add(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return path
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the run's folder that nothing has."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again: later plans start from its files."""
+    path = fresh(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -40,11 +40,45 @@ def test_norm_latin_equals_norm(spark):
         assert r.a == r.b
 
 
-def test_passages():
-    long = ". ".join("word " * 30 + str(i) for i in range(20))
-    out = text.passages(long)
-    assert len(out) > 1 and all(len(p) <= 900 for p in out)
-    assert text.passages("a\n\nb") == ["a\nb"] and text.passages(None) == []
+def brute_passages(text, size=700):
+    import re
+
+    units = re.split(r"\n+", text or "")
+    if len(units) == 1 and len(units[0]) > size:
+        units = re.split(r"(?<=[.!?。])\s+", units[0])
+    out = []
+    for unit in filter(None, (u.strip() for u in units)):
+        if out and len(out[-1]) + len(unit) <= size:
+            out[-1] += "\n" + unit
+        else:
+            out.append(unit)
+    return out
+
+
+def test_passages(spark):
+    texts = [". ".join("word " * 30 + str(i) for i in range(20)), "a\n\nb", None, "", " \n \n", "x" * 2000, "One. Two! " * 200, "line\n" * 500, "\n".join(["y" * 700, "z", "w" * 699])]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = {r.i: r.p for r in df.select("i", text.passages(F.col("x")).alias("p")).collect()}
+    assert got == {i: brute_passages(x) for i, x in enumerate(texts)}
+    assert one(spark, F.size(text.passages(F.lit("ab\ncd " * 400), most=100))) == 1
+
+
+def test_folding_by_code_point_equals_folding_the_text():
+    """The definition on whole texts: compatibility composed, case folded, decomposed, marks dropped."""
+    import re
+    import sys
+    import unicodedata
+
+    def whole(x):
+        x = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", x).casefold())
+        return re.sub(r"[\W_]+", " ", "".join(c for c in x if not unicodedata.combining(c))).strip()
+
+    for start in range(0, sys.maxunicode, 997):
+        for p in range(start, min(start + 60, sys.maxunicode)):
+            if not 0xD800 <= p <= 0xDFFF:
+                assert text.normalise(f"a{chr(p)}b") == whole(f"a{chr(p)}b"), hex(p)
+    for x in ("e\u0301le\u0300ve", "ΑΣ", "İstanbul", "ᾳ α\u0345", "가 \u1100\u1161", "ﬁn Ⅻ _x_", "straße—GROẞ"):
+        assert text.normalise(x) == whole(x)
 
 
 def test_geodesic_known():

@@ -31,6 +31,73 @@ def test_radius_join_equals_brute_force(spark):
         assert got == want
 
 
+def test_nearest_far(spark):
+    """Points a world away from the only few there are, both sides of the antimeridian and at the poles."""
+    a, b = places(80, 5), [(1, 10.0, 179.9), (2, 10.0, -179.9), (3, -89.0, 5.0), (4, 11.0, 179.0)]
+    got = spatial.nearest_far(spark.createDataFrame(a, "id long, lat double, lon double"), spark.createDataFrame(b, "rid long, rlat double, rlon double"), "id", "rid").collect()
+    assert {r.id: round(r.km, 6) for r in got} == {i: round(min(km(p, x[1:]) for x in b), 6) for i, *p in a}
+
+
+def test_cells_of_any_size_wrap(spark):
+    """A size that does not divide the globe: the last column is narrower and is next to the first."""
+    a = spark.createDataFrame([(1, 0.0, 179.9), (2, 0.0, -179.9)], "id long, lat double, lon double")
+    g = spark.createDataFrame([(0.0, 179.8), (0.0, -179.8), (0.0, 0.0)], "lat double, lon double")
+    got = {r.id: r.density for r in spatial.cell_density(a, g, "id", 7.0, 1).collect()}
+    assert got == {1: 2, 2: 2}
+
+
+def test_running_sums(spark):
+    r = random.Random(9)
+    rows = [(i, r.randint(0, 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "s long, v long").repartition(5)
+    got = {x.s: x.b for x in ordering.summed(df, "s", "v", "b").collect()}
+    total, want = 0, {}
+    for i, v in rows:
+        want[i], total = total, total + v
+    assert got == want
+
+
+def test_bootstrap_interval(spark):
+    """Near the textbook interval of a mean, and the plain mean itself."""
+    r = random.Random(10)
+    ys = [r.choice([-1, 0, 0, 1, 1]) for _ in range(800)]
+    got = evaluate.bootstrap(spark.createDataFrame(list(enumerate(ys)), "id long, y int"), "y", "id", 1000).first()
+    mean, se = np.mean(ys), np.std(ys) / math.sqrt(len(ys))
+    assert math.isclose(got["mean"], mean) and abs(got.low - (mean - 1.96 * se)) < 0.4 * se and abs(got.high - (mean + 1.96 * se)) < 0.4 * se
+
+
+def test_many_phrases_in_one_pass(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c a b"), (2, "b a"), (3, ""), (4, None), (5, "ab c")], "id long, norm string")
+    said = spark.createDataFrame([(1, "a b"), (2, "a"), (3, "a b c a b"), (4, "b"), (5, "zz"), (6, "a b"), (7, "")], "pid int, phrase string")
+    want = {1: 1, 2: 2, 3: 1, 4: 2, 6: 1}
+    for most in (32 << 20, 40):
+        monkeypatch.setattr(postings, "PATTERN_BYTES", most)
+        assert {r.pid: r.n for r in postings.count_phrases(docs, said, "norm").collect()} == want
+
+
+def test_hashes_within_bits(spark):
+    from stratalens.functions import hashing
+
+    for radius, bits in ((6, 32), (2, 16)):
+        masks = hashing.covering_masks(radius, bits)
+        r = random.Random(radius)
+        assert all(any(not m & d for m in masks) for d in (sum(1 << b for b in r.sample(range(bits), radius)) for _ in range(2000)))
+    r = random.Random(3)
+    centre = r.getrandbits(32)
+    rows = [(i, centre ^ sum(1 << b for b in r.sample(range(32), r.randint(0, 5)))) for i in range(120)] + [(200 + i, r.getrandbits(32)) for i in range(100)]
+    got = sorted(map(tuple, hashing.within_bits(spark.createDataFrame(rows, "id long, h long"), "id", "h", 6, 32).collect()))
+    want = sorted((i, j, (x ^ y).bit_count()) for i, x in rows for j, y in rows if i < j and (x ^ y).bit_count() <= 6)
+    assert got == want
+
+
+def test_geocode(spark):
+    g = spark.createDataFrame([(1, "Ham", "A", 10.0, 10.0), (2, "ham", "A", 10.1, 10.0), (3, "Ham", "B", 50.0, 0.0), (4, "Beeland", "B", 51.0, 0.0), (5, "Ham", "A", 20.0, 10.0)], "id long, name string, cc string, lat double, lon double")
+    countries = spark.createDataFrame([("ayland", "A"), ("beeland", "B")], "last string, cc string")
+    asked = spark.createDataFrame([(1, "Ham, Ayland"), (2, "Ham, Beeland"), (3, "Ham"), (4, "Nowhere, Beeland"), (5, "Nowhere"), (6, ""), (7, None), (8, " Ham , x, Nocountry ")], "q int, place string")
+    got = {r.q: r.id for r in spatial.geocode(asked, g, countries, "q").collect()}
+    assert got == {1: 1, 2: 3, 3: 1, 4: 4, 5: None, 8: 1}
+
+
 def test_nearest_ring(spark):
     a, b = places(60, 3), places(40, 4)
     got = spatial.nearest_ring(spark.createDataFrame(a, "id long, lat double, lon double"), spark.createDataFrame(b, "rid long, rlat double, rlon double"), "id", "rid").collect()
@@ -100,6 +167,38 @@ def test_author_guard(spark):
         assert [x.gid for x in sorted(got, key=lambda x: x.rank) if x.qid == q] == [i for _, i in want]
 
 
+def brute_nearest(q, g, k, guard, own):
+    out = []
+    for i, a, v in q:
+        best = sorted((-round(float(np.dot(v, e)), 12), j) for j, b, e in g if not (guard and a is not None and b is not None and a == b) and not (own and i == j))[:k]
+        out += [(i, j, r + 1) for r, (_, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    """One block, many blocks on both sides, copies of one vector (ties by id), unknown authors, fewer rows than k, nothing at all."""
+    r = np.random.default_rng(4)
+    g = [(i, i % 5 if i % 7 else None, (r.normal(size=16) if i % 3 else np.ones(16)).astype(np.float32).astype(float).tolist()) for i in range(300)]
+    gallery = spark.createDataFrame(g, "gid long, gauthor long, gvec array<double>")
+    queries = spark.createDataFrame(g, "qid long, qauthor long, qvec array<double>")
+    for most in (64 << 20, 5000):
+        monkeypatch.setattr(vector, "QUERY_BYTES", most)
+        for guard, own in ((True, True), (False, False)):
+            got = sorted((x.qid, x.gid, x["rank"]) for x in vector.nearest(queries, gallery, 6, guard, own).collect())
+            assert got == brute_nearest(g, g, 6, guard, own)
+        few = vector.nearest(queries, gallery.where("gid < 3"), 6, own=True).collect()
+        assert len(few) == 297 * 3 + 3 * 2
+        pairs = vector.scored(queries.where("qid < 9"), gallery, F.col("gid") != F.col("qid")).collect()
+        assert len(pairs) == 9 * 299 and all(abs(x.score - float(np.dot(g[x.qid][2], g[x.gid][2]))) < 1e-9 for x in pairs)
+    assert vector.nearest(queries.limit(0), gallery, 6).count() == vector.nearest(queries, gallery.limit(0), 6).count() == 0
+
+
+def test_no_pair_join_in_the_knn_plan(spark):
+    df = base.QUERIES["vec12_knn_graph"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_phrases(spark):
     docs = spark.createDataFrame([(1, "a b c a b"), (2, "b a"), (3, ""), (4, None)], "id long, norm string")
     index = postings.postings(docs, "id", "norm")
