@@ -1,14 +1,16 @@
-"""Sources, sinks and incremental scans, on what the given tables can stand for."""
+"""Sources, sinks and incremental scans: files of each format are written from the given tables and read with the reader of that format."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo, hashing, vectors
-from stratalens.plans.base import lat_sql, points, points_sql, q, r6, t
-from stratalens.sources import readers, writers
+from stratalens.operators import ordering, spatial
+from stratalens.plans.base import hav_sql, lat_sql, lon_sql, points, points_sql, q, r6, t
+from stratalens.sources import archives, mapobjects, readers, writers
 from stratalens.sources.shared import fresh
 from stratalens.streaming import incremental
 
@@ -38,29 +40,35 @@ def _(spark, d):
     return readers.resolve_paths(ids, files).select(F.col("id").cast("long").alias("id"), "path")
 
 
-@q("src04_benchmark_join_cache", f"SELECT e.vec_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM embeddings e JOIN {points_sql('customer', 'c_custkey')} c ON c.c_custkey = e.vec_id WHERE lat BETWEEN -80 AND 80")
+@q("src04_benchmark_join_cache", f"SELECT e.vec_id AS row, round(lat, 6) AS lat, round(lon, 6) AS lon, len(embedding) AS dim FROM embeddings e JOIN {points_sql('customer', 'c_custkey')} c ON c.c_custkey = e.vec_id WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0")
 def _(spark, d):
-    c = points(spark, d, "customer", "c_custkey").where(geo.valid("lat", "lon") & F.col("lat").between(-80, 80))
-    return t(spark, d, "embeddings").select("vec_id").join(c, F.col("vec_id") == F.col("c_custkey")).select("vec_id", r6("lat", "lat"), r6("lon", "lon"))
+    """A benchmark CSV (some places are not numbers, some out of range) against the embedding cache, in cache order."""
+    c = points(spark, d, "customer", "c_custkey")
+    k = F.col("c_custkey")
+    lines = c.select(k.alias("IMG_ID"), F.when(k % 7 == 0, "NA").otherwise(F.col("lat").cast("string")).alias("LAT"), F.when(k % 11 == 0, F.lit(999.0)).otherwise(F.col("lon")).alias("LON"))
+    path = _stored(spark, lines, lambda df, p: df.write.csv(p, header=True))
+    bench = readers.points_csv(spark, path, "IMG_ID long, LAT double, LON double", "LAT", "LON")
+    cache = t(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.col("vec_id").alias("IMG_ID"), "embedding")
+    got = cache.join(bench, "IMG_ID").orderBy("row")
+    return got.select("row", r6("LAT", "lat"), r6("LON", "lon"), F.size("embedding").cast("long").alias("dim"))
 
 
-@q("src05_gazetteer_aliases", "SELECT p_partkey, unnest([p_name, p_brand]) AS alias FROM part")
+@q("src05_gazetteer_aliases", f"SELECT p_partkey AS id, unnest([p_name, p_brand]) AS alias, round({lat_sql('p_partkey')}, 6) AS lat, p_size AS population FROM part")
 def _(spark, d):
-    """Lines of a delimited gazetteer, aliases split and exploded."""
-    line = F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", F.concat(F.col("p_name"), F.lit(","), F.col("p_brand"), F.lit(",")))
-    x = t(spark, d, "part").select(F.split(line, "\t").alias("f"))
-    names = F.array_distinct(F.filter(F.concat(F.array(F.col("f")[1]), F.split(F.col("f")[2], ",")), lambda v: v != ""))
-    return x.select(F.col("f")[0].cast("long").alias("p_partkey"), F.explode(names).alias("alias"))
+    """A gazetteer of 19 tab-separated columns, aliases split: names, repeats and empty ones."""
+    k, gap = F.col("p_partkey"), F.lit("")
+    cells = [k.cast("string"), "p_name", "p_name", F.concat(F.col("p_name"), F.lit(",,"), F.col("p_brand"), F.lit(",")), geo.derived_lat("p_partkey").cast("string"), geo.derived_lon("p_partkey").cast("string"), *[gap] * 8, F.col("p_size").cast("string"), *[gap] * 4]
+    path = _stored(spark, t(spark, d, "part").select(F.concat_ws("\t", *cells).alias("value")), lambda df, p: df.write.text(p))
+    return readers.gazetteer(spark, path).select("id", "alias", r6("lat", "lat"), F.col("population").cast("int").alias("population"))
 
 
-@q("src06_country_table", "SELECT CAST(n_regionkey AS VARCHAR) AS phone, min(n_nationkey) AS first FROM nation GROUP BY 1")
+@q("src06_country_table", "SELECT phone, arg_min(n_name, n_nationkey) AS cc FROM (SELECT n_name, n_nationkey, unnest([CAST(n_regionkey + 1 AS VARCHAR), CAST(40 + n_nationkey % 6 AS VARCHAR)]) AS phone FROM nation) GROUP BY 1")
 def _(spark, d):
-    """Several codes a row, comments skipped, the first row of a code wins."""
+    """A table with comments and several codes a row; the first row of a code wins."""
     n = F.col("n_nationkey")
-    line = F.when(n % 25 == 99, "# comment").otherwise(F.concat(n.cast("string"), F.lit("\t+"), F.col("n_regionkey").cast("string")))
-    f = F.split("line", "\t")
-    x = t(spark, d, "nation").select(line.alias("line")).where(~F.col("line").startswith("#")).select(F.element_at(f, 1).cast("int").alias("n"), F.explode(F.filter(F.split(F.regexp_replace(F.element_at(f, 2), r"[^0-9,]", ""), ","), lambda v: v != "")).alias("phone"))
-    return x.groupBy("phone").agg(F.min("n").alias("first"))
+    row = F.concat(F.col("n_name"), F.lit("\t+"), (F.col("n_regionkey") + 1).cast("string"), F.lit(" and +"), (40 + n % 6).cast("string"))
+    lines = t(spark, d, "nation").orderBy("n_nationkey").coalesce(1).select(F.explode(F.array(F.concat(F.lit("# "), F.col("n_name")), row)).alias("value"))
+    return readers.country_codes(spark, _stored(spark, lines, lambda df, p: df.write.text(p)))
 
 
 @q("src07_nested_projection", "SELECT event_id, event_type AS kind FROM events WHERE props IS NOT NULL AND event_type <> 'error'")
@@ -75,22 +83,49 @@ def _(spark, d):
     return x.repartitionByRange("r", "c").sortWithinPartitions("r", "c", "c_custkey")
 
 
-@q("src09_pruned_scan", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+@q("src09_pruned_scan", "SELECT l_returnflag, count(*) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem GROUP BY 1")
 def _(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """Parts read with two of their columns only; each part's counts, then those of all parts."""
+    path = _stored(spark, t(spark, d, "lineitem"), lambda df, p: writers.rolling_parts(df, p, 20_000))
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("part"), "l_returnflag", "l_orderkey")
+    per = rows.groupBy("part", "l_returnflag").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high"))
+    return per.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-@q("src10_key_ranges", "SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS part, count(*) AS n, min(o_orderkey) AS low FROM orders GROUP BY 1")
+@q("src10_key_ranges", "WITH b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), s AS (SELECT lo, greatest(1, CAST(ceil((hi - lo + 1) / CAST(8 AS DOUBLE)) AS BIGINT)) AS step FROM b) SELECT CAST(least(7, (o_orderkey - lo) // step) AS INTEGER) AS part, count(*) AS n, min(o_orderkey) AS low FROM orders, s GROUP BY 1")
 def _(spark, d):
-    return t(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"))
+    """Eight ranges of the primary key, each a scan with its bounds pushed down."""
+    low, high = t(spark, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    got = readers.by_key_ranges(spark, f"{d}/orders.parquet", "o_orderkey", low, high, 8)
+    return got.groupBy("part").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"))
+
+
+def _packed_files(df, key, pack):
+    """A (path, content) row a key, from ``pack(rows as a frame) -> bytes``: stands for files of that format."""
+
+    def run(key_of, pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"path": [f"part-{key_of[0]}"], "content": [pack(pdf)]})
+
+    return df.groupBy(key).applyInPandas(run, "path string, content binary")
+
+
+def _map_file(pdf) -> bytes:
+    nodes = [(int(i), a, b, {"name": f"n{i}"} if i % 3 else {}) for i, a, b in pdf[["node", "lat", "lon"]].drop_duplicates().itertuples(index=False)]
+    ways = [(int(i), [int(x) for x in g["node"]], {"highway": "F"} if g["status"].iloc[0] == "F" else {"building": "yes"}) for i, g in pdf.groupby("way")]
+    return mapobjects.encode(nodes, ways, [(int(pdf["way"].min()), [("way", w, "outer") for w, _, _ in ways], {"type": "multipolygon"})])
 
 
 @q("src11_map_objects", f"SELECT o_orderkey AS way, round(min({lat_sql('l_partkey')}), 6) AS lat_min, round(max({lat_sql('l_partkey')}), 6) AS lat_max, count(*) AS refs FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
 def _(spark, d):
-    """Nodes and ways as tables; a key filter on ways before their nodes are joined."""
-    ways = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("way"))
-    refs = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("way"), geo.derived_lat("l_partkey").alias("lat"))
-    return ways.join(refs, "way").groupBy("way").agg(r6(F.min("lat"), "lat_min"), r6(F.max("lat"), "lat_max"), F.count("*").alias("refs"))
+    """Files of nodes, ways and relations; only ways with the key are kept, then their nodes are joined."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("way"), F.col("o_orderstatus").alias("status"))
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("node"), geo.derived_lat("l_partkey").alias("lat"), geo.derived_lon("l_partkey").alias("lon"))
+    files = _packed_files(rows.join(o, "way").withColumn("file", F.col("way") % 8), "file", _map_file)
+    ways = mapobjects.map_objects(files, ("way",), "highway").select(F.col("id").alias("way"), F.explode("refs").alias("id"))
+    nodes = mapobjects.map_objects(files, ("node",)).groupBy("id").agg(F.any_value("lat").alias("lat"))  # a node is in every file that needs it
+    return ways.join(nodes, "id").groupBy("way").agg(r6(F.min("lat"), "lat_min"), r6(F.max("lat"), "lat_max"), F.count("*").alias("refs"))
 
 
 @q("src12_sql_dump", "SELECT p_partkey, p_name || ''', (x' AS name, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_size END AS size FROM part")
@@ -104,33 +139,62 @@ def _(spark, d):
     return rows.select(f[0].cast("long").alias("p_partkey"), f[1].alias("name"), f[2].cast("int").alias("size"))
 
 
-@q("src13_wiki_pages", "SELECT p_partkey AS id, p_name AS title, p_type AS text FROM part WHERE p_partkey % 3 <> 0")
+@q("src13_wiki_pages", "SELECT p_partkey AS id, p_name AS title, p_type AS text FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0")
 def _(spark, d):
     """Page elements of an XML dump: other namespaces and redirects are left out."""
     k = F.col("p_partkey")
-    page = F.concat(F.lit("<page><title>"), "p_name", F.lit("</title><ns>"), F.when(k % 3 == 0, "4").otherwise("0"), F.lit("</ns><id>"), k.cast("string"), F.lit("</id><revision><text>"), "p_type", F.lit("</text></revision></page>"))
-    schema = "id long, ns int, title string, redirect string, revision struct<text:string>"
-    x = t(spark, d, "part").select(F.from_xml(page, schema).alias("x")).where("x.ns = 0 and x.redirect is null")
-    return x.select("x.id", "x.title", F.col("x.revision.text").alias("text"))
+    turned = F.when(k % 5 == 0, '<redirect title="x"/>').otherwise("")
+    page = F.concat(F.lit("<page><title>"), "p_name", F.lit("</title><ns>"), F.when(k % 3 == 0, "4").otherwise("0"), F.lit("</ns><id>"), k.cast("string"), F.lit("</id>"), turned, F.lit('<revision><text xml:space="preserve">'), "p_type", F.lit("</text></revision></page>"))
+    ends = spark.createDataFrame([(-1, "<mediawiki>"), (1 << 62, "</mediawiki>")], "at long, value string")
+    lines = t(spark, d, "part").select(k.cast("long").alias("at"), page.alias("value")).union(ends).orderBy("at").coalesce(1).select("value")
+    return readers.xml_pages(spark, _stored(spark, lines, lambda df, p: df.write.text(p)))
 
 
 def search_dump(docs):
-    """Index lines and document lines; only documents are parsed."""
+    """A bulk file of an index line and a document line a row, read again."""
     doc = F.to_json(F.struct("doc_id", "lang"))
     lines = docs.select(F.explode(F.array(F.concat(F.lit('{"index":{"_id":'), F.col("doc_id").cast("string"), F.lit("}}")), doc)).alias("value"))
-    x = lines.where(~F.col("value").startswith('{"index"')).select(F.from_json("value", "doc_id long, lang string").alias("x"))
-    return x.select("x.*")
+    path = _stored(docs.sparkSession, lines, lambda df, p: df.write.text(p))
+    return readers.search_dump(docs.sparkSession, path, "doc_id long, lang string")
 
 
-@q("src14_search_dump", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
+@q("src14_search_dump", "SELECT doc_id, lang FROM documents")
 def _(spark, d):
-    """Over even documents only, as its SQL says; ``src14_search_dump_whole`` takes all."""
-    return search_dump(t(spark, d, "documents").where("doc_id % 2 = 0"))
+    return search_dump(t(spark, d, "documents"))
 
 
-@q("src14_search_dump_whole", "SELECT doc_id, lang FROM documents")
+@q("src15_shard_members", "SELECT p_partkey AS id, md5(p_name || '|' || p_type) AS digest FROM part")
 def _(spark, d):
-    return search_dump(t(spark, d, "documents"))
+    """One long archive in shards of 1000 bytes, and an index of where each member lies: members are cut out of one or more shards."""
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_name", "p_type").cast("binary").alias("member")).withColumn("size", F.octet_length("member").cast("long"))
+    placed = ordering.summed(p, "id", "size", "offset")
+    n = F.col("offset")
+    spans = F.sequence(F.floor(n / 1000), F.floor((n + F.col("size") - 1) / 1000))
+    cut = placed.select("member", "offset", "size", F.explode(spans).alias("shard"))
+    start = F.greatest(F.lit(0), F.col("shard") * 1000 - n)
+    stop = F.least(F.col("size"), (F.col("shard") + 1) * 1000 - n)
+    part = F.struct((n + start).alias("at"), F.substr("member", (start + 1).cast("int"), (stop - start).cast("int")).alias("bytes"))
+    shards = cut.groupBy("shard").agg(F.aggregate(F.array_sort(F.collect_list(part)), F.lit(b""), lambda s, x: F.concat(s, x.bytes)).alias("content"))
+    got = archives.sharded_members(spark.read.parquet(_stored(spark, shards, lambda df, to: df.write.parquet(to))), placed.select("id", "offset", "size"))
+    return got.select("id", F.md5("content").alias("digest"))
+
+
+def _zip_file(pdf) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for i, text in zip(pdf["p_partkey"], pdf["text"], strict=True):
+            z.writestr(f"{'in' if i % 3 else 'out'}/{i}.txt", text, zipfile.ZIP_STORED if i % 2 else zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+@q("src16_zip_members", "SELECT 'in/' || p_partkey || '.txt' AS name, length(p_name) AS size, md5(p_name) AS digest FROM part WHERE p_partkey % 3 <> 0")
+def _(spark, d):
+    """Members of ZIP files by their own directory and ranged reads; only the wanted ones are unpacked."""
+    files = _packed_files(t(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"), (F.col("p_partkey") % 5).alias("file")), "file", _zip_file)
+    return archives.zip_members(files, r"in/.*").select("name", "size", F.md5("content").alias("digest"))
 
 
 @q("src17_json_lines", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -140,17 +204,51 @@ def _(spark, d):
     return x.select("event_id", "event_type", F.from_json("props", "k long").k.alias("k"))
 
 
+def _npz_file(pdf) -> bytes:
+    import io
+
+    import numpy as np
+
+    out = io.BytesIO()
+    np.savez_compressed(out, ids=pdf["vec_id"].to_numpy(np.float64), x=np.stack(pdf["embedding"].to_numpy()))
+    return out.getvalue()
+
+
 @q("src18_matrix_rows", "SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
 def _(spark, d):
-    return t(spark, d, "embeddings").select("vec_id", r6(F.aggregate(vectors.doubles("embedding"), F.lit(0.0), lambda s, x: s + x), "total", 4))
+    """Two arrays of NPZ files, met by file and row."""
+    files = _packed_files(t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 4).alias("file")), "file", _npz_file)
+    ids = archives.npz_rows(files, "ids").select("path", "row", F.element_at("value", 1).cast("long").alias("vec_id"))
+    total = F.aggregate(vectors.doubles("value"), F.lit(0.0), lambda s, x: s + x)
+    return archives.npz_rows(files, "x").join(ids, ["path", "row"]).select("vec_id", r6(total, "total", 4))
 
 
-@q("src20_cached_search", f"SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'cache' ELSE 'index' END AS src FROM supplier")
+@q("src19_paged_windows", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, bool_and(up + down - 1 <= 300) AS complete FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS up, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS down FROM events) WHERE up <= 150 OR down <= 150 GROUP BY 1")
 def _(spark, d):
-    """Answers already cached are used; the rest go to the index."""
-    s = t(spark, d, "supplier").select("s_suppkey")
-    cache = s.where("s_suppkey % 2 = 0").select("s_suppkey", F.lit("cache").alias("src"))
-    return cache.union(s.join(cache, "s_suppkey", "left_anti").select("s_suppkey", F.lit("index")))
+    """A service that gives 150 rows an answer, asked for each day from both ends."""
+    got = readers.paged_scan(t(spark, d, "events").select("event_id", "ts"), F.to_date("ts"), ["ts", "event_id"], 150)
+    return got.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"), F.every("complete").alias("complete"))
+
+
+NEAREST3 = f"(SELECT s_suppkey, c_custkey, {hav_sql('lat', 'lon', 'rlat', 'rlon')} AS km FROM {points_sql('supplier', 's_suppkey')}, {points_sql('customer', 'c_custkey', 'r')})"
+
+
+@q("src20_cached_search", f"SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'cache' ELSE 'index' END AS src, rank, c_custkey, round(km, 4) AS km FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY km, c_custkey) AS rank FROM {NEAREST3} WHERE km <= 500) WHERE rank <= 3")
+def _(spark, d):
+    """Places near a point: even suppliers were asked for before and are answered from the stored answers, the rest by the index."""
+    c = points(spark, d, "customer", "c_custkey", "r")
+    s = points(spark, d, "supplier", "s_suppkey").withColumn("key", F.concat_ws("_", F.format_number("lat", 4), F.format_number("lon", 4), F.col("s_suppkey").cast("string")))
+
+    def index(missing):
+        near = spatial.nearest(missing.select("key", "lat", "lon"), c, "key", "c_custkey", 500.0, 3)
+        hits = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), "c_custkey", "km")))
+        return near.groupBy("key").agg(F.to_json(hits).alias("answer"))
+
+    path = fresh(spark, "answers")
+    readers.cached_search(s.where("s_suppkey % 2 = 0"), path, index)
+    got = readers.cached_search(s, path, index)
+    hit = F.explode(F.from_json("answer", "array<struct<rank:long,c_custkey:long,km:double>>")).alias("h")
+    return got.select("s_suppkey", "src", hit).select("s_suppkey", "src", "h.rank", "h.c_custkey", r6("h.km", "km", 4))
 
 
 @q("src21_tile_points", f"SELECT c_custkey, round(x / CAST(16384 AS DOUBLE) * 360 - 180, 6) AS lon FROM (SELECT c_custkey, CAST(floor((lon + 180) / 360 * 16384) AS INTEGER) AS x FROM {points_sql('customer', 'c_custkey')})")
@@ -209,6 +307,17 @@ def _(spark, d):
     return x.select(F.from_json("value", "n_nationkey int").n_nationkey.alias("n_nationkey"), F.col("value").alias("line"))
 
 
+@q("snk06_replace_whole", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 1")
+def _(spark, d):
+    """A table replaced as a whole, by renaming what was written beside it."""
+
+    def twice(df, p):
+        writers.replace_whole(df.where("n_nationkey % 2 = 0"), p)
+        writers.replace_whole(df.where("n_nationkey % 2 = 1"), p)
+
+    return spark.read.parquet(_stored(spark, t(spark, d, "nation").select("n_nationkey", "n_name"), twice))
+
+
 @q("snk07_release_csv", "SELECT n_nationkey, n_name FROM nation")
 def _(spark, d):
     path = _stored(spark, t(spark, d, "nation").withColumn("pid", hashing.opaque("rel", "n_nationkey")), lambda df, p: writers.release_csv(df, p, "pid"))
@@ -239,6 +348,14 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
+@q("snk10_staged_copy", "SELECT count(*) AS n, sum(o_custkey) AS total FROM orders")
+def _(spark, d):
+    """A table copied to a staging folder; the copy is read only because its files have the sizes of the original's."""
+    path = _stored(spark, t(spark, d, "orders").select("o_orderkey", "o_custkey"), lambda df, p: writers.rolling_parts(df, p, 5000))
+    writers.staged_copy(spark, path, f"{path}-staged")
+    return spark.read.parquet(f"{path}-staged").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
+
+
 @q("snk11_public_private", "SELECT 'public' AS \"table\", count(*) AS rows FROM supplier UNION ALL SELECT 'private', count(*) FROM supplier")
 def _(spark, d):
     s = t(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").alias("truth"))
@@ -270,6 +387,18 @@ def _(spark, d):
     return dealt.groupBy("worker").agg(F.count("*").alias("n"))
 
 
+@q("stm03_worker_queue", "SELECT count(*) AS n, sum(doc_id) AS total FROM documents")
+def _(spark, d):
+    """Four workers, each with a sentinel that says how many results it gave; all have ended before a result is used."""
+
+    def work(_, batches):
+        for pdf in batches:
+            yield from pdf["doc_id"].tolist()
+
+    got = incremental.worked(t(spark, d, "documents").select("doc_id"), 4, "doc_id", work)
+    return got.agg(F.count("*").alias("n"), F.sum("result").alias("total"))
+
+
 @q("stm04_job_states", "SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'error' THEN event_id END) > coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END), -1) THEN 'failed' WHEN max(CASE WHEN event_type = 'purchase' THEN event_id END) IS NOT NULL THEN 'completed' WHEN max(CASE WHEN event_type = 'click' THEN event_id END) IS NOT NULL THEN 'running' ELSE 'queued' END AS state FROM events GROUP BY 1")
 def _(spark, d):
     """The last transition of each job, from its events."""
@@ -279,6 +408,19 @@ def _(spark, d):
     return x.select("user_id", state.alias("state"))
 
 
+PACE = "SELECT event_id, user_id, epoch_us(ts) AS made, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CASE WHEN event_type = 'error' THEN CAST(event_id % 50 AS DOUBLE) END AS asked FROM events"
+
+
+@q("stm05_rate_and_backoff", f"SELECT event_id, max(made - 60000000 * i) OVER (PARTITION BY user_id ORDER BY i) + 60000000 * i - made AS waited_us, coalesce(greatest(asked, CAST(0 AS DOUBLE)), least(CAST(30 AS DOUBLE), 2 * (CAST(i AS DOUBLE) + 1))) AS again FROM ({PACE})")
+def _(spark, d):
+    """Requests of a user start a minute apart at least; a failed one is made again after what the answer said, or a growing wait."""
+    e = t(spark, d, "events").select("event_id", "user_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("made"))
+    e = e.withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    asked = F.when(F.col("event_type") == "error", (F.col("event_id") % 50).cast("double"))
+    paced = incremental.paced(e, "user_id", "made", 60_000_000, tie="event_id")
+    return paced.select("event_id", (F.col("start") - F.col("made")).alias("waited_us"), incremental.backoff(F.col("i").cast("double"), asked).alias("again"))
+
+
 @q("stm06_budget_fold", "WITH x AS (SELECT conv_id, turn, sum(1 + length(text) % 5) OVER (PARTITION BY conv_id ORDER BY turn) AS spent FROM conversations) SELECT conv_id, count(*) FILTER (spent <= 9) AS done FROM x GROUP BY 1")
 def _(spark, d):
     costs = F.array_sort(F.collect_list(F.struct("turn", (1 + F.length("text") % 5).cast("double").alias("c"))))

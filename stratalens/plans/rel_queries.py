@@ -618,26 +618,16 @@ def _(spark, d):
 # -- sorts, limits, sets, samples ----------------------------------------------------------------
 
 
-@q("srt01_multi_key_sort", "SELECT p_partkey FROM part ORDER BY p_type = 'PROMO' DESC, p_size, p_retailprice DESC, p_partkey LIMIT 50")
+@q("srt01_multi_key_sort", "SELECT p_partkey, row_number() OVER (ORDER BY p_type = 'PROMO' DESC, p_size, p_retailprice DESC, p_partkey) AS place FROM part")
 def _(spark, d):
-    return t(spark, d, "part").orderBy(F.desc(F.col("p_type") == "PROMO"), "p_size", F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey")
-
-
-@q("srt01_multi_key_sort_whole", "SELECT p_partkey, row_number() OVER (ORDER BY p_type = 'PROMO' DESC, p_size, p_retailprice DESC, p_partkey) AS place FROM part")
-def _(spark, d):
-    """Every row with its place; ``srt01_multi_key_sort`` stops at 50, as its SQL says."""
+    """Every row with its place."""
     p = t(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
     return ordering.placed(p, F.desc(F.col("p_type") == "PROMO"), "p_size", F.desc("p_retailprice"), "p_partkey").select("p_partkey", "place")
 
 
-@q("srt02_stable_sort", "SELECT doc_id FROM documents ORDER BY lang, doc_id LIMIT 100")
-def _(spark, d):
-    return t(spark, d, "documents").orderBy("lang", "doc_id").limit(100).select("doc_id")
-
-
-@q("srt02_stable_sort_whole", "SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) AS place FROM documents")
+@q("srt02_stable_sort", "SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) AS place FROM documents")
 def _(spark, d):
-    """Every row with its place; ``srt02_stable_sort`` stops at 100, as its SQL says."""
+    """Every row with its place."""
     return ordering.placed(t(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "place")
 
 
@@ -648,16 +638,9 @@ def _(spark, d):
     return c.repartitionByRange("cell", "c_custkey").sortWithinPartitions("cell", "c_custkey").select("c_custkey", "cell")
 
 
-@q("srt04_retrieval_order", "SELECT doc_id, row_number() OVER (ORDER BY greatest(a, b) DESC NULLS LAST, doc_id) AS place FROM (SELECT doc_id, CASE WHEN quality = 1 THEN doc_id % 97 END AS a, CASE WHEN toxic = 1 THEN doc_id % 89 END AS b FROM labels) ORDER BY place LIMIT 200")
-def _(spark, d):
-    a, b = F.when(F.col("quality") == 1, F.col("doc_id") % 97), F.when(F.col("toxic") == 1, F.col("doc_id") % 89)
-    top = t(spark, d, "labels").select("doc_id", F.greatest(a, b).alias("best")).orderBy(F.desc_nulls_last("best"), "doc_id").limit(200)
-    return top.select("doc_id", F.row_number().over(W.orderBy(F.desc_nulls_last("best"), "doc_id")).cast("long").alias("place"))
-
-
-@q("srt04_retrieval_order_whole", "SELECT doc_id, row_number() OVER (ORDER BY greatest(a, b) DESC NULLS LAST, doc_id) AS place FROM (SELECT doc_id, CASE WHEN quality = 1 THEN doc_id % 97 END AS a, CASE WHEN toxic = 1 THEN doc_id % 89 END AS b FROM labels)")
+@q("srt04_retrieval_order", "SELECT doc_id, row_number() OVER (ORDER BY greatest(a, b) DESC NULLS LAST, doc_id) AS place FROM (SELECT doc_id, CASE WHEN quality = 1 THEN doc_id % 97 END AS a, CASE WHEN toxic = 1 THEN doc_id % 89 END AS b FROM labels)")
 def _(spark, d):
-    """Every row with its place, those that no modality found last; ``srt04_retrieval_order`` stops at 200, as its SQL says."""
+    """Every row with its place, those that no modality found last."""
     a, b = F.when(F.col("quality") == 1, F.col("doc_id") % 97), F.when(F.col("toxic") == 1, F.col("doc_id") % 89)
     rows = t(spark, d, "labels").select("doc_id", F.greatest(a, b).alias("best"))
     return ordering.placed(rows, F.desc_nulls_last("best"), "doc_id").select("doc_id", "place")

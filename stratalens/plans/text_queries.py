@@ -390,13 +390,7 @@ def merge_documents(docs, labels):
     return a.join(b, "doc_id", "full").select("doc_id", "source", "quality", F.coalesce("judged", F.lit(False)).alias("judged"))
 
 
-@q("jsn05_merge_documents", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.source, b.quality, b.doc_id IS NOT NULL AS judged FROM (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) a FULL JOIN labels b ON a.doc_id = b.doc_id")
-def _(spark, d):
-    """Over even documents only, as its SQL says; ``jsn05_merge_documents_whole`` takes all."""
-    return merge_documents(t(spark, d, "documents").where("doc_id % 2 = 0"), t(spark, d, "labels"))
-
-
-@q("jsn05_merge_documents_whole", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.source, b.quality, b.doc_id IS NOT NULL AS judged FROM documents a FULL JOIN labels b ON a.doc_id = b.doc_id")
+@q("jsn05_merge_documents", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.source, b.quality, b.doc_id IS NOT NULL AS judged FROM documents a FULL JOIN labels b ON a.doc_id = b.doc_id")
 def _(spark, d):
     return merge_documents(t(spark, d, "documents"), t(spark, d, "labels"))
 

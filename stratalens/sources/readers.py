@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo
+from stratalens.sources.shared import written
 
 
 def id_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +53,24 @@ def table_by_ranges(spark: SparkSession, url: str, name: str, key: str, low: int
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
 
 
+def by_key_ranges(spark: SparkSession, path: str, key: str, low: int, high: int, parts: int) -> DataFrame:
+    """A table in files read in primary-key ranges of equal width, with the number of the range as ``part``.
+
+    As a database read does it: each range is a scan of its own with the bounds pushed down (files
+    written in key order are skipped by their statistics), the first and last are open, and rows
+    without a key belong to the first.
+    """
+    step = max(1, -(-(high - low + 1) // parts))
+    out = None
+    for k in range(parts):
+        at = F.col(key)
+        lower, upper = at >= low + k * step, at < low + (k + 1) * step
+        where = F.lit(True) if parts == 1 else (upper | at.isNull()) if not k else lower if k == parts - 1 else lower & upper
+        one = spark.read.parquet(path).where(where).withColumn("part", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _ROW = re.compile(r"\(((?:[^()']|'(?:[^'\\]|\\.|'')*')*)\)")
 _FIELD = re.compile(r"'((?:[^'\\]|\\.|'')*)'|([^,']+)")
 _ESCAPE = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "Z": "\x1a"}
@@ -92,24 +112,6 @@ def search_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("x")).where("x is not null").select("x.*")
 
 
-def tar_members(files: DataFrame) -> DataFrame:
-    """(path, name, size, content) of archives read as binary files; one task an archive."""
-    import io
-    import tarfile
-
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            rows.append((path, m.name, m.size, tar.extractfile(m).read()))
-                yield pd.DataFrame(rows, columns=["path", "name", "size", "content"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, name string, size long, content binary")
-
-
 def matrix_rows(path: str, spark: SparkSession, columns: int) -> DataFrame:
     """A flat little-endian float32 file as rows (row, embedding): the file is read in records of one row."""
     rdd = spark.sparkContext.binaryRecords(path, 4 * columns).zipWithIndex()
@@ -136,3 +138,32 @@ def check_manifest(df: DataFrame, rows: int, columns: int) -> DataFrame:
 def violations(df: DataFrame, rules: dict) -> DataFrame:
     """Counts of rows that break each named rule (a condition that must hold)."""
     return df.agg(*[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
+
+
+def cached_search(asked: DataFrame, cache_path: str, answer, key: str = "key") -> DataFrame:
+    """asked(key, ..) with ``answer`` (JSON) and ``src``: 'cache' where the key was answered before, else 'index'.
+
+    ``answer(missing) -> (key, answer)`` asks the local index for all missing keys at once; its
+    answers, also the empty ones, are stored, so that the next call finds them.
+    """
+    spark = asked.sparkSession
+    try:
+        stored = spark.read.schema("key string, answer string").parquet(cache_path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        stored = spark.createDataFrame([], "key string, answer string")
+    known = asked.join(stored, key).withColumn("src", F.lit("cache"))
+    missing = asked.join(stored.select(key), key, "left_anti")
+    fresh_answers = missing.join(answer(missing), key, "left").withColumn("answer", F.coalesce("answer", F.lit("[]"))).withColumn("src", F.lit("index"))
+    out = written(known.unionByName(fresh_answers), "answers")
+    out.where("src = 'index'").select(key, "answer").dropDuplicates([key]).write.mode("append").parquet(cache_path)
+    return out
+
+
+def paged_scan(rows: DataFrame, window: Column, order: list[str], cap: int) -> DataFrame:
+    """What a service with ``cap`` rows an answer gives of each window when it is asked twice, first rows first and last rows first, each row once; ``complete`` says whether a window was had whole."""
+    up, down = [F.col(c) for c in order], [F.col(c).desc() for c in order]
+    numbered = rows.withColumn("__w", window).withColumn("__up", F.row_number().over(W.partitionBy("__w").orderBy(*up))).withColumn("__down", F.row_number().over(W.partitionBy("__w").orderBy(*down)))
+    got = numbered.where((F.col("__up") <= cap) | (F.col("__down") <= cap))
+    return got.withColumn("complete", F.col("__up") + F.col("__down") - 1 <= 2 * cap).drop("__w", "__up", "__down")

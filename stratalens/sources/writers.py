@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns that a public table must not have.
@@ -71,3 +72,34 @@ def assert_public(df: DataFrame) -> None:
 def clustered_table(df: DataFrame, name: str, key: str, buckets: int) -> None:
     """A table bucketed and sorted by a lookup key: later joins on it need no shuffle of this side."""
     df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
+def replace_whole(df: DataFrame, path: str) -> None:
+    """The table at ``path`` appears, or is replaced, as a whole: written beside it, then renamed.  A failed write leaves what was there."""
+    spark = df.sparkSession
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    df.write.option("compression", "zstd").parquet(beside)
+    files, new, old = _place(spark, beside)[0], _place(spark, beside)[1], _place(spark, path)[1]
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{beside} could not be renamed to {path}")
+
+
+def staged_copy(spark: SparkSession, source: str, target: str) -> dict[str, int]:
+    """Copy the files of a folder, and accept the copy only if every file has its size; returns the sizes."""
+    files, src = _place(spark, source)
+    there, dst = _place(spark, target)
+    if there.exists(dst):
+        raise FileExistsError(target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(files, src, there, dst, False, spark._jsc.hadoopConfiguration())
+    sizes = lambda fs, p: {x.getPath().getName(): x.getLen() for x in fs.listStatus(p) if x.isFile()}
+    want, got = sizes(files, src), sizes(there, dst)
+    if want != got:
+        there.delete(dst, True)
+        raise OSError(f"{target} is not {source}")
+    return got
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

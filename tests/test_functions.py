@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo, hashing, text, vectors
-from stratalens.sources import readers, writers
+from stratalens.sources import archives, readers, writers
 
 
 def one(spark, column):
@@ -144,7 +144,7 @@ def test_tar_and_xml_and_matrix(spark, tmp_path):
         info = tarfile.TarInfo("x.txt")
         info.size = 3
         tar.addfile(info, io.BytesIO(b"abc"))
-    got = readers.tar_members(spark.read.format("binaryFile").load(str(tmp_path / "a.tar"))).collect()
+    got = archives.tar_members(spark.read.format("binaryFile").load(str(tmp_path / "a.tar"))).collect()
     assert [(r.name, bytes(r.content)) for r in got] == [("x.txt", b"abc")]
     np.arange(12, dtype="<f4").tofile(tmp_path / "m.bin")
     rows = readers.matrix_rows(str(tmp_path / "m.bin"), spark, 4).collect()
@@ -166,3 +166,121 @@ def test_gazetteer(spark, tmp_path):
 
 def test_haversine_clamps(spark):
     assert math.isclose(one(spark, geo.haversine(0.0, 0.0, 0.0, 180.0)), math.pi * 6371.0)
+
+
+def test_map_objects_round_trip(spark):
+    """Nodes, ways and relations come back with their tags; a key and kinds are filtered; empty files give nothing."""
+    from stratalens.sources import mapobjects as m
+
+    r = random.Random(1)
+    nodes = [(r.randint(-(1 << 40), 1 << 50), round(r.uniform(-90, 90), 7), round(r.uniform(-180, 180), 7), {"name": f"é{i}"} if i % 3 else {}) for i in range(500)]
+    ways = [(i + 1, [n[0] for n in r.sample(nodes, 7)], {"highway": "x"} if i % 2 else {}) for i in range(40)]
+    relations = [(9, [("way", 1, "outer"), ("node", nodes[0][0], ""), ("way", 2, "inner")], {"type": "multipolygon"}), (10, [], {})]
+    content = m.encode(nodes, ways, relations)
+    files = spark.createDataFrame([("a", content), ("b", b""), ("c", m.encode([]))], "path string, content binary")
+    got = m.map_objects(files).collect()
+    assert [(x.id, round(x.lat, 7), round(x.lon, 7), x.tags) for x in got if x.kind == "node"] == nodes
+    assert [(x.id, x.refs, x.tags) for x in got if x.kind == "way"] == ways
+    assert [(x.id, [tuple(y) for y in x.members], x.tags) for x in got if x.kind == "relation"] == relations
+    assert {x.id for x in m.map_objects(files, ("way",), "highway").collect()} == {i for i, _, t in ways if t}
+    assert m.numbers(b"".join(map(m._bytes, [0, 1, 127, 128, 300, (1 << 64) - 1]))).tolist() == [0, 1, 127, 128, 300, (1 << 64) - 1]
+
+
+def test_sharded_members(spark):
+    """Entries within a shard, over several, at the edges, empty ones, and shards of unlike sizes."""
+    whole = bytes(range(256)) * 5
+    cuts = [0, 100, 101, 400, 400, 1000, len(whole)]
+    shards = spark.createDataFrame([(i, whole[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))], "shard int, content binary")
+    r = random.Random(2)
+    index = [(0, 0, 100), (1, 99, 3), (2, 0, len(whole)), (3, 400, 0), (4, len(whole) - 1, 1)] + [(5 + i, (a := r.randrange(len(whole))), r.randint(0, len(whole) - a)) for i in range(60)]
+    got = {x.id: bytes(x.content) for x in archives.sharded_members(shards, spark.createDataFrame(index, "id int, offset long, size long")).collect()}
+    assert got == {i: whole[a : a + n] for i, a, n in index}
+
+
+def test_zip_members_by_range(spark):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a/x.txt", "hello " * 1000)
+        z.writestr("b/é.txt", "stored", zipfile.ZIP_STORED)
+        z.writestr("empty", "")
+        z.comment = b"a comment"
+    data, asked = out.getvalue(), []
+
+    def fetch(a, b):
+        asked.append((a, b))
+        return data[a:b]
+
+    entries = archives.zip_directory(fetch, len(data))
+    assert [e.name for e in entries] == ["a/x.txt", "b/é.txt", "empty"] and len(asked) == 2
+    assert [archives.zip_member(fetch, e) for e in entries] == [b"hello " * 1000, b"stored", b""]
+    files = spark.createDataFrame([("z", data)], "path string, content binary")
+    assert [(r.name, bytes(r.content)) for r in archives.zip_members(files, r"b/.*").collect()] == [("b/é.txt", b"stored")]
+    with pytest.raises(ValueError):
+        archives.zip_directory(lambda a, b: b"no zip", 6)
+    with pytest.raises(ValueError):
+        archives.zip_member(lambda a, b: data[a:b].replace(b"stored", b"st0red"), entries[1])
+
+
+def test_cached_search_asks_once(spark, tmp_path):
+    path, calls = str(tmp_path / "cache"), []
+
+    def index(missing):
+        calls.append(sorted(r.key for r in missing.collect()))
+        return missing.where("key <> 'none'").select("key", F.concat(F.lit("["), "key", F.lit("]")).alias("answer"))
+
+    asked = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    assert {(r.key, r.answer, r.src) for r in readers.cached_search(asked("1", "none"), path, index).collect()} == {("1", "[1]", "index"), ("none", "[]", "index")}
+    assert {(r.key, r.answer, r.src) for r in readers.cached_search(asked("1", "2", "none"), path, index).collect()} == {("1", "[1]", "cache"), ("2", "[2]", "index"), ("none", "[]", "cache")}
+    assert calls == [["1", "none"], ["2"]]
+
+
+def test_key_ranges_cover_all(spark, tmp_path):
+    rows = [(i * 3,) for i in range(100)] + [(None,)]
+    spark.createDataFrame(rows, "k long").write.parquet(str(tmp_path / "t"))
+    for parts in (1, 4, 40):
+        got = readers.by_key_ranges(spark, str(tmp_path / "t"), "k", 0, 297, parts)
+        assert got.count() == 101 and got.where("k is not null").select("k").distinct().count() == 100
+    plan = readers.by_key_ranges(spark, str(tmp_path / "t"), "k", 0, 297, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k,75)" in plan.replace(" ", "")
+
+
+def test_database_table_by_ranges(spark):
+    """The same over a database connection, on the embedded engine that comes with Spark."""
+    url = "jdbc:derby:memory:ranges;create=true"
+    spark.createDataFrame([(i, f"v{i}") for i in range(50)], "k int, v string").write.format("jdbc").options(url=url, dbtable="t").mode("overwrite").save()
+    got = readers.table_by_ranges(spark, url, "t", "k", 0, 50, 4)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 50
+
+
+def test_replaced_whole_and_staged(spark, tmp_path):
+    df = spark.range(10)
+    writers.replace_whole(df, str(tmp_path / "t"))
+    with pytest.raises(Exception):
+        writers.replace_whole(df.select(F.raise_error(F.lit("lost")).alias("id")), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+    sizes = writers.staged_copy(spark, str(tmp_path / "t"), str(tmp_path / "s"))
+    assert sizes and spark.read.parquet(str(tmp_path / "s")).count() == 10
+    with pytest.raises(FileExistsError):
+        writers.staged_copy(spark, str(tmp_path / "t"), str(tmp_path / "s"))
+
+
+def test_worker_queue_and_pacing(spark):
+    from stratalens.streaming import incremental
+
+    got = incremental.worked(spark.range(100), 3, "id", lambda me, batches: (x for pdf in batches for x in pdf["id"].tolist()))
+    assert sorted(r.result for r in got.collect()) == list(range(100))
+    with pytest.raises(Exception):
+        incremental.worked(spark.range(10), 2, "id", lambda me, batches: (1 // 0 for _ in batches))
+    made = [0.0, 0.1, 5.0, 5.0, 5.2]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(made)], "g int, i int, made double")
+    starts = [r.start for r in incremental.paced(df, "g", "made", 1.0, "i").orderBy("i").collect()]
+    want, free = [], -1e9
+    for x in made:
+        free = max(x, free + 1.0)
+        want.append(free)
+    assert np.allclose(starts, want)
+    assert [one(spark, incremental.backoff(F.lit(float(k)))) for k in (0, 3, 40)] == [2.0, 8.0, 30.0]
+    assert one(spark, incremental.backoff(F.lit(1.0), F.lit(7.5))) == 7.5

@@ -285,7 +285,7 @@ def test_search_dump_and_merge_take_odd_ids(spark):
     assert sorted(tuple(r) for r in io_queries.search_dump(docs).collect()) == [(1, "en"), (2, None), (3, "de"), (4, "fr")]
     got = sorted((tuple(r) for r in text_queries.merge_documents(docs, labels).collect()), key=repr)
     assert got == [(1, "a", 1, True), (2, "b", None, False), (3, None, None, False), (4, "c", None, True), (7, None, 0, True)]
-    for name in ("src14_search_dump_whole", "jsn05_merge_documents_whole"):
+    for name in ("src14_search_dump", "jsn05_merge_documents"):
         assert base.QUERIES[name](spark, "/root/testdata/sf0.001").where("doc_id % 2 = 1").count() > 0
 
 
@@ -305,7 +305,7 @@ def test_places_of_all_rows(spark):
 
 
 def test_whole_sorts_keep_every_row(spark):
-    for name, table in (("srt01_multi_key_sort_whole", "part"), ("srt02_stable_sort_whole", "documents"), ("srt04_retrieval_order_whole", "labels")):
+    for name, table in (("srt01_multi_key_sort", "part"), ("srt02_stable_sort", "documents"), ("srt04_retrieval_order", "labels")):
         n = base.t(spark, "/root/testdata/sf0.01", table).count()
         assert n > 200 and sorted(x.place for x in base.QUERIES[name](spark, "/root/testdata/sf0.01").collect()) == list(range(1, n + 1))
 

@@ -11,12 +11,15 @@ def con():
     return connect(SF)
 
 
+#: Queries that find nothing on the smallest tables, and why: none of its few rows fits.
+EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, con, name):
     said = difference(spark, con, QUERIES[name], ORACLES[name], SF)
-    assert said in ("", "no rows"), said
+    assert said == ("no rows" if name in EMPTY else "")
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
