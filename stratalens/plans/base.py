@@ -60,10 +60,10 @@ def points_sql(table: str, key: str, prefix: str = "", more: str = "") -> str:
 
 
 #: Candidate pools: an order is a query, its lines are ranked candidates with a score and a place.
-#: Scores are prices by a power of two: exact, and far from a tie at the sixth decimal, where engines round apart.
+#: Scores are prices by an odd number: they and their differences are never a tie at the last decimal shown, where engines round apart.
 #: Places scatter by fractions of a degree around one of three centres of the order, so that areas form.
 POOL_SQL = f"""(SELECT l_orderkey AS qid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS pos,
-  l_extendedprice / CAST(131072 AS DOUBLE) AS score,
+  l_extendedprice / CAST(131071 AS DOUBLE) AS score,
   CAST({lat_sql("l_orderkey")} * CAST(0.8 AS DOUBLE) + CAST(l_partkey % 3 AS DOUBLE) * CAST(2 AS DOUBLE) + CAST(l_suppkey % 7 AS DOUBLE) * CAST(0.05 AS DOUBLE) AS DOUBLE) AS lat,
   CAST({lon_sql("l_orderkey")} * CAST(0.9 AS DOUBLE) + CAST(l_partkey % 5 AS DOUBLE) * CAST(0.04 AS DOUBLE) AS DOUBLE) AS lon,
   l_suppkey AS author FROM lineitem)"""
@@ -77,7 +77,7 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").select(
         k.alias("qid"),
         F.row_number().over(by).cast("long").alias("pos"),
-        (F.col("l_extendedprice") / 131072.0).alias("score"),
+        (F.col("l_extendedprice") / 131071.0).alias("score"),
         (geo.derived_lat(k) * 0.8 + (F.col("l_partkey") % 3).cast("double") * 2.0 + (F.col("l_suppkey") % 7).cast("double") * 0.05).alias("lat"),
         (geo.derived_lon(k) * 0.9 + (F.col("l_partkey") % 5).cast("double") * 0.04).alias("lon"),
         F.col("l_suppkey").alias("author"),

@@ -296,8 +296,10 @@ def _(spark, d):
 def _(spark, d):
     """A bulk build with its index: a table bucketed and sorted by the lookup key."""
     name = f"lookup_{uuid.uuid4().hex}"
-    writers.clustered_table(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), name, "o_custkey", 8)
-    return t(spark, d, "orders").join(spark.table(name).hint("shuffle_merge"), "o_custkey").select("o_orderkey", "c_mktsegment")
+    writers.clustered_table(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), name, "o_custkey", 8, fresh(spark, name))
+    lookup = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only; the files go with the run's folder
+    return t(spark, d, "orders").join(lookup.hint("shuffle_merge"), "o_custkey").select("o_orderkey", "c_mktsegment")
 
 
 @q("snk05_json_lines", "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}' AS line FROM nation")

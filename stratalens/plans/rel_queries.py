@@ -297,9 +297,9 @@ def _(spark, d):
     return t(spark, d, "documents").select("doc_id", "lang").join(F.broadcast(ids), "doc_id")
 
 
-@q("jn12_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+@q("jn12_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
 def _(spark, d):
-    used = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    used = t(spark, d, "orders").where("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey"))
     blocked = t(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"))
     return t(spark, d, "customer").join(used, "c_custkey", "left_anti").join(blocked, "c_nationkey", "left_anti").select("c_custkey")
 

@@ -353,3 +353,29 @@ def test_hash_cohort_loses_no_rare_region(spark):
 def test_new_areas_keep_off_what_is_taken():
     rows = [dict(pos=1, lat=0.0, lon=0.0, w=0.1, taken=True), dict(pos=2, lat=0.1, lon=0.0, w=0.9, taken=False), dict(pos=3, lat=10.0, lon=0.0, w=0.5, taken=False), dict(pos=4, lat=10.1, lon=0.0, w=0.4, taken=False), dict(pos=5, lat=20.0, lon=0.0, w=0.3, taken=False), dict(pos=6, lat=30.0, lon=0.0, w=0.2, taken=False)]
     assert [(a, f, round(m, 6)) for a, f, m in clustering.new_areas(Group.of(rows))] == [(1, 3, 0.9), (2, 5, 0.3)]
+
+
+def test_epoch_ms_keeps_off_the_session_zone(spark, tmp_path):
+    """Stamps just before a whole millisecond, before 1970, and in the hour that a zone skips."""
+    import datetime as dt
+
+    stamps = [dt.datetime(2024, 1, 1, 0, 9, 58, 778999), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(2024, 3, 10, 2, 30, 0, 1), dt.datetime(2024, 11, 3, 1, 30)]
+    spark.createDataFrame(list(enumerate(stamps)), "event_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    want = {i: (x.strftime("%Y-%m-%dT%H:%M:%SZ"), (x - dt.datetime(1970, 1, 1)) // dt.timedelta(milliseconds=1), x.year) for i, x in enumerate(stamps)}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = base.QUERIES["tim02_iso_and_epoch"](spark, str(tmp_path)).collect()
+            assert {r.event_id: (r.iso, r.ms, r.year) for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_rare_and_common_phrases_agree(spark):
+    """Both ways of looking a phrase up give the documents of the place that have it."""
+    docs = spark.createDataFrame([(i, f"common word {'rare bird' if i % 9 == 0 else 'other thing'} end") for i in range(50)], "id long, norm string")
+    said = spark.createDataFrame([(1, "rare bird"), (2, "common word"), (3, "no such"), (4, "bird rare")], "pid int, phrase string")
+    place = docs.where("id < 30").select(F.col("id").alias("doc"))
+    got = sorted((r.pid, r.doc, r.plan) for r in postings.rare_first(docs, said, place, "id", "norm", 10).collect())
+    assert got == sorted([(1, i, "text first") for i in range(0, 30, 9)] + [(2, i, "place first") for i in range(30)])
