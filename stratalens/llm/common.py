@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,41 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.sources.shared import run_dir, shared_dir  # noqa: F401  operators and tests take them from here
+
 #: Removes the shuffle files of a finished write, so that only the written table keeps disk.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is ``spark.checkpoint.dir``.  A private folder is made only where that is unset and
-    everything runs in one local process; on a cluster an unset folder is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="stratalens-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def run_dir(spark: SparkSession) -> str:
-    """This application's own folder below ``shared_dir``; it goes when the driver's JVM ends in order."""
-    path = f"{shared_dir(spark)}/stratalens/{spark.sparkContext.applicationId}"
-    if path not in _MARKED:
-        _MARKED.add(path)
-        files, where = _files(spark, path)
-        files.mkdirs(where)
-        files.deleteOnExit(where)
-    return path
-
-
-_MARKED: set[str] = set()
-
-
 def _files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
