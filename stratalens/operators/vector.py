@@ -50,7 +50,7 @@ def scored(queries: DataFrame, gallery: DataFrame, predicate: Column | None = No
     spark = queries.sparkSession
     width = _width(queries, "qvec")
     most = max(1, QUERY_BYTES // (8 * max(1, width)))
-    blocks = 1 if _few(queries, width) else -(-queries.count() // (most // 2))
+    blocks = 1 if _few(queries, width) else -(-queries.count() // (max(1, most // 2)))
     out = None
     q_fields = [f for f in queries.schema if f.name != "qvec"]
     g_fields = [f for f in gallery.schema if f.name != "gvec"]
