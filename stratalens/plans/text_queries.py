@@ -415,7 +415,7 @@ def _(spark, d):
     ts = F.col("ts").cast("timestamp_ntz")
     seconds = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
     ms = seconds * 1000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
-    return t(spark, d, "events").select("event_id", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), ms.cast("long").alias("ms"), F.year(ts).alias("year"))
+    return t(spark, d, "events").select("event_id", F.concat(F.translate(F.substring(ts.cast("string"), 1, 19), " ", "T"), F.lit("Z")).alias("iso"), ms.cast("long").alias("ms"), F.year(ts).alias("year"))
 
 
 @q("tim03_day_windows", "SELECT strftime(day, '%Y-%m-%d') AS day, count(event_id) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 5 DAY)) AS day) LEFT JOIN events ON ts >= day AND ts < day + INTERVAL 5 DAY GROUP BY 1")
