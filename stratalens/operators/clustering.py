@@ -95,6 +95,10 @@ def first_fit(g: Group, radius_km: float, limit: int) -> list[tuple]:
     g = g.by("rank", -g["score"])
     out = []
     for k, (_, members) in enumerate(peel(km_between(g) <= radius_km, most=limit), 1):
+        if len(members) == 1:
+            i = int(members[0])
+            out.append((k, float(g["lat"][i]), float(g["lon"][i]), float(g["score"][i]), 1, 0.0))
+            continue
         own = g[members]
         best = float(own["score"].max())
         centre = sphere_mean(own, np.maximum(np.exp(np.clip((own["score"] - best) / 0.05, -20, 0)), 1e-6))
@@ -248,21 +252,23 @@ def apply(df: DataFrame, key: str, key_type: str, fn, fields: str, **how) -> Dat
 
 def groups(batches, key: str) -> Iterator[tuple]:
     """(key, Group) of rows sorted by key; a batch's last key may go on in the next."""
-    held: pa.Table | None = None
+    held = None
     for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        keys = held.column(key).to_pylist()
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+        if not b.num_rows:
+            continue
+        now = Group({c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(b.schema.names)})
+        held = now if held is None else Group({c: np.concatenate([held[c], now[c]]) for c in now})
+        keys = held[key]
+        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
         for a, z in zip(cuts, cuts[1:], strict=False):
-            yield keys[a], _columns(held.slice(a, z - a))
-        held = held.slice(cuts[-1]) if keys else None
-    if held is not None and held.num_rows:
-        yield held.column(key)[0].as_py(), _columns(held)
+            yield _plain(keys[a]), held[a:z]
+        held = held[cuts[-1] :]
+    if held is not None:
+        yield _plain(held[key][0]), held
 
 
-def _columns(t: pa.Table) -> Group:
-    return Group({c: t.column(c).to_numpy() for c in t.column_names})
+def _plain(x):
+    return x.item() if hasattr(x, "item") else x
 
 
 def apply_two(a: DataFrame, b: DataFrame, key: str, key_type: str, fn, fields: str, **how) -> DataFrame:
