@@ -11,7 +11,7 @@ from stratalens.functions import geo, hashing, vectors
 from stratalens.operators import ordering, spatial
 from stratalens.plans.base import hav_sql, lat_sql, lon_sql, points, points_sql, q, r6, t
 from stratalens.sources import archives, mapobjects, readers, writers
-from stratalens.sources.shared import fresh
+from stratalens.sources.shared import fresh, written
 from stratalens.streaming import incremental
 
 
@@ -112,9 +112,13 @@ def _packed_files(df, key, pack):
 
 
 def _map_file(pdf) -> bytes:
-    nodes = [(int(i), a, b, {"name": f"n{i}"} if i % 3 else {}) for i, a, b in pdf[["node", "lat", "lon"]].drop_duplicates().itertuples(index=False)]
-    ways = [(int(i), [int(x) for x in g["node"]], {"highway": "F"} if g["status"].iloc[0] == "F" else {"building": "yes"}) for i, g in pdf.groupby("way")]
-    return mapobjects.encode(nodes, ways, [(int(pdf["way"].min()), [("way", w, "outer") for w, _, _ in ways], {"type": "multipolygon"})])
+    nodes = [(i, a, b, {"name": f"n{i}"} if i % 3 else {}) for i, a, b in sorted(set(zip(pdf["node"].tolist(), pdf["lat"].tolist(), pdf["lon"].tolist(), strict=True)))]
+    refs: dict[int, list[int]] = {}
+    for way, node in zip(pdf["way"].tolist(), pdf["node"].tolist(), strict=True):
+        refs.setdefault(way, []).append(node)
+    roads = set(pdf.loc[pdf["status"] == "F", "way"].tolist())
+    ways = [(way, ids, {"highway": "F"} if way in roads else {"building": "yes"}) for way, ids in refs.items()]
+    return mapobjects.encode(nodes, ways, [(min(refs), [("way", way, "outer") for way in refs], {"type": "multipolygon"})])
 
 
 @q("src11_map_objects", f"SELECT o_orderkey AS way, round(min({lat_sql('l_partkey')}), 6) AS lat_min, round(max({lat_sql('l_partkey')}), 6) AS lat_max, count(*) AS refs FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
@@ -122,7 +126,7 @@ def _(spark, d):
     """Files of nodes, ways and relations; only ways with the key are kept, then their nodes are joined."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("way"), F.col("o_orderstatus").alias("status"))
     rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("node"), geo.derived_lat("l_partkey").alias("lat"), geo.derived_lon("l_partkey").alias("lon"))
-    files = _packed_files(rows.join(o, "way").withColumn("file", F.col("way") % 8), "file", _map_file)
+    files = written(_packed_files(rows.join(o, "way").withColumn("file", F.col("way") % 8), "file", _map_file), "map-files")
     ways = mapobjects.map_objects(files, ("way",), "highway").select(F.col("id").alias("way"), F.explode("refs").alias("id"))
     nodes = mapobjects.map_objects(files, ("node",)).groupBy("id").agg(F.any_value("lat").alias("lat"))  # a node is in every file that needs it
     return ways.join(nodes, "id").groupBy("way").agg(r6(F.min("lat"), "lat_min"), r6(F.max("lat"), "lat_max"), F.count("*").alias("refs"))
