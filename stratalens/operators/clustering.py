@@ -65,16 +65,16 @@ def sphere_mean(g: Group, weights: np.ndarray) -> tuple[float, float]:
     return math.degrees(math.atan2(z, math.hypot(x, y))), math.degrees(math.atan2(y, x))
 
 
-def peel(near: np.ndarray, founder: Callable[[np.ndarray], int] = np.argmax, most: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def peel(near: np.ndarray, founder: Callable[[np.ndarray], int] = np.ndarray.argmax, most: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(founder, members) until nothing is left or ``most`` groups; ``founder`` chooses among the rows marked as left, by default the first."""
     left = np.ones(len(near), bool)
     while left.any() and most != 0:
         f = int(founder(left))
         members = near[f] & left
         members[f] = True
-        left &= ~members
+        left ^= members  # all of them were left
         most = None if most is None else most - 1
-        yield f, np.flatnonzero(members)
+        yield f, members.nonzero()[0]
 
 
 def heaviest(near: np.ndarray, weights: np.ndarray) -> Callable[[np.ndarray], int]:
