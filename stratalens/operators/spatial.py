@@ -186,15 +186,21 @@ def in_polygon(points: DataFrame, polygons: DataFrame, size: float = 5.0) -> Dat
 
 
 def contains(lat, lon, rings) -> Column:
-    """Even-odd rule over all rings, without Python: count the edges that a ray to the east crosses."""
+    """Even-odd rule over all rings, without Python: count the edges that a ray to the east crosses.  A point on an edge, of a hole as well, is inside."""
     lat, lon = F.col(lat), F.col(lon)
 
+    def sides(ring):
+        return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def on_edge(ring):
+        line = lambda e: (e.b.lon - e.a.lon) * (lat - e.a.lat) == (lon - e.a.lon) * (e.b.lat - e.a.lat)
+        return F.exists(sides(ring), lambda e: lat.between(F.least(e.a.lat, e.b.lat), F.greatest(e.a.lat, e.b.lat)) & lon.between(F.least(e.a.lon, e.b.lon), F.greatest(e.a.lon, e.b.lon)) & line(e))
+
     def crossings(ring):
-        ends = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        cross = F.filter(ends, lambda e: ((e.a.lat > lat) != (e.b.lat > lat)) & (lon < (e.b.lon - e.a.lon) * (lat - e.a.lat) / (e.b.lat - e.a.lat) + e.a.lon))
+        cross = F.filter(sides(ring), lambda e: ((e.a.lat > lat) != (e.b.lat > lat)) & (lon < (e.b.lon - e.a.lon) * (lat - e.a.lat) / (e.b.lat - e.a.lat) + e.a.lon))
         return F.size(cross)
 
-    return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda s, x: s + x) % 2 == 1
+    return (F.aggregate(F.transform(rings, crossings), F.lit(0), lambda s, x: s + x) % 2 == 1) | F.exists(rings, on_edge)
 
 
 def polygon_km2(rings) -> Column:
