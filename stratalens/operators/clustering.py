@@ -49,6 +49,13 @@ def km(a, b):
     return 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
 
 
+def km_exact(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """``km`` of two pairs by the C library, bit for bit as SQL engines have it: settles what is equal but for the last bit."""
+    p, q = math.radians(a[0]), math.radians(b[0])
+    h = math.pow(math.sin(math.radians(b[0] - a[0]) / 2), 2) + math.cos(p) * math.cos(q) * math.pow(math.sin(math.radians(b[1] - a[1]) / 2), 2)
+    return 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+
 def km_between(a: Group, b: Group | None = None) -> np.ndarray:
     """Distances of all rows of one list to all of another (or itself)."""
     b = a if b is None else b
@@ -181,11 +188,17 @@ def merge_sources(g: Group, radius_km: float = 25.0) -> list[tuple]:
     """(id, candidate, centre_id): clusters of several sources by share / log2(2 + n); each joins the nearest centre within the radius (<), else starts one."""
     g = g.by(-(g["share"] / np.log2(2 + g["n"])), "id")
     far, ids = km_between(g), g["id"]
+    spots = list(zip(g["lat"].tolist(), g["lon"].tolist(), strict=True))
     centres: list[int] = []
     out = []
     for i in range(len(g)):
-        k = int(far[i, centres].argmin()) if centres else -1
-        if k < 0 or far[i, centres[k]] >= radius_km:
+        d = far[i, centres]
+        k, least = (int(d.argmin()), float(d.min())) if centres else (-1, math.inf)
+        if abs(least - radius_km) < 1e-6 or (d < least + 1e-6).sum() > 1:  # too near a tie for the last bits of an array's sines
+            d = [km_exact(spots[c], spots[i]) if x < least + 1e-6 else math.inf for c, x in zip(centres, d.tolist(), strict=True)]
+            least = min(d)
+            k = d.index(least)
+        if k < 0 or least >= radius_km:
             k = len(centres)
             centres.append(i)
         out.append((int(ids[i]), k + 1, int(ids[centres[k]])))
