@@ -85,10 +85,14 @@ def peel(near: np.ndarray, founder: Callable[[np.ndarray], int] = np.ndarray.arg
 
 
 def heaviest(near: np.ndarray, weights: np.ndarray) -> Callable[[np.ndarray], int]:
-    """The row whose near rows weigh most, of those left (to twelve places, then the first)."""
+    """The row whose near rows weigh most, of those left (to twelve places, then the first).
+
+    Weights are added one after the other: rows near the same rows then weigh the same to the last
+    bit, which a matrix product does not promise.
+    """
 
     def choose(left: np.ndarray) -> int:
-        mass = (near & left) @ weights
+        mass = np.where(near & left, weights, 0.0).cumsum(axis=1)[:, -1]
         return int(np.where(left, mass.round(12), -np.inf).argmax())
 
     return choose
