@@ -221,7 +221,8 @@ def _npz_file(pdf) -> bytes:
 @q("src18_matrix_rows", "SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
 def _(spark, d):
     """Two arrays of NPZ files, met by file and row."""
-    files = _packed_files(t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 4).alias("file")), "file", _npz_file)
+    # Written once: both arrays are read from the same files, whatever order the rows came in.
+    files = written(_packed_files(t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 4).alias("file")), "file", _npz_file), "npz-files")
     ids = archives.npz_rows(files, "ids").select("path", "row", F.element_at("value", 1).cast("long").alias("vec_id"))
     total = F.aggregate(vectors.doubles("value"), F.lit(0.0), lambda s, x: s + x)
     return archives.npz_rows(files, "x").join(ids, ["path", "row"]).select("vec_id", r6(total, "total", 4))
