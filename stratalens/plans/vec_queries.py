@@ -51,7 +51,7 @@ def _(spark, d):
 def _(spark, d):
     best = vector.nearest(asked(spark, d).where("qid = 0"), gallery(spark, d), 20, own=True)
     p = best.join(gallery(spark, d).select("gid", "lat", "lon"), "gid")
-    return p.select("gid", r6("score", "score", 4), r6(geo.clip_lat("lat"), "lat"), r6(geo.wrap_lon("lon"), "lon"))
+    return p.orderBy(F.desc("score"), "gid").select("gid", r6("score", "score", 4), r6(geo.clip_lat("lat"), "lat"), r6(geo.wrap_lon("lon"), "lon"))
 
 
 @q("vec04_topk_tiebreak", topk_sql("TRUE", 7, ALL.replace(f"{DOT} AS score", f"round({DOT}, 1) AS score")))
