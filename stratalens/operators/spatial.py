@@ -136,7 +136,8 @@ def boxes_near(points: DataFrame, boxes: DataFrame, radius_km: float, tiers_km:
     half = geo.half_diagonal_km("lat_min", "lat_max", "lon_min", "lon_max")
     sized = boxes.withColumn("rlat", (F.col("lat_min") + F.col("lat_max")) / 2).withColumn("rlon", (F.col("lon_min") + F.col("lon_max")) / 2).withColumn("__half", half)
     out, low = None, -1.0
-    for top in (*tiers_km, 20100.0):
+    largest = sized.agg(F.max("__half")).first()[0] or 0.0  # the last tier reaches as far as its largest box, not round the globe
+    for top in (*(k for k in tiers_km if k < largest), max(0.0, largest)):
         tier = sized.where((F.col("__half") > low) & (F.col("__half") <= top))
         # The centre is at most the half-diagonal (and a little, for the sphere) beyond the box's nearest point.
         got = radius_join(points, tier, min(20100.0, radius_km + 1.2 * top + 1)).drop("km")
