@@ -28,10 +28,10 @@ def with_cell(points: DataFrame, size: float, lat: str = "lat", lon: str = "lon"
     return points.withColumn("__row", F.floor((F.col(lat) + 90) / size).cast("int")).withColumn("__col", F.pmod(F.floor((F.col(lon) + 180) / size), F.lit(columns)).cast("int"))
 
 
-def with_reach(points: DataFrame, radius_km: float, size: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def with_reach(points: DataFrame, radius_km: float, size: float, lat: str = "lat", lon: str = "lon", earth: float = geo.EARTH_KM) -> DataFrame:
     """One row for each cell within reach.  ``reach`` is a little wide (by 0.5 %), never narrow."""
     columns = round(360 / size)
-    reach = radius_km / geo.EARTH_KM * 180 / math.pi * 1.005 + 1e-9
+    reach = radius_km / earth * 180 / math.pi * 1.005 + 1e-9
     rows = F.sequence(F.floor((F.col(lat) - reach + 90) / size).cast("int"), F.floor((F.col(lat) + reach + 90) / size).cast("int"))
     far = F.abs(F.col(lat)) + reach
     span = F.when(far < 89.9, F.least(F.lit(181.0), reach / F.cos(F.radians(far)))).otherwise(F.lit(181.0))
@@ -42,24 +42,60 @@ def with_reach(points: DataFrame, radius_km: float, size: float, lat: str = "lat
     return out.withColumn("__col", F.pmod(F.col("__c"), F.lit(columns)).cast("int")).drop("__c")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_km: float, strict: bool = False, earth: float = geo.EARTH_KM, on: tuple[str, ...] = ()) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius_km: float, strict: bool = False, earth: float = geo.EARTH_KM, on: tuple[str, ...] = (), spread: str = "left") -> DataFrame:
     """Pairs within ``radius_km``; left has lat, lon and right has rlat, rlon; adds ``km``.
 
-    ``strict`` uses < instead of <=; pairs must be equal in the columns ``on``.
+    ``strict`` uses < instead of <=; pairs must be equal in the columns ``on``.  ``spread`` names the
+    side that is repeated for the cells it reaches: best the smaller one.
     """
     size = cell_size(radius_km)
     km = geo.haversine("lat", "lon", "rlat", "rlon", earth)
     near = km < radius_km if strict else km <= radius_km
-    reach = with_reach(left, radius_km, size)
-    cells = with_cell(right, size, "rlat", "rlon")
-    return reach.join(cells, ["__row", "__col", *on]).where(near).drop("__row", "__col").withColumn("km", km)
-
-
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: float, k: int = 1) -> DataFrame:
-    """The k nearest within the radius, ties by the right id; ``rank`` from 1."""
-    pairs = radius_join(left, right, radius_km)
+    if spread == "right":
+        many, one = with_reach(right, radius_km, size, "rlat", "rlon", earth), with_cell(left, size)
+    else:
+        many, one = with_reach(left, radius_km, size, earth=earth), with_cell(right, size, "rlat", "rlon")
+    angle = radius_km / earth
+    if angle < 3.1:  # products of unit vectors settle all pairs but those at the very edge
+        vector = lambda df, lat, lon, p: df.withColumns({f"__{p}{c}": v for c, v in zip("xyz", geo.unit_xyz(lat, lon), strict=True)})
+        many, one = vector(many, *(("rlat", "rlon", "r") if spread == "right" else ("lat", "lon", "l"))), vector(one, *(("lat", "lon", "l") if spread == "right" else ("rlat", "rlon", "r")))
+        dot = F.col("__lx") * F.col("__rx") + F.col("__ly") * F.col("__ry") + F.col("__lz") * F.col("__rz")
+        near = dot.between(math.cos(angle) + 1e-9, 2.0) | ((dot >= math.cos(angle) - 1e-9) & near)
+    # The repeated side looks small to the planner, which does not count the repeats: it must not be broadcast.
+    met = many.hint("merge").join(one, ["__row", "__col", *on]).where(near).withColumn("km", km)
+    columns = [*left.columns, *(c for c in right.columns if c not in on), "km"]
+    return met.select(*columns)
+
+
+def spread_of(left: DataFrame, right: DataFrame) -> str:
+    """The side with fewer rows, to be repeated by ``radius_join``."""
+    return "right" if right.count() < left.count() else "left"
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: float, k: int = 1, where: Column | None = None) -> DataFrame:
+    """The k nearest within the radius (of pairs under ``where``), ties by the right id; ``rank`` from 1.
+
+    Rings: a radius that holds about eight times k of the right side's points, were they even, comes
+    first.  Who finds k there is done, since what lies outside is farther; the others go on to a
+    ring three times as wide, and the last one is the radius itself.
+    """
+    n, spread = right.count(), spread_of(left, right)
+    even = geo.EARTH_KM * math.acos(max(-1.0, 1 - 16 * k / max(n, 1)))
     by = W.partitionBy(left_id).orderBy("km", right_id)
-    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    todo, found, ring = left, None, max(1.0, even)
+    while True:
+        last = ring * 2 >= radius_km
+        pairs = radius_join(todo, right, radius_km if last else ring, spread=spread)
+        got = (pairs if where is None else pairs.where(where)).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        if not last:
+            got = written(got, "ring")
+            done = got.where(F.col("rank") == k)
+            todo = todo.join(done.select(left_id), left_id, "left_anti")
+            got = got.join(done.select(left_id), left_id, "left_semi")
+        found = got if found is None else found.unionByName(got.select(*found.columns))
+        if last:
+            return found
+        ring *= 3
 
 
 def nearest_ring(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rings: tuple[float, ...] = (300.0, 3000.0)) -> DataFrame:

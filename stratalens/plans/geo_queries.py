@@ -135,7 +135,8 @@ PAIRS = f"(SELECT c_custkey, s_suppkey, {hav_sql('lat', 'lon', 'rlat', 'rlon')}
 
 
 def pairs(spark, d, km):
-    return spatial.radius_join(points(spark, d, "customer", "c_custkey"), points(spark, d, "supplier", "s_suppkey", "r"), km)
+    c, s = points(spark, d, "customer", "c_custkey"), points(spark, d, "supplier", "s_suppkey", "r")
+    return spatial.radius_join(c, s, km, spread=spatial.spread_of(c, s))
 
 
 @q("spj01_radius_join", f"SELECT c_custkey, s_suppkey, round(km, 6) AS km FROM {PAIRS} WHERE km <= 1500")
