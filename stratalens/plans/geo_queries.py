@@ -178,12 +178,11 @@ def _(spark, d):
 @q("spj05_big_town_window", f"SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS rn FROM (SELECT c.*, s.s_suppkey, s.rlat, s.rlon, {hav_sql('lat', 'lon', 'rlat', 'rlon')} AS km FROM {C} c, {points_sql('supplier', 's_suppkey', 'r', 's_acctbal')} s WHERE s_acctbal >= 5000 AND abs(lat - rlat) <= 10 AND abs(lon - rlon) <= 15)) WHERE rn = 1")
 def _(spark, d):
     """The nearest large town in a window of latitude and longitude."""
-    s = points(spark, d, "supplier", "s_suppkey", "r", "s_acctbal").where("s_acctbal >= 5000").withColumn("cr", F.floor(F.col("rlat") / 10)).withColumn("cc", F.floor(F.col("rlon") / 15))
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    c = points(spark, d, "customer", "c_custkey").withColumn("cr", F.explode(F.transform(step, lambda x: F.floor(F.col("lat") / 10) + x))).withColumn("cc", F.explode(F.transform(step, lambda x: F.floor(F.col("lon") / 15) + x)))
-    near = c.join(s, ["cr", "cc"]).where((F.abs(F.col("lat") - F.col("rlat")) <= 10) & (F.abs(F.col("lon") - F.col("rlon")) <= 15))
-    best = F.min(F.struct(geo.haversine("lat", "lon", "rlat", "rlon").alias("km"), "s_suppkey")).alias("b")
-    return near.groupBy("c_custkey").agg(best).select("c_custkey", "b.s_suppkey")
+    s = points(spark, d, "supplier", "s_suppkey", "r", "s_acctbal").where("s_acctbal >= 5000")
+    window = (F.abs(F.col("lat") - F.col("rlat")) <= 10) & (F.abs(F.col("lon") - F.col("rlon")) <= 15)
+    # No place of the window is farther than 10 degrees along a meridian and 15 along a parallel.
+    got = spatial.nearest(points(spark, d, "customer", "c_custkey"), s, "c_custkey", "s_suppkey", 2800.0, 1, window)
+    return got.select("c_custkey", "s_suppkey")
 
 
 @q("spj06_grid_neighbour_scan", f"SELECT c_custkey, count(*) AS n FROM {PAIRS} WHERE km <= 800 GROUP BY c_custkey")
