@@ -121,12 +121,18 @@ def _map_file(pdf) -> bytes:
     return mapobjects.encode(nodes, ways, [(min(refs), [("way", way, "outer") for way in refs], {"type": "multipolygon"})])
 
 
+#: References of ways in one file, about.
+MAP_ROWS = 50_000
+
+
 @q("src11_map_objects", f"SELECT o_orderkey AS way, round(min({lat_sql('l_partkey')}), 6) AS lat_min, round(max({lat_sql('l_partkey')}), 6) AS lat_max, count(*) AS refs FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
 def _(spark, d):
     """Files of nodes, ways and relations; only ways with the key are kept, then their nodes are joined."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("way"), F.col("o_orderstatus").alias("status"))
     rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("node"), geo.derived_lat("l_partkey").alias("lat"), geo.derived_lon("l_partkey").alias("lon"))
-    files = written(_packed_files(rows.join(o, "way").withColumn("file", F.col("way") % 8), "file", _map_file), "map-files")
+    # Files grow in number, not in size: a task holds one.
+    n = max(8, -(-rows.count() // MAP_ROWS))
+    files = written(_packed_files(rows.join(o, "way").withColumn("file", F.pmod(F.xxhash64("way"), F.lit(n))), "file", _map_file), "map-files")
     ways = mapobjects.map_objects(files, ("way",), "highway").select(F.col("id").alias("way"), F.explode("refs").alias("id"))
     nodes = mapobjects.map_objects(files, ("node",)).groupBy("id").agg(F.any_value("lat").alias("lat"))  # a node is in every file that needs it
     return ways.join(nodes, "id").groupBy("way").agg(r6(F.min("lat"), "lat_min"), r6(F.max("lat"), "lat_max"), F.count("*").alias("refs"))
