@@ -66,12 +66,20 @@ def bootstrap(rows: DataFrame, value: str, row_id: str, resamples: int) -> DataF
     blocks = -(-resamples // 4)
     digest = F.md5(F.concat(F.col(row_id).cast("string"), F.lit(":"), F.col("b").cast("string")))
     v = F.col(value).cast("double")
-    drawn = rows.select(v.alias("v"), row_id, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).select("v", "b", digest.alias("h"))
-    aggs = []
+    # A row becomes ``blocks`` rows: a file that one task would read is dealt to many first.
+    dealt = rows.select(v.alias("v"), row_id).repartition(max(32, 4 * rows.sparkSession.sparkContext.defaultParallelism), row_id)
+    drawn = dealt.select("v", row_id, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).select("v", "b", digest.alias("h"))
+    # A share of 2**32 reaches a chance where its eight hex digits reach those of the chance: text is compared, most often once or twice.
+    edges = [f"{math.ceil(c * 4294967296):08x}" for c in POISSON]
+    counts = []
     for k in range(4):
-        u = F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("double") / 4294967296.0
-        w = sum(((u >= c).cast("int") for c in POISSON[1:]), (u >= POISSON[0]).cast("int"))
-        aggs.append(F.struct((F.lit(4) * F.first("b") + k).alias("r"), (F.sum(F.col("v") * w) / F.sum(w)).alias("m")))
+        h = F.substring("h", 1 + 8 * k, 8)
+        w = F.when(h < edges[0], 0)
+        for i, edge in enumerate(edges[1:], 1):
+            w = w.when(h < edge, i)
+        counts.append(w.otherwise(len(edges)).alias(f"w{k}"))
+    drawn = drawn.select("v", "b", *counts)
+    aggs = [F.struct((F.lit(4) * F.first("b") + k).alias("r"), (F.sum(F.col("v") * F.col(f"w{k}")) / F.sum(f"w{k}")).alias("m")) for k in range(4)]
     means = drawn.groupBy("b").agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).where(F.col("x.r") < resamples)
     interval = means.agg(F.percentile("x.m", 0.025).alias("low"), F.percentile("x.m", 0.975).alias("high"))
     return rows.agg(F.avg(v).alias("mean")).join(F.broadcast(interval))  # one row each
