@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import geo
-from stratalens.operators import spatial
+from stratalens.operators import near, spatial
 from stratalens.plans.base import POOL_SQL, hav_sql, lat_sql, lon_sql, points, points_sql, pool, q, r6, t
 
 C, S = points_sql("customer", "c_custkey"), points_sql("supplier", "s_suppkey", "r")
@@ -146,7 +146,7 @@ def _(spark, d):
 
 @q("spj02_knn_in_radius", f"SELECT c_custkey, s_suppkey, round(km, 6) AS km, rank FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS rank FROM {PAIRS} WHERE km <= 2500) WHERE rank <= 3")
 def _(spark, d):
-    got = spatial.nearest(points(spark, d, "customer", "c_custkey"), points(spark, d, "supplier", "s_suppkey", "r"), "c_custkey", "s_suppkey", 2500.0, 3)
+    got = near.k_nearest(points(spark, d, "customer", "c_custkey"), points(spark, d, "supplier", "s_suppkey", "r"), "c_custkey", "s_suppkey", 2500.0, 3)
     return got.select("c_custkey", "s_suppkey", r6("km", "km"), F.col("rank").cast("long").alias("rank"))
 
 
