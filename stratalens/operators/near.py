@@ -22,7 +22,7 @@ from stratalens.functions import geo
 
 #: Right points shipped to all tasks, or held by one; left points that a task takes at once.
 POINTS, ASKED = 500_000, 100_000
-#: Right points a leaf, left points a bunch, products at once, and what rounding can do to a product.
+#: Right points a leaf at least, left points a bunch, products at once, and what rounding can do to a product.
 LEAF, BUNCH, CELLS, EDGE = 48, 256, 1 << 22, 1e-13
 
 
@@ -47,6 +47,7 @@ def k_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ra
         met = spread.mapInArrow(lambda batches: _gathered(batches, shipped.value, k, least), schema)
     else:
         blocks = [-(-n_left // ASKED) or 1, -(-n_right // POINTS)]
+        blocks[1] = max(blocks[1], -(-spark.sparkContext.defaultParallelism // blocks[0]))
         deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
         every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
         a = left.withColumn("__l", deal(left_id, blocks[0])).withColumn("__r", every[1])
@@ -108,13 +109,14 @@ def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 def candidates(asked: np.ndarray, points: np.ndarray, k: int, least: float):
     """(rows of ``asked``, rows of ``points``), piece by piece: the pairs of unit vectors that can be among the k nearest of one asked and whose product is at least ``least``."""
     leaves, bunches = [], []
+    leaf = max(LEAF, 24 * len(points) // max(1, len(asked)))  # few asked: larger leaves, so that a bunch is not one point
     todo = [(np.arange(len(points)), np.arange(len(asked)))]
     while todo:
         r, a = todo.pop()
         x = points[r]
         axis = int(np.argmax(np.ptp(x, axis=0)))
         x = x[:, axis]
-        if len(r) <= LEAF or x.min() == x.max():
+        if len(r) <= leaf or x.min() == x.max():
             leaves.append(r)
             bunches.append(a)
             continue

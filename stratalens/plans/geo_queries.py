@@ -321,8 +321,8 @@ def _(spark, d):
 @q("spj20_support_k_nearest", f"SELECT c_custkey, rank, s_suppkey, round(km, 6) AS km FROM (SELECT c.c_custkey, p.s_suppkey, p.km, row_number() OVER (PARTITION BY c.c_custkey ORDER BY p.km NULLS LAST, p.s_suppkey) AS rank FROM customer c LEFT JOIN (SELECT * FROM {PAIRS} WHERE km <= 700) p USING (c_custkey)) WHERE rank <= 4")
 def _(spark, d):
     c, s = points(spark, d, "customer", "c_custkey"), points(spark, d, "supplier", "s_suppkey", "r")
-    near = spatial.nearest(c, s, "c_custkey", "s_suppkey", 700.0, 4).select("c_custkey", "s_suppkey", "km", "rank")
-    return c.select("c_custkey").join(near, "c_custkey", "left").select("c_custkey", F.coalesce("rank", F.lit(1)).cast("long").alias("rank"), "s_suppkey", r6("km", "km"))
+    found = near.k_nearest(c, s, "c_custkey", "s_suppkey", 700.0, 4).select("c_custkey", "s_suppkey", "km", "rank")
+    return c.select("c_custkey").join(found, "c_custkey", "left").select("c_custkey", F.coalesce("rank", F.lit(1)).cast("long").alias("rank"), "s_suppkey", r6("km", "km"))
 
 
 @q("spj21_evidence_counts", f"SELECT c_custkey, count(*) FILTER (km <= 500) AS near_n, round(max(s_acctbal) FILTER (km <= 500), 2) AS best, count(*) FILTER (km <= 500 AND s_acctbal > 5000) AS hits FROM (SELECT c_custkey, s_acctbal, {hav_sql('lat', 'lon', 'rlat', 'rlon')} AS km FROM {C}, {points_sql('supplier', 's_suppkey', 'r', 's_acctbal')}) GROUP BY c_custkey")

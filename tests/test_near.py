@@ -34,7 +34,7 @@ def test_k_nearest_is_that_of_all_pairs(spark, monkeypatch, points):
     assert near.k_nearest(left, right.limit(0), "id", "rid", 800.0, 4).count() == near.k_nearest(left.limit(0), right, "id", "rid", 800.0, 4).count() == 0
 
 
-@pytest.mark.parametrize("name", ["spj02_knn_in_radius"])
+@pytest.mark.parametrize("name", ["spj02_knn_in_radius", "spj20_support_k_nearest"])
 def test_no_row_for_each_pair_within_the_radius(spark, monkeypatch, name):
     """About k candidates an asked point reach Spark, whatever the radius holds."""
     rows, frame = [], type(spark.range(1))
