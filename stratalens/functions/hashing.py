@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratalens.sources.shared import written
+
 
 def _hex(text: Column, start: int, n: int = 8) -> Column:
     return F.conv(F.substring(text, start, n), 16, 10).cast("long")
@@ -74,6 +76,8 @@ def within_bits(hashes, key: str, value: str, radius: int, bits: int):
     Hashes meet by an equi-join on each mask's bits; a pair that meets under several masks counts
     under the first.  Equal hashes are joined as one value, so copies do not multiply the meetings.
     """
+    # Written once: a runtime filter of Spark's carries the expression of a hash to where its columns are not.
+    hashes = written(hashes.select(key, value), "hashes")
     masks = covering_masks(radius, bits)
     literal = F.array(*[F.lit(m) for m in masks])
     distinct = hashes.select(F.col(value).alias("h")).distinct()
@@ -81,12 +85,14 @@ def within_bits(hashes, key: str, value: str, radius: int, bits: int):
     x, y = keyed.withColumnRenamed("h", "hx"), keyed.withColumnRenamed("h", "hy")
     differ = F.col("hx").bitwiseXOR(F.col("hy"))
     first = F.array_position(F.transform(literal, lambda m: differ.bitwiseAND(m)), F.lit(0).cast("long")) - 1
-    met = x.join(y, ["t", "k"]).where((F.col("hx") <= F.col("hy")) & (F.bit_count(differ) <= radius)).where(first == F.col("t"))
+    # The planner counts neither the masks nor the pairs, so it may take a side for small: none must be broadcast.
+    met = x.hint("merge").join(y, ["t", "k"]).where((F.col("hx") <= F.col("hy")) & (F.bit_count(differ) <= radius)).where(first == F.col("t"))
     near = met.select("hx", "hy", F.bit_count(differ).cast("int").alias("bits"))
-    near = near.union(near.where("hx < hy").select(F.col("hy"), F.col("hx"), "bits"))
+    way = lambda x, y: F.struct(F.col(x).alias("hx"), F.col(y).alias("hy"), "bits")
+    near = near.select(F.inline(F.when(F.col("hx") < F.col("hy"), F.array(way("hx", "hy"), way("hy", "hx"))).otherwise(F.array(way("hx", "hy")))))
     a = hashes.select(F.col(key).alias("a"), F.col(value).alias("hx"))
     b = hashes.select(F.col(key).alias("b"), F.col(value).alias("hy"))
-    return a.join(near, "hx").join(b, "hy").where("a < b").select("a", "b", "bits")
+    return a.hint("merge").join(near, "hx").join(b.hint("merge"), "hy").where("a < b").select("a", "b", "bits")
 
 
 def perceptual(grey):
