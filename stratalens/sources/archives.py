@@ -10,24 +10,31 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.operators import ordering
+
 
 def shard_pieces(index: DataFrame, shards: DataFrame) -> DataFrame:
     """(shard, id, start, size, at): where each entry of index(id, offset, size) lies in shards(shard, size) that follow one another.
 
     Offsets count from the first shard's first byte.  An entry that goes on in the next shards has a
-    piece in each; an equi-join on the shard number, found from the running size, pairs them.
+    piece in each.  Both sides are listed by blocks of bytes as long as a shard on average, an
+    equi-join on the block pairs them, and a pair is made in its first common block only.
     """
-    ends = shards.select("shard", F.sum("size").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, 0)).alias("end"), F.col("size").alias("shard_size"))  # a row a shard
-    table = F.sort_array(F.collect_list(F.struct("end", "shard", "shard_size")))
-    placed = index.join(F.broadcast(ends.agg(table.alias("__s"))))
-    over = F.filter("__s", lambda s: (s.end > F.col("offset")) & (s.end - s.shard_size < F.col("offset") + F.greatest(F.col("size"), F.lit(1))))
-    cut = placed.select("id", "offset", "size", F.explode(over).alias("s"))
-    first = F.greatest(F.col("offset"), F.col("s.end") - F.col("s.shard_size"))
-    last = F.least(F.col("offset") + F.col("size"), F.col("s.end"))
-    return cut.select(F.col("s.shard").alias("shard"), "id", (first - F.col("s.end") + F.col("s.shard_size")).cast("int").alias("start"), (last - first).cast("int").alias("size"), (first - F.col("offset")).alias("at"))
+    starts = ordering.summed(shards.where("size > 0"), "shard", "size", "start").withColumnRenamed("size", "shard_size")
+    n, total = starts.agg(F.count("*"), F.coalesce(F.max(F.col("start") + F.col("shard_size")), F.lit(0))).first()
+    step = max(1, -(-total // max(1, n)))
+    block = lambda at: F.floor(at / F.lit(step))
+    blocks = lambda first, last: F.explode(F.sequence(block(first), block(last))).alias("__block")
+    end = F.col("start") + F.col("shard_size")
+    dealt = starts.select("shard", "start", "shard_size", blocks(F.col("start"), end - 1))
+    wide = F.least(F.col("offset") + F.greatest(F.col("size"), F.lit(1)), F.lit(total)) - 1
+    asked = index.where((F.col("offset") >= 0) & (F.col("offset") < total)).select("id", "offset", "size", blocks(F.col("offset"), wide))
+    over = (end > F.col("offset")) & (F.col("start") < F.col("offset") + F.greatest(F.col("size"), F.lit(1)))
+    met = asked.join(dealt, "__block").where(over & (F.col("__block") == block(F.greatest("offset", "start"))))
+    first, last = F.greatest("offset", "start"), F.least(F.col("offset") + F.col("size"), end)
+    return met.select("shard", "id", (first - F.col("start")).cast("int").alias("start"), (last - first).cast("int").alias("size"), (first - F.col("offset")).alias("at"))
 
 
 def sharded_members(shards: DataFrame, index: DataFrame) -> DataFrame:
