@@ -12,6 +12,8 @@ and ties go to the smaller item.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalens.functions import geo
+
 #: Bytes of query vectors that meet the gallery at once, and gallery rows that are multiplied at once.
 QUERY_BYTES, ROWS = 64 << 20, 2048
 
@@ -36,6 +40,12 @@ def _few(queries: DataFrame, width: int) -> bool:
     return queries.limit(most + 1).count() <= most
 
 
+def _dealt(items: DataFrame) -> DataFrame:
+    """``items`` in as many parts as tasks can run: products with many queries cost more than moving a vector."""
+    tasks = items.sparkSession.sparkContext.defaultParallelism
+    return items if items.rdd.getNumPartitions() >= tasks else items.repartition(tasks)
+
+
 def _width(vectors: DataFrame, column: str) -> int:
     found = vectors.select(F.size(column).alias("n")).where("n > 0").first()
     return found["n"] if found else 0
@@ -96,7 +106,7 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, guard: bool = False,
     fields = "qid long, gid long, score double"
     if _few(asked, width):
         shipped = spark.sparkContext.broadcast(asked.toArrow())
-        best = items.mapInArrow(lambda batches: _best(shipped.value, batches, k, guard, own), fields)
+        best = _dealt(items).mapInArrow(lambda batches: _best(shipped.value, batches, k, guard, own), fields)
     else:
         # Blocks of both sides by hash, every pair of blocks a group: a vector is sent once a block of
         # the other side, and a task holds two blocks, however many vectors there are.
@@ -128,27 +138,46 @@ def _best(asked: pa.Table, batches, k: int, guard: bool, own: bool):
         q_author = code(asked.column("qauthor"), -1)
     top = np.full((len(qid), k), -np.inf)
     ids = np.full((len(qid), k), np.iinfo(np.int64).max)
-    step = max(k, ROWS * 2048 // max(1, len(qid)))
-    for batch in batches:
-        for a in range(0, batch.num_rows, step):
-            part = batch.slice(a, step)
-            gid = part.column("gid").to_numpy(zero_copy_only=False)
-            score = (q @ _matrix(part.column("gvec")).T).round(12)
-            if guard:
-                g_author = code(part.column("gauthor"), -2)
-                score[q_author[:, None] == g_author[None, :]] = -np.inf
-            if own:
-                score[qid[:, None] == gid[None, :]] = -np.inf
-            score = np.hstack([top, score])
-            item = np.hstack([ids, np.broadcast_to(gid, (len(qid), len(gid)))])
-            if score.shape[1] > 4 * k:  # all that reach the k-th score, so that ties are settled by id below
-                edge = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-                width = int((score >= edge[:, None]).sum(axis=1).max())
-                if width < score.shape[1] and np.isfinite(edge).all():
-                    cut = np.argpartition(-score, width - 1, axis=1)[:, :width]
-                    score, item = np.take_along_axis(score, cut, 1), np.take_along_axis(item, cut, 1)
-            order = np.lexsort((item, -score), axis=1)[:, :k]
-            top, ids = np.take_along_axis(score, order, 1), np.take_along_axis(item, order, 1)
+    q_norm = np.sqrt((q**2).sum(axis=1))
+    with np.errstate(over="ignore"):  # then it is not used
+        single = q.astype(np.float32)
+    for part in _slices(batches, ROWS * 2):
+        gid = part.column("gid").to_numpy(zero_copy_only=False)
+        g = _matrix(part.column("gvec"))
+        if guard:
+            g_author = code(part.column("gauthor"), -2)
+        # Products of half the precision are cheap and off by this much at most; those that can be among the best are worked out again.
+        most = float(np.sqrt((g**2).sum(axis=1)).max(initial=0.0))
+        half = most < 1e15 and q_norm.max() < 1e15
+        rough, g_rough = (single, g.astype(np.float32).T) if half else (q, g.T)
+        off = 2 * (q.shape[1] + 4) * (6e-8 if half else 1.2e-16) * most * q_norm + 1e-11
+        for a in range(0, len(qid), ROWS // 2):
+            rows = slice(a, a + ROWS // 2)
+            score = rough[rows] @ g_rough
+            least = top[rows, k - 1] - off[rows]
+            new = np.flatnonzero(np.isneginf(least))
+            if len(new) and len(gid) > k:  # no k yet: the k-th of this part is a bound as well
+                first = score[new]
+                if guard:
+                    first[q_author[rows][new, None] == g_author[None, :]] = -np.inf
+                if own:
+                    first[qid[rows][new, None] == gid[None, :]] = -np.inf
+                least[new] = np.partition(first, len(gid) - k, axis=1)[:, len(gid) - k] - 2 * off[rows][new]
+            hits = np.flatnonzero(score >= least.astype(score.dtype)[:, None])
+            for at in range(0, len(hits), 1 << 17):
+                i, j = np.divmod(hits[at : at + (1 << 17)], len(gid))
+                i += a
+                if guard or own:
+                    ok = np.ones(len(i), bool)
+                    if guard:
+                        ok &= q_author[i] != g_author[j]
+                    if own:
+                        ok &= qid[i] != gid[j]
+                    i, j = i[ok], j[ok]
+                exact = np.einsum("ij,ij->i", q[i], g[j]).round(12)
+                ok = exact >= top[i, k - 1]
+                if ok.any():
+                    _merge(top, ids, i[ok], exact[ok], gid[j[ok]])
     found = np.isfinite(top)
     rows = np.nonzero(found)[0]
     for a in range(0, len(rows), 1 << 16):
@@ -156,6 +185,99 @@ def _best(asked: pa.Table, batches, k: int, guard: bool, own: bool):
         yield pa.RecordBatch.from_arrays([pa.array(qid[rows[at]]), pa.array(ids[found][at]), pa.array(top[found][at])], schema=_BEST)
 
 
+def _slices(batches, most: int):
+    """Parts of about ``most`` rows at most; small batches are put together."""
+    held, n = [], 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, most):
+            held.append(batch.slice(a, most))
+            n += held[-1].num_rows
+            if n >= most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _merge(top: np.ndarray, ids: np.ndarray, row: np.ndarray, score: np.ndarray, item: np.ndarray) -> None:
+    """Puts (row, score, item) into the running lists of k a row, ties by item."""
+    k = top.shape[1]
+    rows = np.unique(row)
+    row = np.concatenate([np.repeat(rows, k), row])
+    score, item = np.concatenate([top[rows].ravel(), score]), np.concatenate([ids[rows].ravel(), item])
+    order = np.lexsort((item, -score, row))
+    row = row[order]
+    place = np.arange(len(row)) - np.searchsorted(row, rows)[np.searchsorted(rows, row)]
+    kept = place < k
+    top[row[kept], place[kept]], ids[row[kept], place[kept]] = score[order][kept], item[order][kept]
+
+
+def best_and_near(queries: DataFrame, gallery: DataFrame, radius_km: float) -> DataFrame:
+    """(qid, top_gid, top, n_near, best_near): the best of the gallery but the query's own id, ties by gid, and count and best score closer than the radius.
+
+    queries(qid, qvec, qlat, qlon) and gallery(gid, gvec, lat, lon).  A task gives one row a query
+    that had a pair, whatever it read.
+    """
+    spark = queries.sparkSession
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), "qvec", "qlat", "qlon")
+    items = _dealt(gallery.select(F.col("gid").cast("long").alias("gid"), "gvec", "lat", "lon"))
+    most = max(1, QUERY_BYTES // (8 * max(1, _width(queries, "qvec"))))
+    n, parts = asked.count(), None
+    blocks = max(1, -(-n // (most if n <= most else max(1, most // 2))))
+    for b in range(blocks):
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        shipped = spark.sparkContext.broadcast(mine.toArrow())
+        got = items.mapInArrow(lambda batches, shipped=shipped: _best_near(shipped.value, batches, radius_km), "qid long, score double, gid long, n long, near double")
+        parts = got if parts is None else parts.union(got)
+    best = F.max(F.struct("score", (-F.col("gid")).alias("g"))).alias("m")
+    return parts.groupBy("qid").agg(best, F.sum("n").alias("n_near"), F.max("near").alias("best_near")).select("qid", (-F.col("m.g")).alias("top_gid"), F.col("m.score").alias("top"), "n_near", "best_near")
+
+
+def _best_near(asked: pa.Table, batches, radius_km: float):
+    q, qid = _matrix(asked.column("qvec")), asked.column("qid").to_numpy()
+    lat, lon = (asked.column(c).to_numpy().astype(np.float64) for c in ("qlat", "qlon"))
+    if not len(qid):
+        return
+    place, near_cos = unit_vectors(lat, lon), math.cos(min(math.pi, radius_km / geo.EARTH_KM))
+    top, ids = np.full(len(qid), -np.inf), np.full(len(qid), np.iinfo(np.int64).max)
+    n, best, met = np.zeros(len(qid), np.int64), np.full(len(qid), -np.inf), np.zeros(len(qid), bool)
+    for part in _slices(batches, ROWS):
+        gid, g = part.column("gid").to_numpy(), _matrix(part.column("gvec")).T
+        glat, glon = (part.column(c).to_numpy().astype(np.float64) for c in ("lat", "lon"))
+        g_place = unit_vectors(glat, glon).T
+        by_id = np.argsort(gid, kind="stable")
+        for a in range(0, len(qid), ROWS // 2):
+            rows = slice(a, a + ROWS // 2)
+            score, dot = (q[rows] @ g).round(12), place[rows] @ g_place
+            other = qid[rows][:, None] != gid[None, :]
+            near = (dot > near_cos) & other
+            i, j = np.nonzero(np.abs(dot - near_cos) < 1e-9)  # at the very edge the exact distance decides
+            near[i, j] = (haversine_km(lat[a + i], lon[a + i], glat[j], glon[j]) < radius_km) & other[i, j]
+            score[~other] = -np.inf
+            met[rows] |= other.any(axis=1)
+            n[rows] += near.sum(axis=1)
+            best[rows] = np.maximum(best[rows], np.where(near, score, -np.inf).max(axis=1))
+            at = by_id[score[:, by_id].argmax(axis=1)]  # the first of equal ones by id
+            value, item = score[np.arange(len(at)), at], gid[at]
+            better = (value > top[rows]) | ((value == top[rows]) & (item < ids[rows]))
+            top[rows], ids[rows] = np.where(better, value, top[rows]), np.where(better, item, ids[rows])
+    at = np.flatnonzero(met)
+    for a in range(0, len(at), 1 << 16):
+        x = at[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(qid[x]), pa.array(top[x]), pa.array(ids[x]), pa.array(n[x]), pa.array(best[x], mask=np.isneginf(best[x]))], names=["qid", "score", "gid", "n", "near"])
+
+
+def unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    a, b = np.radians(lat), np.radians(lon)
+    return np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+
+
+def haversine_km(lat: np.ndarray, lon: np.ndarray, rlat: np.ndarray, rlon: np.ndarray) -> np.ndarray:
+    a, b, c, d = map(np.radians, (lat, lon, rlat, rlon))
+    h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+    return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+
+
 def top_k(pairs: DataFrame, k: int, query: str = "qid", item: str = "gid", score: str = "score") -> DataFrame:
     """Best k a query, ties by item; ``rank`` from 1."""
     by = W.partitionBy(query).orderBy(F.desc(score), item)

@@ -127,8 +127,8 @@ NEAR = hav_sql("qlat", "qlon", "lat", "lon")
 
 @q("vec10_radius_best_and_count", f"SELECT qid, arg_max(gid, score) AS top_gid, round(max(score), 4) AS top, count(*) FILTER ({NEAR} < 2000) AS n_near, round(max(score) FILTER ({NEAR} < 2000), 4) AS best_near FROM {ALL} GROUP BY qid")
 def _(spark, d):
-    km = geo.haversine("qlat", "qlon", "lat", "lon")
-    return pairs(spark, d).groupBy("qid").agg(F.max(F.struct("score", (-F.col("gid")).alias("g"))).alias("m"), F.count_if(km < 2000).alias("n_near"), r6(F.max(F.when(km < 2000, F.col("score"))), "best_near", 4)).select("qid", (-F.col("m.g")).alias("top_gid"), r6("m.score", "top", 4), "n_near", "best_near")
+    best = vector.best_and_near(asked(spark, d), gallery(spark, d), 2000.0)
+    return best.select("qid", "top_gid", r6("top", "top", 4), "n_near", r6("best_near", "best_near", 4))
 
 
 @q("vec11_rank_of_best_in_radius", f"WITH p AS {ALL}, b AS (SELECT qid, max(score) AS best FROM p WHERE {NEAR} < 2000 GROUP BY qid) SELECT b.qid, count(*) FILTER (p.score > b.best) AS above FROM b JOIN p ON p.qid = b.qid GROUP BY b.qid")
