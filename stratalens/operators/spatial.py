@@ -55,18 +55,22 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, strict: boo
         many, one = with_reach(right, radius_km, size, "rlat", "rlon", earth), with_cell(left, size)
     else:
         many, one = with_reach(left, radius_km, size, earth=earth), with_cell(right, size, "rlat", "rlon")
-    angle = radius_km / earth
-    if angle < 3.1:  # products of unit vectors settle all pairs but those at the very edge
-        vector = lambda df, lat, lon, p: df.withColumns({f"__{p}{c}": v for c, v in zip("xyz", geo.unit_xyz(lat, lon), strict=True)})
-        many, one = vector(many, *(("rlat", "rlon", "r") if spread == "right" else ("lat", "lon", "l"))), vector(one, *(("lat", "lon", "l") if spread == "right" else ("rlat", "rlon", "r")))
-        dot = F.col("__lx") * F.col("__rx") + F.col("__ly") * F.col("__ry") + F.col("__lz") * F.col("__rz")
-        near = dot.between(math.cos(angle) + 1e-9, 2.0) | ((dot >= math.cos(angle) - 1e-9) & near)
+    many, one, near = by_vectors(many, one, near, radius_km / earth, *(("r", "") if spread == "right" else ("", "r")))
     # The repeated side looks small to the planner, which does not count the repeats: it must not be broadcast.
     met = many.hint("merge").join(one, ["__row", "__col", *on]).where(near).withColumn("km", km)
     columns = [*left.columns, *(c for c in right.columns if c not in on), "km"]
     return met.select(*columns)
 
 
+def by_vectors(many: DataFrame, one: DataFrame, near: Column, angle: float, p: str, r: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides ([p]lat, [p]lon and [r]lat, [r]lon) with unit vectors, whose products settle all pairs but those at the very edge, where ``near`` decides."""
+    if angle >= 3.1:
+        return many, one, near
+    vector = lambda df, x: df.withColumns({f"__{x}v{c}": v for c, v in zip("xyz", geo.unit_xyz(f"{x}lat", f"{x}lon"), strict=True)})
+    dot = sum((F.col(f"__{p}v{c}") * F.col(f"__{r}v{c}") for c in "yz"), F.col(f"__{p}vx") * F.col(f"__{r}vx"))
+    return vector(many, p), vector(one, r), dot.between(math.cos(angle) + 1e-9, 2.0) | ((dot >= math.cos(angle) - 1e-9) & near)
+
+
 def spread_of(left: DataFrame, right: DataFrame) -> str:
     """The side with fewer rows, to be repeated by ``radius_join``."""
     return "right" if right.count() < left.count() else "left"

@@ -337,20 +337,21 @@ TILE = "CAST(floor(({lon} + 180) / 360 * 16) AS INTEGER) AS tx, CAST(floor((1 -
 
 @q("spj22_tile_cover", f"SELECT c_custkey, s_suppkey FROM {PAIRS} WHERE km <= 1200")
 def _(spark, d):
-    """Tiles that a radius can touch are listed for each point and joined on tile, then the radius decides."""
-    radius, zoom = 1200.0, 4
+    """Tiles that a radius can touch are listed for each supplier, the smaller side, and joined on tile, then the radius decides."""
+    radius, zoom = 1200.0, 6
     n = 1 << zoom
-    c = points(spark, d, "customer", "c_custkey")
+    s = points(spark, d, "supplier", "s_suppkey", "r")
     reach = radius / geo.EARTH_KM * 180 / math.pi * 1.005
-    top, low = F.least(F.lit(89.0), F.col("lat") + reach), F.greatest(F.lit(-89.0), F.col("lat") - reach)
-    far = F.abs(F.col("lat")) + reach
+    top, low = F.least(F.lit(89.0), F.col("rlat") + reach), F.greatest(F.lit(-89.0), F.col("rlat") - reach)
+    far = F.abs(F.col("rlat")) + reach
     span = F.when(far < 89, F.least(F.lit(180.0), reach / F.cos(F.radians(far)))).otherwise(180.0)
-    ys = F.sequence(F.greatest(F.lit(0), geo.tile(top, "lon", zoom)[1]), F.least(F.lit(n - 1), geo.tile(low, "lon", zoom)[1]))
-    x0, x1 = geo.tile("lat", F.col("lon") - span, zoom)[0], geo.tile("lat", F.col("lon") + span, zoom)[0]
-    cover = c.withColumn("ty", F.explode(ys)).withColumn("tx", F.explode(F.array_distinct(F.transform(F.sequence(x0, F.least(x1, x0 + n - 1)), lambda x: F.pmod(x, F.lit(n))))))
-    x, y = geo.tile("rlat", "rlon", zoom)
-    s = points(spark, d, "supplier", "s_suppkey", "r").withColumn("tx", F.pmod(x, F.lit(n))).withColumn("ty", y)
-    return cover.join(s, ["tx", "ty"]).where(geo.haversine("lat", "lon", "rlat", "rlon") <= radius).select("c_custkey", "s_suppkey")
+    row = lambda lat: F.greatest(F.lit(0), F.least(F.lit(n - 1), geo.tile(lat, "rlon", zoom)[1]))
+    x0, x1 = geo.tile("rlat", F.col("rlon") - span, zoom)[0], geo.tile("rlat", F.col("rlon") + span, zoom)[0]
+    cover = s.withColumn("ty", F.explode(F.sequence(row(top), row(low)))).withColumn("tx", F.explode(F.array_distinct(F.transform(F.sequence(x0, F.least(x1, x0 + n - 1)), lambda x: F.pmod(x, F.lit(n))))))
+    x, y = geo.tile("lat", "lon", zoom)
+    c = points(spark, d, "customer", "c_custkey").withColumn("tx", F.pmod(x, F.lit(n))).withColumn("ty", F.greatest(F.lit(0), F.least(F.lit(n - 1), y)))
+    cover, c, near = spatial.by_vectors(cover, c, geo.haversine("lat", "lon", "rlat", "rlon") <= radius, radius / geo.EARTH_KM, "r", "")
+    return cover.hint("merge").join(c, ["tx", "ty"]).where(near).select("c_custkey", "s_suppkey")
 
 
 @q("spj23_nearest_and_counts", f"SELECT c_custkey, round(coalesce(min(km) FILTER (km <= 1000), 99), 6) AS nearest_km, count(*) FILTER (km <= 250) AS n250, count(*) FILTER (km <= 500) AS n500, count(*) FILTER (km <= 1000) AS n1000 FROM {PAIRS} GROUP BY c_custkey")
