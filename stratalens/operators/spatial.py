@@ -97,7 +97,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
             todo = todo.join(done.select(left_id), left_id, "left_anti")
             got = got.join(done.select(left_id), left_id, "left_semi")
         found = got if found is None else found.unionByName(got.select(*found.columns))
-        if last:
+        if last or todo.isEmpty():  # a further ring would deal the whole right side for nobody
             return found
         ring *= 3
 
