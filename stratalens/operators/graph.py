@@ -17,9 +17,8 @@ def edge_weights(knn: DataFrame, tau: float) -> DataFrame:
 
 def limit_edges(edges: DataFrame, far) -> DataFrame:
     """Edges under the condition ``far`` are cut; their weight stays at the source as a self edge."""
-    kept = edges.where(~far).select("src", "dst", "w")
-    stay = edges.where(far).groupBy("src").agg(F.sum("w").alias("w")).select("src", F.col("src").alias("dst"), "w")
-    return kept.unionByName(stay).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    cut = edges.where(far.isNotNull()).select("src", F.when(far, F.col("src")).otherwise(F.col("dst")).alias("dst"), "w")
+    return cut.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def diffuse(seeds: DataFrame, edges: DataFrame, steps: int, alpha: float, top: int, own: str | None = "own") -> DataFrame:

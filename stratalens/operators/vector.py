@@ -3,8 +3,9 @@
 Vectors meet in blocks: a query block of at most ``QUERY_BYTES`` (counted before it is shipped)
 is multiplied with the gallery's Arrow batches by numpy, so that no pair is worked out by itself.
 ``nearest`` keeps the best k of a query within each task and merges those; ``scored`` gives the
-pairs of a stated query set themselves, for predicates that need both sides.  More queries than a
-block holds go through the gallery in several blocks, all of them in one job.
+pairs of a stated query set themselves, for predicates that need both sides.  Of many queries the
+gallery is shipped, if it fits, so that a query's list is whole within one task; if it does not,
+blocks of both sides meet, all of them in one job and as many pairs of blocks in every task.
 
 Scores are rounded to twelve places: equal vectors then score equally whatever block they are in,
 and ties go to the smaller item.
@@ -16,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from stratalens.functions import geo
 
 #: Bytes of query vectors that meet the gallery at once, and gallery rows that are multiplied at once.
 QUERY_BYTES, ROWS = 64 << 20, 2048
+#: Gallery rows of a tile: its products with ROWS / 2 queries stay in a core's cache until they are looked at.
+TILE = 256
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -104,25 +107,45 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, guard: bool = False,
     asked = queries.select(F.col("qid").cast("long").alias("qid"), "qvec", *[F.col(c).cast("string") for c in authors])
     items = gallery.select(F.col("gid").cast("long").alias("gid"), "gvec", *([F.col("gauthor").cast("string").alias("gauthor")] if guard else []))
     fields = "qid long, gid long, score double"
-    if _few(asked, width):
+    tasks = spark.sparkContext.defaultParallelism
+    if asked.limit(ROWS + 1).count() > ROWS and _few(items, width):
+        # A running list over the whole gallery meets few rows that enter it; one a part of the gallery meets many.
+        shipped = spark.sparkContext.broadcast(items.toArrow())
+
+        def search(batches):
+            for part in _slices(batches, ROWS * 4):
+                yield from _best(part, shipped.value.to_batches(), k, guard, own)
+
+        best = asked.repartition(4 * tasks, "qid").mapInArrow(search, fields)
+    elif _few(asked, width):
         shipped = spark.sparkContext.broadcast(asked.toArrow())
         best = _dealt(items).mapInArrow(lambda batches: _best(shipped.value, batches, k, guard, own), fields)
     else:
-        # Blocks of both sides by hash, every pair of blocks a group: a vector is sent once a block of
-        # the other side, and a task holds two blocks, however many vectors there are.
+        # Blocks of both sides by hash, every pair of blocks a group and a partition of its own: a vector is sent
+        # once a block of the other side, and a task holds two blocks, however many vectors there are.
         blocks = [max(1, -(-df.count() * 8 * width // QUERY_BYTES)) for df in (asked, items)]
-        all_of = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
-        left = asked.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks[0])).cast("int")).withColumn("bg", all_of[1])
-        right = items.withColumn("bg", F.pmod(F.xxhash64("gid"), F.lit(blocks[1])).cast("int")).withColumn("bq", all_of[0])
+        blocks[0] = max(blocks[0], -(-2 * tasks // blocks[1]))
+        n = blocks[0] * blocks[1]
+        pair = F.element_at(F.array(*[F.lit(x) for x in _one_each(spark, n)]), F.col("bq") * blocks[1] + F.col("bg") + 1).alias("pair")
+        all_of = [F.explode(F.sequence(F.lit(0), F.lit(m - 1))) for m in blocks]
+        left = asked.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks[0])).cast("int")).withColumn("bg", all_of[1]).select(pair, *asked.columns)
+        right = items.withColumn("bg", F.pmod(F.xxhash64("gid"), F.lit(blocks[1])).cast("int")).withColumn("bq", all_of[0]).select(pair, *items.columns)
 
         def meet(x: pa.Table, y: pa.Table) -> pa.Table:
             return pa.Table.from_batches(list(_best(x, y.to_batches(), k, guard, own)) if x.num_rows else [], schema=_BEST)
 
-        best = left.groupBy("bq", "bg").cogroup(right.groupBy("bq", "bg")).applyInArrow(meet, fields)
+        best = left.repartition(n, "pair").groupBy("pair").cogroup(right.repartition(n, "pair").groupBy("pair")).applyInArrow(meet, fields)
     by = W.partitionBy("qid").orderBy(F.desc("score"), "gid")
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _one_each(spark: SparkSession, n: int) -> list[int]:
+    """``n`` different whole numbers that a shuffle by them deals to ``n`` partitions, one to each."""
+    of = spark.range(32 * n + 64).select(F.col("id").cast("int").alias("x")).groupBy(F.pmod(F.hash("x"), F.lit(n)).alias("p")).agg(F.min("x").alias("x"))
+    found = {r["p"]: r["x"] for r in of.collect()}
+    return [found.get(p, -1 - p) for p in range(n)]
+
+
 _BEST = pa.schema([("qid", pa.int64()), ("gid", pa.int64()), ("score", pa.float64())])
 
 
@@ -141,6 +164,7 @@ def _best(asked: pa.Table, batches, k: int, guard: bool, own: bool):
     q_norm = np.sqrt((q**2).sum(axis=1))
     with np.errstate(over="ignore"):  # then it is not used
         single = q.astype(np.float32)
+    held = np.empty((ROWS // 2, TILE), np.float32)
     for part in _slices(batches, ROWS * 2):
         gid = part.column("gid").to_numpy(zero_copy_only=False)
         g = _matrix(part.column("gvec"))
@@ -151,19 +175,23 @@ def _best(asked: pa.Table, batches, k: int, guard: bool, own: bool):
         half = most < 1e15 and q_norm.max() < 1e15
         rough, g_rough = (single, g.astype(np.float32).T) if half else (q, g.T)
         off = 2 * (q.shape[1] + 4) * (6e-8 if half else 1.2e-16) * most * q_norm + 1e-11
+        tiles = [np.ascontiguousarray(g_rough[:, c : c + TILE]) for c in range(0, len(gid), TILE)] if half else []
         for a in range(0, len(qid), ROWS // 2):
             rows = slice(a, a + ROWS // 2)
-            score = rough[rows] @ g_rough
             least = top[rows, k - 1] - off[rows]
             new = np.flatnonzero(np.isneginf(least))
-            if len(new) and len(gid) > k:  # no k yet: the k-th of this part is a bound as well
-                first = score[new]
-                if guard:
-                    first[q_author[rows][new, None] == g_author[None, :]] = -np.inf
-                if own:
-                    first[qid[rows][new, None] == gid[None, :]] = -np.inf
-                least[new] = np.partition(first, len(gid) - k, axis=1)[:, len(gid) - k] - 2 * off[rows][new]
-            hits = np.flatnonzero(score >= least.astype(score.dtype)[:, None])
+            if len(new) or not half:
+                score = rough[rows] @ g_rough
+                if len(new) and len(gid) > k:  # no k yet: the k-th of this part is a bound as well
+                    first = score[new]
+                    if guard:
+                        first[q_author[rows][new, None] == g_author[None, :]] = -np.inf
+                    if own:
+                        first[qid[rows][new, None] == gid[None, :]] = -np.inf
+                    least[new] = np.partition(first, len(gid) - k, axis=1)[:, len(gid) - k] - 2 * off[rows][new]
+                hits = np.flatnonzero(score >= least.astype(score.dtype)[:, None])
+            else:
+                hits = _hits(single[rows], tiles, least.astype(np.float32), len(gid), held)
             for at in range(0, len(hits), 1 << 17):
                 i, j = np.divmod(hits[at : at + (1 << 17)], len(gid))
                 i += a
@@ -185,6 +213,19 @@ def _best(asked: pa.Table, batches, k: int, guard: bool, own: bool):
         yield pa.RecordBatch.from_arrays([pa.array(qid[rows[at]]), pa.array(ids[found][at]), pa.array(top[found][at])], schema=_BEST)
 
 
+def _hits(q: np.ndarray, tiles: list[np.ndarray], least: np.ndarray, width: int, held: np.ndarray) -> np.ndarray:
+    """Places (row * width + column) where q @ tiles reaches the row's ``least``; most rows are passed over by their largest product."""
+    found = []
+    for c, tile in enumerate(tiles):
+        whole = len(q) == len(held) and tile.shape[1] == TILE
+        score = np.matmul(q, tile, out=held) if whole else q @ tile
+        rows = np.flatnonzero(score.max(axis=1) >= least)
+        if len(rows):
+            i, j = np.nonzero(score[rows] >= least[rows, None])
+            found.append(rows[i] * width + (j + c * TILE))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def _slices(batches, most: int):
     """Parts of about ``most`` rows at most; small batches are put together."""
     held, n = [], 0
