@@ -21,14 +21,15 @@ def limit_edges(edges: DataFrame, far) -> DataFrame:
     return cut.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def diffuse(seeds: DataFrame, edges: DataFrame, steps: int, alpha: float, top: int, own: str | None = "own") -> DataFrame:
+def diffuse(seeds: DataFrame, edges: DataFrame, steps: int, alpha: float, top: int, own: str | None = "own", start: DataFrame | None = None) -> DataFrame:
     """Personalised PageRank of many queries at once: seeds(q, node, p[, own]) over edges(src, dst, w).
 
     Each step spreads, mixes the seeds back, zeroes the query's own node, keeps the ``top`` nodes of
-    a query and renormalises.  Steps are few and fixed, so the plan stays short.
+    a query and renormalises.  Steps are few and fixed, so the plan stays short.  ``start``(q, node, p)
+    is where earlier steps came to, if there were any.
     """
     # Each seed's share is kept apart from what is spread, so that the sums are those of one pass.
-    now = seeds.select("q", "node", "p")
+    now = seeds.select("q", "node", "p") if start is None else start
     owner = seeds.select("q", own).distinct() if own else None
     for _ in range(steps):
         spread = now.join(edges, now.node == edges.src).select("q", F.col("dst").alias("node"), (F.col("p") * F.col("w") * alpha).alias("p"))
